@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfloor.operators import oee
+from shopfloor.operators import catalog, oee, overview, production, status
 from shopfloor.params import DEFAULT, Params
 from shopfloor.sources.fixtures import Tables
 
@@ -37,4 +37,21 @@ def queries() -> dict[str, Query]:
     for u in ("hour", "day", "week", "month"):
         out[f"oee_by_period_{u}"] = _q(oee.oee_by_period, u)
         out[f"oee_by_interval_{u}"] = _q(oee.oee_by_interval, u)
+    out.update({
+        "machine_lookup": _q(catalog.machine_lookup),
+        "machine_catalog": _q(catalog.machine_catalog),
+        "machine_status": _q(status.machine_status),
+        "machine_status_latest": _q(status.machine_status_latest),
+        "monthly_production": _q(production.monthly_production),
+        "reel_transitions": _q(production.reel_transitions),
+        "machine_production": _q(production.machine_production),
+        "company_overview": _q(overview.company_overview),
+        "company_overview_oee": _q(overview.company_overview_oee),
+        "machine_complete": _q(overview.machine_complete),
+        "holiday_list": _q(catalog.holiday_list),
+        "shift_roster": _q(catalog.shift_roster),
+        "user_company_profile": _q(catalog.user_company_profile),
+        "operators_by_machine": _q(catalog.operators_by_machine),
+        "notification_rules": _q(catalog.notification_rules),
+    })
     return out

@@ -188,6 +188,19 @@ def table_sql(name: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give an under-split scan at least one partition per core.
+
+    A warehouse-sized table arrives in thousands of splits and is returned
+    untouched; a small file with a single row group would otherwise run every
+    per-row step (payload parsing) in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Tables:
     """Lazily built model tables over one driver data directory."""
 
@@ -197,7 +210,8 @@ class Tables:
         self._cache: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SPECS:

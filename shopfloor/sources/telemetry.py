@@ -3,14 +3,19 @@
 ``device_data(deviceuid, timestamp, data)`` stores each reading as a JSON
 object whose keys may be missing.  The reference re-parses the text in every
 CTE (``data->>'KEY'``, ``data::jsonb ? 'KEY'``); here the payload is parsed
-once into a ``map<string,string>`` and every metric reads typed columns.
-Key existence (``has_*``) is kept apart from the value, because a key with a
-JSON ``null`` value still counts as present.
+once per row into a struct of ``VARIANT`` fields holding only the keys the
+metrics read (the JSON reader skips every other key).  A missing key is a
+SQL NULL field while a JSON ``null`` is a non-null variant, so key existence
+(``has_*``) stays exact and separate from the value.
+
+Metrics over arbitrary keys (alarm codes come from a table) use
+``payload_map``: the whole object as ``map<string,string>``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType, VariantType
 
 from shopfloor.params import Params
 
@@ -24,7 +29,10 @@ COLD_DIA = "ACT_COLD_DIA"
 MONTH_PRODUCTION = "This Month Production"
 BOBBIN_CHANGE = "P_DT_BOBIN_FORMER_CHANGE"
 
-PAYLOAD_TYPE = "map<string,string>"
+METRIC_KEYS = (MC_STATUS, ACT_SPEED, TARGET_SPEED, LINE_SPEED, COLD_DIA,
+               MONTH_PRODUCTION, BOBBIN_CHANGE)
+PAYLOAD_SCHEMA = StructType([StructField(k, VariantType(), True) for k in METRIC_KEYS])
+MAP_TYPE = "map<string,string>"
 
 
 def in_range(device_data: DataFrame, params: Params) -> DataFrame:
@@ -41,19 +49,23 @@ def in_range(device_data: DataFrame, params: Params) -> DataFrame:
     return df
 
 
+def _field(key: str) -> Column:
+    return F.col("payload").getField(key)
+
+
 def value(key: str) -> Column:
     """``data->>'key'``: the text value, NULL when missing or JSON null."""
-    return F.element_at(F.col("payload"), F.lit(key))
+    return F.variant_get(_field(key), "$", "string")
 
 
 def number(key: str) -> Column:
-    """``(data->>'key')::numeric`` as a double (ANSI cast: bad text raises)."""
-    return value(key).cast("double")
+    """``(data->>'key')::numeric`` as a double (non-numeric text raises)."""
+    return F.variant_get(_field(key), "$", "double")
 
 
 def has(key: str) -> Column:
-    """``data::jsonb ? 'key'``."""
-    return F.coalesce(F.map_contains_key(F.col("payload"), F.lit(key)), F.lit(False))
+    """``data::jsonb ? 'key'`` (true for a JSON null value too)."""
+    return _field(key).isNotNull()
 
 
 def parse(device_data: DataFrame) -> DataFrame:
@@ -66,7 +78,16 @@ def parse(device_data: DataFrame) -> DataFrame:
     return device_data.select(
         F.col("deviceuid"),
         F.col("timestamp").alias("ts"),
-        F.from_json(F.col("data"), PAYLOAD_TYPE).alias("payload"),
+        F.from_json(F.col("data"), PAYLOAD_SCHEMA).alias("payload"),
+    )
+
+
+def payload_map(device_data: DataFrame) -> DataFrame:
+    """Whole payload as ``map<string,string>`` (JSON null -> NULL value)."""
+    return device_data.select(
+        F.col("deviceuid"),
+        F.col("timestamp").alias("ts"),
+        F.parse_json(F.col("data")).cast(MAP_TYPE).alias("payload_map"),
     )
 
 
