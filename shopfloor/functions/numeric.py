@@ -35,3 +35,20 @@ def wire_weight(diameter: Column, length: Column) -> Column:
     ``length`` may be a product (minutes * speed); pass it pre-multiplied.
     """
     return (F.lit(PI_APPROX) * F.pow(diameter / 1000.0 / 2.0, 2) * length * F.lit(DENSITY)) / 1000.0
+
+
+def ratio_half_up(num: Column, den: Column, scale: int) -> Column:
+    """``ROUND(num / den, scale)`` for a non-negative integer ``num`` and a
+    positive integer ``den``, computed exactly in integers (half away from
+    zero, like PostgreSQL numeric rounding); NULL when ``den`` is 0 or NULL."""
+    k = 10 ** scale
+    d = F.when(den != 0, den.cast("bigint"))
+    a = F.lit(2 * k) * num.cast("bigint") + d
+    b = F.lit(2) * d
+    q = ((a - F.pmod(a, b)) / b).cast("bigint")  # floor(a / b), exact below 2^53
+    return q.cast("double") / float(k)
+
+
+def hours_2dp(micros: Column) -> Column:
+    """``ROUND(seconds / 3600, 2)`` from a non-negative microsecond sum."""
+    return ratio_half_up(micros, F.lit(3_600_000_000), 2)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfloor.operators import catalog, oee, overview, production, status
+from shopfloor.operators import alarms, catalog, oee, overview, production, status, timeframe
 from shopfloor.params import DEFAULT, Params
 from shopfloor.sources.fixtures import Tables
 
@@ -53,5 +53,13 @@ def queries() -> dict[str, Query]:
         "user_company_profile": _q(catalog.user_company_profile),
         "operators_by_machine": _q(catalog.operators_by_machine),
         "notification_rules": _q(catalog.notification_rules),
+        "production_idle_time": _q(timeframe.production_idle_time),
+        "shift_calendar": _q(timeframe.shift_calendar),
+        "shift_timeframe": _q(timeframe.shift_timeframe),
+        "shift_timeframe_midpoint": _q(timeframe.shift_timeframe_midpoint),
+        "alarm_breakdowns": _q(alarms.alarm_breakdowns),
+        "alarm_reliability": _q(alarms.alarm_reliability),
     })
+    for u in ("hour", "day", "week", "month"):
+        out[f"interval_timeframe_{u}"] = _q(timeframe.interval_timeframe, u)
     return out
