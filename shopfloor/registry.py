@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfloor.operators import alarms, catalog, oee, overview, production, status, timeframe
+from shopfloor.operators import alarms, catalog, oee, overview, production, status, timeframe, upkeep
 from shopfloor.params import DEFAULT, Params
 from shopfloor.sources.fixtures import Tables
 
@@ -62,4 +62,8 @@ def queries() -> dict[str, Query]:
     })
     for u in ("hour", "day", "week", "month"):
         out[f"interval_timeframe_{u}"] = _q(timeframe.interval_timeframe, u)
+    for name in ("append_validated", "append_rejects", "update_by_key", "update_unmatched",
+                 "delete_by_key", "insert_if_absent", "update_if_unique", "get_or_create_dim",
+                 "update_guarded", "update_guarded_parts", "reconcile_set", "reconcile_set_counts"):
+        out[name] = _q(getattr(upkeep, name))
     return out

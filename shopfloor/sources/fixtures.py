@@ -173,17 +173,22 @@ def _literal_sql(lit: Literal) -> str:
     return f"SELECT {cols} FROM (VALUES {values}) AS v({names})"
 
 
-def _derived_sql(d: Derived, source_sql: str | None = None) -> str:
+def _derived_sql(d: Derived) -> str:
     cols = ", ".join(f"{expr} AS {name}" for name, expr in d.columns)
-    src = source_sql or d.source
+    src = d.source.removeprefix("model:")
     where = f" WHERE {d.where}" if d.where else ""
     return f"SELECT {cols} FROM {src}{where}"
 
 
+def _spec(name: str) -> TableSpec:
+    return SPECS[name] if name in SPECS else CHANGES[name]
+
+
 def table_sql(name: str) -> str:
-    """SQL text of a model table over the driver's table names."""
+    """SQL text of a model table / change set over the driver's table names
+    (change sets over ``model:`` tables refer to those tables' CTE names)."""
     parts = []
-    for p in SPECS[name].parts:
+    for p in _spec(name).parts:
         parts.append(_literal_sql(p) if isinstance(p, Literal) else _derived_sql(p))
     return " UNION ALL ".join(parts)
 
@@ -214,10 +219,10 @@ class Tables:
         return spread(df)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in SPECS:
+        if name.startswith("_") or (name not in SPECS and name not in CHANGES):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self._build(SPECS[name])
+            self._cache[name] = self._build(_spec(name))
         return self._cache[name]
 
     def _build(self, spec: TableSpec) -> DataFrame:
@@ -226,9 +231,120 @@ class Tables:
             if isinstance(p, Literal):
                 df = self.spark.sql(_literal_sql(p))
             else:
-                src = self.source(p.source)
+                if p.source.startswith("model:"):
+                    src = getattr(self, p.source.removeprefix("model:"))
+                else:
+                    src = self.source(p.source)
                 if p.where:
                     src = src.where(p.where)
                 df = src.selectExpr(*[f"{expr} AS `{name}`" for name, expr in p.columns])
             out = df if out is None else out.unionByName(df)
         return out
+
+
+# --------------------------------------------------------------------------
+# Change sets for the batch maintenance operators (T1-T8), derived from the
+# driver tables (or from model tables built on them) so they grow with the
+# data.  ``source`` names a driver table or, when prefixed with ``model:``,
+# a model table above.
+# --------------------------------------------------------------------------
+
+_REQUEST_COLUMNS = (
+    ("request_id", "concat('R', cast(o_orderkey as string))"),
+    ("request_subject", "o_orderpriority"),
+    ("division", "case when o_orderstatus = 'P' then '' else o_orderstatus end"),
+    ("product_family", "'Wire drawing'"),
+    ("machine_brand", "case when o_totalprice > 450000 then cast(NULL as string) else 'X' end"),
+    ("type_of_request", "case when o_totalprice > 200000 then 'Service' else 'Spare parts' end"),
+    ("description", "case when o_orderpriority = '5-LOW' then cast(NULL as string) "
+                    "else concat('Order ', cast(o_orderkey as string)) end"),
+    ("created_by", "cast(o_custkey as string)"),
+    ("machine_uid", "concat('M', cast(o_custkey as string))"),
+    ("request_status", "cast(0 as int)"),
+)
+
+CHANGES: dict[str, TableSpec] = {
+    # Support requests already stored (orders before 1995) and a new batch.
+    "customer_support": TableSpec("customer_support", (
+        Derived("orders", _REQUEST_COLUMNS, "o_orderdate < cast('1995-01-01' as timestamp)"),)),
+    "support_requests": TableSpec("support_requests", (
+        Derived("orders", _REQUEST_COLUMNS, "o_orderdate >= cast('1995-01-01' as timestamp)"),)),
+    # Profile edits: one per building-segment customer, plus edits of users
+    # that do not exist (reported as unmatched).
+    "user_edits": TableSpec("user_edits", (
+        Derived("customer", (
+            ("user_id", "cast(c_custkey as string)"),
+            ("first_name", "upper(c_name)"),
+            ("last_name", "lower(c_mktsegment)"),
+            ("designation", "case when c_acctbal > 5000 then 'Manager' else cast(NULL as string) end"),
+        ), "c_mktsegment = 'BUILDING'"),
+        Derived("supplier", (
+            ("user_id", "concat('x', cast(s_suppkey as string))"),
+            ("first_name", "s_name"),
+            ("last_name", "'ghost'"),
+            ("designation", "'Nobody'"),
+        )),
+    )),
+    # Operators of suppliers in debt are removed.
+    "operator_deletes": TableSpec("operator_deletes", (
+        Derived("supplier", (("operator_id", "concat('O', cast(s_suppkey as string))"),),
+                "s_acctbal < 0"),)),
+    # Holiday requests for tenants 3-5; some collide with stored holidays.
+    "holiday_requests": TableSpec("holiday_requests", (
+        Derived("orders", (
+            ("holiday_id", "concat('q', cast(o_orderkey as string))"),
+            ("holiday_name", "'Requested'"),
+            ("holiday_date", "cast(cast(o_orderdate as date) as string)"),
+            ("holiday_image", "cast(NULL as string)"),
+            ("created_by", "cast(o_custkey as string)"),
+            ("company_id", "cast(3 + o_custkey % 3 as string)"),
+        ), "o_orderpriority = '2-HIGH'"),)),
+    # Every stored holiday of tenant 4 moves one day later.
+    "holiday_moves": TableSpec("holiday_moves", (
+        Derived("model:holidays", (
+            ("holiday_id", "holiday_id"),
+            ("holiday_name", "concat(holiday_name, ' (moved)')"),
+            ("holiday_date", "cast(cast(cast(holiday_date as date) + interval 1 day as date) as string)"),
+            ("holiday_image", "cast(NULL as string)"),
+            ("created_by", "created_by"),
+            ("company_id", "company_id"),
+        ), "company_id = '4'"),)),
+    # Machine type names requested by new or edited machines.
+    "type_requests": TableSpec("type_requests", (
+        Derived("part", (("machine_type_name", "p_type"),)),)),
+    # Edits of automobile-segment machines; odd nations name the wrong owner
+    # (the guard rejects them); an image, when given, cascades to the parts.
+    "machine_updates": TableSpec("machine_updates", (
+        Derived("customer", (
+            ("machine_uid", "concat('M', cast(c_custkey as string))"),
+            ("machine_id", "cast(c_custkey as string)"),
+            ("machine_name", "lower(c_name)"),
+            ("machine_plant", "'AUTOMOBILE'"),
+            ("machine_model", "concat('Y', cast(c_nationkey as string))"),
+            ("machine_customer", "c_name"),
+            ("machine_location", "concat('Site ', cast(c_nationkey as string))"),
+            ("machine_longitude", "cast(c_nationkey as double)"),
+            ("machine_latitude", "cast(c_custkey as double)"),
+            ("machine_type_name", "case when c_nationkey % 2 = 0 then 'ASIA' "
+                                  "else concat('Type ', cast(c_nationkey as string)) end"),
+            ("company_id", "cast((c_custkey + c_nationkey % 2) % 3 as string)"),
+            ("machine_image", "case when c_acctbal > 0 then concat('img/upd/', cast(c_custkey as string), '.png') "
+                              "else cast(NULL as string) end"),
+        ), "c_mktsegment = 'AUTOMOBILE'"),)),
+    # Desired operator lists per machine: suppliers not in debt, plus one
+    # trainee per nation.
+    "operator_roster": TableSpec("operator_roster", (
+        Derived("supplier", (
+            ("machine_id", "concat('M', cast(s_suppkey % 12 as string))"),
+            ("operator_name", "s_name"),
+            ("created_by", "cast(s_nationkey as string)"),
+            ("company_id", "cast(s_suppkey % 3 as string)"),
+        ), "s_acctbal >= 0"),
+        Derived("nation", (
+            ("machine_id", "concat('M', cast(n_nationkey % 12 as string))"),
+            ("operator_name", "concat('Trainee ', n_name)"),
+            ("created_by", "'0'"),
+            ("company_id", "cast(n_nationkey % 3 as string)"),
+        )),
+    )),
+}
