@@ -16,7 +16,7 @@ text more than once per row per branch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shopfloor.functions.numeric import micros_between, round_half_up, to_minutes, wire_weight
 from shopfloor.functions.timefmt import interval_label, period_label, trunc_ntz
@@ -47,7 +47,7 @@ def company_machines(t: Tables, p: Params) -> DataFrame:
 
 def telemetry(t: Tables, p: Params) -> DataFrame:
     """Typed telemetry in range, restricted to the requested tenant's devices."""
-    base = tm.base(t.device_data, p)
+    base = tm.typed_in_range(t, p)
     if p.company is not None or p.machine_uid is not None:
         ids = company_machines(t, p).select(F.col("machine_id").alias(DEV))
         base = base.join(ids, on=DEV, how="left_semi")
@@ -142,14 +142,24 @@ def target_weight_from(lengths: DataFrame, diameters: DataFrame, keys: list[str]
 
 def minute_target_length(stats: DataFrame) -> DataFrame:
     """Ideal length at minute grain, scaled by the device's max speed of the day."""
-    s = (stats.where(F.col("n_ls") > 0)
-         .withColumn("day", F.to_date(F.col("minute")))
-         .withColumn("span_min", to_minutes(micros_between(F.col("first_ls"), F.col("last_ls")))))
-    day_max = s.groupBy(DEV, "day").agg(F.max("vmax").alias("day_vmax"))
-    return (s.join(day_max, on=[DEV, "day"], how="inner")
-            .groupBy(DEV)
-            .agg(F.sum(_f("up_ls") / _f("n_ls") * F.col("day_vmax") * F.col("span_min"))
-                 .alias("total_length")))
+    return minute_chain(stats).select(DEV, "total_length").where(F.col("total_length").isNotNull())
+
+
+def minute_chain(stats: DataFrame) -> DataFrame:
+    """Availability and minute-grain ideal length per device from one pass
+    over the per-minute table.  The day's top speed comes from a window over
+    (device, day) on that table -- at most 1440 rows per partition, so no
+    partition can grow with the data."""
+    day = F.to_date(F.col("minute"))
+    w = Window.partitionBy(DEV, day)
+    s = stats.withColumn("day_vmax", F.max("vmax").over(w))
+    span = to_minutes(micros_between(F.col("first_ls"), F.col("last_ls")))
+    up, down = _f("up") / _f("n"), _f("down") / _f("n")
+    length = F.when(F.col("n_ls") > 0, _f("up_ls") / _f("n_ls") * F.col("day_vmax") * span)
+    return (s.groupBy(DEV).agg(F.sum(up).alias("su"), F.sum(down).alias("sd"),
+                               F.sum(length).alias("total_length"))
+            .select(DEV, (F.col("su") / _nullif0(F.col("su") + F.col("sd")) * 100.0).alias("availability"),
+                    "total_length"))
 
 
 def day_target_length(base: DataFrame) -> DataFrame:
@@ -180,22 +190,26 @@ def target_weight(t: Tables, p: Params) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _device_parts(t: Tables, p: Params, grain: str):
+    """Per device: availability and target weight (one frame), actual weight."""
     base = telemetry(t, p)
-    stats = minute_stats(base)
-    avail = availability_from(stats, [DEV])
+    chain = minute_chain(minute_stats(base))
+    if grain != "minute":
+        chain = chain.drop("total_length").join(day_target_length(base), on=DEV, how="left")
+    # Σ over the device's distinct diameters of W(d, L): the per-device row
+    # fans out to its (few) diameters and folds back in one aggregate.
+    dia = distinct_diameters(base, [DEV])
+    w = wire_weight(F.col("diameter"), F.col("total_length"))
+    at = (chain.join(dia, on=DEV, how="left").groupBy(DEV)
+          .agg(F.first("availability").alias("availability"),
+               F.sum(F.when(F.col("total_length").isNotNull(), w)).alias("target_weight")))
     actual = actual_weight_from(speed_gaps(base, p), [DEV])
-    length = minute_target_length(stats) if grain == "minute" else day_target_length(base)
-    target = target_weight_from(length, distinct_diameters(base, [DEV]), [DEV])
-    return avail, actual, target
+    return at, actual
 
 
-def _join_machines(t: Tables, p: Params, avail, actual, target) -> DataFrame:
+def _join_machines(t: Tables, p: Params, at, actual) -> DataFrame:
     m = company_machines(t, p).select("machine_uid", "machine_id")
-    key = F.col("machine_id")
-    return (m.join(avail.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left")
-            .join(actual.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left")
-            .join(target.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left")
-            .withColumn("_k", key).drop("_k"))
+    return (m.join(at.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left")
+            .join(actual.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left"))
 
 
 def oee_company(t: Tables, p: Params, grain: str = "minute") -> DataFrame:

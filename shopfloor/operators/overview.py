@@ -23,7 +23,7 @@ def _current_year_length(t: Tables, p: Params, base: DataFrame) -> DataFrame:
               .agg((F.max("month_production") - F.min("month_production")).alias("d")))
     lo = F.month(F.to_timestamp_ntz(F.lit(p.start)))
     hi = F.month(F.to_timestamp_ntz(F.lit(p.end)))
-    cur_year = F.year(tm.as_of(t.device_data, p))
+    cur_year = F.year(status.as_of(t, p))
     return (months.where((F.col("y") == cur_year) & F.col("mo").between(lo, hi))
             .groupBy(DEV).agg(round_half_up(F.sum("d"), 0).alias("produced_length")))
 
@@ -33,7 +33,7 @@ def _fanout_reels(t: Tables, p: Params, base: DataFrame) -> DataFrame:
     0->1 flip in range, i.e. ``rows(device) * flips(device)`` -- computed as a
     product of two counts rather than materialising the pairs."""
     flips = production.flips(base, p, "bobbin")
-    rows = t.device_data.groupBy(F.col("deviceuid").alias(DEV)).agg(F.count(F.lit(1)).alias("n"))
+    rows = tm.typed_all(t).groupBy(DEV).agg(F.count(F.lit(1)).alias("n"))
     return flips.join(rows, on=DEV, how="inner").select(
         DEV, (F.col("produced_reels") * F.col("n")).alias("produced_reels"))
 

@@ -17,14 +17,20 @@ from shopfloor.sources.fixtures import Tables
 STOPPED, RUNNING, OFFLINE, IDLE, SLOW, UNKNOWN = 0, 1, 2, 3, 4, 5
 
 
+def as_of(t: Tables, p: Params):
+    """``NOW()``: the given instant, else the newest reading (scalar subquery)."""
+    if p.as_of is not None:
+        return F.to_timestamp_ntz(F.lit(p.as_of))
+    return tm.typed_all(t).select(F.max("ts")).scalar()
+
+
 def recent(t: Tables, p: Params) -> DataFrame:
     """Typed readings of the status window (no request range applies)."""
-    dd = t.device_data
-    since = tm.as_of(dd, p) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(p.status_window_minutes))
-    df = dd.where(F.col("timestamp") >= since)
+    since = as_of(t, p) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(p.status_window_minutes))
+    df = tm.typed_all(t).where(F.col("ts") >= since)
     if p.device is not None:
         df = df.where(F.col("deviceuid") == F.lit(p.device))
-    return tm.typed(tm.parse(df))
+    return df
 
 
 def status_by_max(t: Tables, p: Params) -> DataFrame:

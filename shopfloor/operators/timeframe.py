@@ -108,11 +108,11 @@ def _shift_states(t: Tables, p: Params) -> DataFrame:
     inst = (company_machines(t, p).select(F.col("machine_id").alias(DEV), "company_id")
             .join(cal, on="company_id", how="inner"))
     first, last = F.to_date(F.lit(p.start)), F.to_date(F.lit(p.end))
-    dd = t.device_data.where(F.to_date(F.col("timestamp")).between(first, last))
-    if p.device is not None:
-        dd = dd.where(F.col("deviceuid") == F.lit(p.device))
-    rows = (tm.typed(tm.parse(dd)).select(DEV, "ts", "mc_text", "act_speed")
-            .withColumn("shift_date", F.to_date(F.col("ts"))))
+    # Whole days of the range (a shift on the last date runs past p.end).
+    days = p.with_(start=f"{p.start[:10]} 00:00:00", end=f"{p.end[:10]} 23:59:59.999999")
+    rows = (tm.typed_in_range(t, days).select(DEV, "ts", "mc_text", "act_speed")
+            .withColumn("shift_date", F.to_date(F.col("ts")))
+            .where(F.col("shift_date").between(first, last)))
     hit = (rows.join(inst.select(DEV, "shift_date", "shift_id", "shift_start", "shift_end"),
                      on=[DEV, "shift_date"], how="inner")
            .where(F.col("ts").between(F.col("shift_start"), F.col("shift_end")))

@@ -7,21 +7,19 @@ one device holding a third of all rows that task never finishes.
 
 The sequence is therefore cut into time buckets (an hour by default):
 
-1. a window partitioned by ``keys + bucket`` gives the neighbour of every row
-   except the first / last row of each bucket;
-2. a grouped aggregate keeps, per ``keys + bucket``, only the first and the
-   last row (``min_by`` / ``max_by``) -- its size is the number of non-empty
-   buckets, independent of how many rows a bucket holds;
-3. a small window over that aggregate (partitioned by ``keys``, ordered by
-   bucket) hands each bucket the first row of the next non-empty bucket and
-   the last row of the previous one;
-4. an equi-join on ``keys + bucket`` fills the bucket edges.  The big side is
-   already hash-partitioned on exactly these keys by step 1, so only the
-   small edge table moves (or AQE broadcasts it once its size is known).
-
-The result equals the single-window form for any bucket width: the order
-column must be non-null and unique within ``keys`` (ties need a tie-breaker
-column appended to ``order``).
+1. a window partitioned by ``keys + bucket`` gives the neighbours of every
+   row except the first / last row of each bucket ("edge" rows);
+2. only edge rows are re-windowed, partitioned by ``keys`` alone: they are at
+   most two per non-empty bucket, so this window is small whatever the data
+   volume.  Ordered by the sequence column, the successor of a bucket's last
+   row among the edge rows is the first row of the next non-empty bucket --
+   its true successor -- and symmetrically for predecessors;
+3. interior rows and corrected edge rows are unioned back.
+
+No join and no aggregate is needed; the big side is shuffled once, by
+``keys + bucket``.  The result equals the single-window form for any bucket
+width, provided ``order`` is non-null and unique within ``keys`` (append a
+tie-breaker column otherwise).
 """
 
 from __future__ import annotations
@@ -33,10 +31,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _B = "__nb_bucket"
 _NEXT_O = "__nb_next_order"
 _PREV_O = "__nb_prev_order"
-_FIRST = "__nb_first"
-_LAST = "__nb_last"
-_NEXT_FIRST = "__nb_next_first"
-_PREV_LAST = "__nb_prev_last"
 
 
 def with_neighbors(df: DataFrame, keys: Sequence[str], order: str, bucket: Column,
@@ -51,48 +45,26 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
     lead = dict(lead or {})
     lag = dict(lag or {})
     keys = list(keys)
-    d = df.withColumn(_B, bucket)
-
-    w = Window.partitionBy(*keys, _B).orderBy(order)
-    inner_cols = [F.lead(order).over(w).alias(_NEXT_O), F.lag(order).over(w).alias(_PREV_O)]
-    inner_cols += [F.lead(src).over(w).alias(f"__nb_lead_{name}") for name, src in lead.items()]
-    inner_cols += [F.lag(src).over(w).alias(f"__nb_lag_{name}") for name, src in lag.items()]
-    inner = d.select("*", *inner_cols)
-
-    edge_aggs = []
-    if lead:
-        edge_aggs.append(F.min_by(F.struct(*[F.col(s).alias(n) for n, s in lead.items()]),
-                                  F.col(order)).alias(_FIRST))
-    if lag:
-        edge_aggs.append(F.max_by(F.struct(*[F.col(s).alias(n) for n, s in lag.items()]),
-                                  F.col(order)).alias(_LAST))
-    if not edge_aggs:
+    if not lead and not lag:
         return df
-    edges = d.groupBy(*keys, _B).agg(*edge_aggs)
-    we = Window.partitionBy(*keys).orderBy(_B)
-    edge_cols = [F.col(k) for k in keys] + [F.col(_B)]
-    if lead:
-        edge_cols.append(F.lead(_FIRST).over(we).alias(_NEXT_FIRST))
-    if lag:
-        edge_cols.append(F.lag(_LAST).over(we).alias(_PREV_LAST))
-    edges = edges.select(*edge_cols)
+    cols = list(df.columns)
 
-    e = edges.alias("__nb_e")
-    i = inner.alias("__nb_i")
-    cond = [F.col(f"__nb_i.{k}").eqNullSafe(F.col(f"__nb_e.{k}")) for k in keys + [_B]]
-    joined = i.join(e, on=cond, how="left")
-
-    out = [F.col(f"__nb_i.{c}") for c in df.columns]
-    for name in lead:
-        out.append(F.when(F.col(f"__nb_i.{_NEXT_O}").isNull(),
-                          F.col(f"__nb_e.{_NEXT_FIRST}")[name])
-                   .otherwise(F.col(f"__nb_i.__nb_lead_{name}")).alias(name))
-    for name in lag:
-        out.append(F.when(F.col(f"__nb_i.{_PREV_O}").isNull(),
-                          F.col(f"__nb_e.{_PREV_LAST}")[name])
-                   .otherwise(F.col(f"__nb_i.__nb_lag_{name}")).alias(name))
-    return joined.select(*out)
-
-
-def hour_bucket(ts: str = "ts", unit: str = "hour") -> Column:
-    return F.date_trunc(unit, F.col(ts))
+    w = Window.partitionBy(*keys, _B).orderBy(order)
+    inner = df.withColumn(_B, bucket).select(
+        *cols,
+        F.lead(order).over(w).alias(_NEXT_O), F.lag(order).over(w).alias(_PREV_O),
+        *[F.lead(src).over(w).alias(name) for name, src in lead.items()],
+        *[F.lag(src).over(w).alias(name) for name, src in lag.items()])
+    out = [*cols, *lead, *lag]
+
+    interior = inner.where(F.col(_NEXT_O).isNotNull() & F.col(_PREV_O).isNotNull()).select(*out)
+
+    edge = inner.where(F.col(_NEXT_O).isNull() | F.col(_PREV_O).isNull())
+    we = Window.partitionBy(*keys).orderBy(order)
+    fixed = edge.select(
+        *cols,
+        *[F.when(F.col(_NEXT_O).isNull(), F.lead(src).over(we)).otherwise(F.col(name)).alias(name)
+          for name, src in lead.items()],
+        *[F.when(F.col(_PREV_O).isNull(), F.lag(src).over(we)).otherwise(F.col(name)).alias(name)
+          for name, src in lag.items()])
+    return interior.unionByName(fixed)

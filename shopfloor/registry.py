@@ -18,9 +18,22 @@ from shopfloor.sources.fixtures import Tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """One ``Tables`` per session and data directory, so dimension sources
+    and the typed telemetry store are resolved once and shared by queries."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    t = _TABLES.get(key)
+    if t is None:
+        t = _TABLES[key] = Tables(spark, sf_dir)
+    return t
+
+
 def _q(fn, *args, params: Params = DEFAULT, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Tables(spark, sf_dir), params, *args, **kw)
+        return fn(tables_for(spark, sf_dir), params, *args, **kw)
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 

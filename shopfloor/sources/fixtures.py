@@ -193,6 +193,9 @@ def table_sql(name: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+TELEMETRY_SOURCE = "events"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give an under-split scan at least one partition per core.
 
@@ -209,14 +212,18 @@ def spread(df: DataFrame) -> DataFrame:
 class Tables:
     """Lazily built model tables over one driver data directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        # Parse the telemetry JSON once per session into a typed table in the
+        # checkpoint folder (see sources.telemetry.stored).
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(df)
+        # Only the telemetry source carries per-row heavy work (JSON).
+        return spread(df) if name == TELEMETRY_SOURCE else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in SPECS and name not in CHANGES):
