@@ -64,8 +64,8 @@ def alarm_breakdowns(t: Tables, p: Params) -> DataFrame:
         F.col(DEV).alias("machine_id"), "alarm_code", "alarm_description",
         F.col("count").cast("bigint").alias("count"),
         F.coalesce(hours_2dp(F.col("dur_us")), F.lit(0.0)).alias("duration"),
-        ratio_half_up(F.col("count"), F.col("total_count"), 0).alias("cumulative_percent_count"),
-        ratio_half_up(dur_us, F.col("total_us"), 0).alias("cumulative_percent_duration"))
+        ratio_half_up(F.col("count") * 100, F.col("total_count"), 0).alias("cumulative_percent_count"),
+        ratio_half_up(dur_us * 100, F.col("total_us"), 0).alias("cumulative_percent_duration"))
 
 
 def _total_days(p: Params) -> int:
