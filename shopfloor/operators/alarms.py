@@ -25,7 +25,7 @@ DEV = "deviceuid"
 
 def _readings(t: Tables, p: Params) -> DataFrame:
     """Readings in range with the whole payload as ``map<string,string>``."""
-    return tm.payload_map(tm.in_range(t.device_data, p))
+    return tm.typed_in_range(t, p).select(DEV, "ts", "payload_map")
 
 
 def _present(readings: DataFrame, alarms: DataFrame, integer: bool = False) -> DataFrame:

@@ -3,19 +3,19 @@
 ``device_data(deviceuid, timestamp, data)`` stores each reading as a JSON
 object whose keys may be missing.  The reference re-parses the text in every
 CTE (``data->>'KEY'``, ``data::jsonb ? 'KEY'``); here the payload is parsed
-once per row into a struct of ``VARIANT`` fields holding only the keys the
-metrics read (the JSON reader skips every other key).  A missing key is a
-SQL NULL field while a JSON ``null`` is a non-null variant, so key existence
-(``has_*``) stays exact and separate from the value.
+once per row into a ``VARIANT`` (Spark's binary semi-structured encoding) and
+every value is read from it by path.  A missing key is SQL NULL while a JSON
+``null`` is a non-null variant, so key existence (``has_*``) stays exact and
+separate from the value.
 
 Metrics over arbitrary keys (alarm codes come from a table) use
-``payload_map``: the whole object as ``map<string,string>``.
+``payload_map``: the whole object as ``map<string,string>``, cast from the
+same variant.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType, VariantType
 
 from shopfloor.params import Params
 
@@ -29,9 +29,6 @@ COLD_DIA = "ACT_COLD_DIA"
 MONTH_PRODUCTION = "This Month Production"
 BOBBIN_CHANGE = "P_DT_BOBIN_FORMER_CHANGE"
 
-METRIC_KEYS = (MC_STATUS, ACT_SPEED, TARGET_SPEED, LINE_SPEED, COLD_DIA,
-               MONTH_PRODUCTION, BOBBIN_CHANGE)
-PAYLOAD_SCHEMA = StructType([StructField(k, VariantType(), True) for k in METRIC_KEYS])
 MAP_TYPE = "map<string,string>"
 
 
@@ -49,23 +46,26 @@ def in_range(device_data: DataFrame, params: Params) -> DataFrame:
     return df
 
 
-def _field(key: str) -> Column:
-    return F.col("payload").getField(key)
+def _path(key: str) -> str:
+    """Variant path of a top-level key (bracket form: keys may hold spaces)."""
+    if '"' in key:
+        raise ValueError(f"unsupported payload key {key!r}")
+    return '$["' + key + '"]'
 
 
 def value(key: str) -> Column:
     """``data->>'key'``: the text value, NULL when missing or JSON null."""
-    return F.variant_get(_field(key), "$", "string")
+    return F.variant_get(F.col("payload"), _path(key), "string")
 
 
 def number(key: str) -> Column:
     """``(data->>'key')::numeric`` as a double (non-numeric text raises)."""
-    return F.variant_get(_field(key), "$", "double")
+    return F.variant_get(F.col("payload"), _path(key), "double")
 
 
 def has(key: str) -> Column:
     """``data::jsonb ? 'key'`` (true for a JSON null value too)."""
-    return _field(key).isNotNull()
+    return F.variant_get(F.col("payload"), _path(key), "variant").isNotNull()
 
 
 def parse(device_data: DataFrame) -> DataFrame:
@@ -78,17 +78,13 @@ def parse(device_data: DataFrame) -> DataFrame:
     return device_data.select(
         F.col("deviceuid"),
         F.col("timestamp").alias("ts"),
-        F.from_json(F.col("data"), PAYLOAD_SCHEMA).alias("payload"),
+        F.try_parse_json(F.col("data")).alias("payload"),
     )
 
 
 def payload_map(device_data: DataFrame) -> DataFrame:
     """Whole payload as ``map<string,string>`` (JSON null -> NULL value)."""
-    return device_data.select(
-        F.col("deviceuid"),
-        F.col("timestamp").alias("ts"),
-        F.parse_json(F.col("data")).cast(MAP_TYPE).alias("payload_map"),
-    )
+    return parse(device_data).select("deviceuid", "ts", F.col("payload").cast(MAP_TYPE).alias("payload_map"))
 
 
 def typed(parsed: DataFrame) -> DataFrame:
@@ -108,6 +104,7 @@ def typed(parsed: DataFrame) -> DataFrame:
         number(MONTH_PRODUCTION).alias("month_production"),
         has(BOBBIN_CHANGE).alias("has_bobbin"),
         value(BOBBIN_CHANGE).alias("bobbin"),
+        F.col("payload").cast(MAP_TYPE).alias("payload_map"),
     )
 
 
@@ -133,7 +130,7 @@ def as_of(device_data: DataFrame, params: Params) -> Column:
 
 TYPED_COLUMNS = ("deviceuid", "ts", "has_mc", "mc_text", "mc_status", "act_speed", "target_speed",
                  "has_line_speed", "line_speed", "has_diameter", "diameter",
-                 "has_month_production", "month_production", "has_bobbin", "bobbin")
+                 "has_month_production", "month_production", "has_bobbin", "bobbin", "payload_map")
 
 _STORE: dict[tuple[str, str], DataFrame] = {}
 

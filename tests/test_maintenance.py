@@ -79,3 +79,20 @@ def test_reconcile_set_is_idempotent(spark):
     twice, counts2 = mt.reconcile_set(once, want)
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
     assert [(r["added"], r["deleted"]) for r in counts2.collect()] == [(0, 0)]
+
+
+def test_profile_left_join_keeps_users_without_company(spark):
+    from types import SimpleNamespace
+
+    from shopfloor.operators import catalog
+    from shopfloor.params import Params
+    users = spark.createDataFrame([("u1", "a", "b", "e", "d", "c1", 1, 0), ("u2", "a", "b", "e", "d", "c9", 1, 0)],
+                                  "user_id string, first_name string, last_name string, personal_email string, "
+                                  "designation string, company_id string, verified int, block int")
+    comps = spark.createDataFrame([("c1", "Co", "m", "0", "x")],
+                                  "company_id string, company_name string, company_email string, contact_no string, location string")
+    t = SimpleNamespace(user_info=users, company_info=comps)
+    inner = catalog.user_company_profile(t, Params())
+    left = catalog.user_company_profile(t, Params(), how="left")
+    assert [r["user_id"] for r in inner.collect()] == ["u1"]
+    assert sorted((r["user_id"], r["company_name"]) for r in left.collect()) == [("u1", "Co"), ("u2", None)]
