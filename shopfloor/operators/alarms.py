@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shopfloor.functions.numeric import hours_2dp, micros_between, ratio_half_up
 from shopfloor.operators.oee import company_machines
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import with_neighbors
+from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
@@ -25,7 +25,7 @@ DEV = "deviceuid"
 
 def _readings(t: Tables, p: Params) -> DataFrame:
     """Readings in range with the whole payload as ``map<string,string>``."""
-    return tm.typed_in_range(t, p).select(DEV, "ts", "payload_map")
+    return tm.typed_in_range(t, p).select(DEV, "ts", "seq_bucket", "payload_map")
 
 
 def _present(readings: DataFrame, alarms: DataFrame, integer: bool = False) -> DataFrame:
@@ -47,9 +47,9 @@ def alarm_breakdowns(t: Tables, p: Params) -> DataFrame:
     the share of all flips / hours of the machine (rounded to integers).
     Neighbours are taken per alarm over the readings that carry it."""
     pairs = _present(_readings(t, p), t.alarms, integer=True).select(
-        DEV, "ts", "alarm_code", "alarm_description", "alarm_status")
+        DEV, "ts", "seq_bucket", "alarm_code", "alarm_description", "alarm_status")
     keys = [DEV, "alarm_code"]
-    seq = with_neighbors(pairs, keys, "ts", F.date_trunc(p.sequence_bucket, F.col("ts")),
+    seq = with_neighbors(pairs, keys, "ts", sequence_bucket(p.sequence_bucket),
                          lead={"next_ts": "ts"}, lag={"prev_status": "alarm_status"})
     inc = F.when((F.col("prev_status") == "0") & (F.col("alarm_status") == "1"), 1).otherwise(0)
     dur = F.when(F.col("alarm_status") == "1", micros_between(F.col("ts"), F.col("next_ts"))).otherwise(0)
@@ -86,9 +86,9 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
     ``A`` the number of alarms, and SQL NULL rules of the sums are kept by
     counting the contributing pairs.
     """
-    readings = _readings(t, p).select(DEV, "ts", "payload_map",
+    readings = _readings(t, p).select(DEV, "ts", "seq_bucket", "payload_map",
                                       F.col("payload_map").getItem(tm.MC_STATUS).alias("mc_text"))
-    seq = with_neighbors(readings, [DEV], "ts", F.date_trunc(p.sequence_bucket, F.col("ts")),
+    seq = with_neighbors(readings, [DEV], "ts", sequence_bucket(p.sequence_bucket),
                          lead={"next_ts": "ts"}, lag={"prev_map": "payload_map"})
     seq = seq.withColumn("gap", micros_between(F.col("ts"), F.col("next_ts")))
     running = F.col("mc_text") == "1"

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shopfloor.functions.numeric import micros_between, round_half_up, to_minutes, wire_weight
 from shopfloor.functions.timefmt import interval_label, period_label, trunc_ntz
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import with_neighbors
+from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
@@ -63,8 +63,10 @@ def minute_stats(base: DataFrame) -> DataFrame:
     over readings that also carry a line speed.  One aggregation serves the
     availability and the minute-grain target."""
     both = F.col("has_line_speed")
+    # seq_bucket is implied by the minute; grouping by it too lets the
+    # aggregate run on the store's (device, seq_bucket) buckets unshuffled.
     return (base.where(F.col("has_mc"))
-            .groupBy(DEV, trunc_ntz("minute", F.col("ts")).alias("minute"))
+            .groupBy(DEV, "seq_bucket", trunc_ntz("minute", F.col("ts")).alias("minute"))
             .agg(F.count(F.lit(1)).alias("n"),
                  F.count_if(F.col("mc_status") == 1).alias("up"),
                  F.count_if(F.col("mc_status") == 0).alias("down"),
@@ -103,9 +105,8 @@ def speed_gaps(base: DataFrame, p: Params, keys: list[str] | None = None,
     if require_diameter:
         rows = rows.where(F.col("has_diameter"))
     keys = keys or [DEV]
-    rows = rows.select(*keys, "ts", "line_speed", "diameter")
-    seq = with_neighbors(rows, keys, "ts", F.date_trunc(p.sequence_bucket, F.col("ts")),
-                         lead={"next_ts": "ts"})
+    rows = rows.select(*keys, "ts", "seq_bucket", "line_speed", "diameter")
+    seq = with_neighbors(rows, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
     return (seq.where(F.col("next_ts").isNotNull())
             .withColumn("gap_min", to_minutes(micros_between(F.col("ts"), F.col("next_ts")))))
 
@@ -272,8 +273,7 @@ def oee_by_period(t: Tables, p: Params, unit: str) -> DataFrame:
     upr, dnr = _f("up") / _f("n"), _f("down") / _f("n")
     avail = st.select(*keys, (upr / _nullif0(upr + dnr) * 100.0).alias("availability"))
 
-    gaps = speed_gaps(base.select(DEV, "ts", "period", "has_line_speed", "line_speed", "diameter"), p)
-    gaps = gaps.withColumn("period", period_label(unit, F.col("ts")))
+    gaps = speed_gaps(base, p).withColumn("period", period_label(unit, F.col("ts")))
     actual = actual_weight_from(gaps, keys)
 
     pl = (base.where(F.col("has_mc") & F.col("has_line_speed")).groupBy(*keys)

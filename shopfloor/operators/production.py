@@ -8,7 +8,7 @@ from shopfloor.functions.numeric import round_half_up
 from shopfloor.functions.timefmt import trunc_ntz
 from shopfloor.operators.oee import company_machines, telemetry
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import with_neighbors
+from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
 from shopfloor.sources.fixtures import Tables
 
 DEV = "deviceuid"
@@ -30,8 +30,8 @@ def monthly_production(t: Tables, p: Params) -> DataFrame:
 def flips(rows: DataFrame, p: Params, flag: str) -> DataFrame:
     """Per device: count of readings whose ``flag`` went from '0' to '1'
     relative to the previous reading of the same rows."""
-    seq = with_neighbors(rows.select(DEV, "ts", flag), [DEV], "ts",
-                         F.date_trunc(p.sequence_bucket, F.col("ts")), lag={"prev": flag})
+    seq = with_neighbors(rows.select(DEV, "ts", "seq_bucket", flag), [DEV], "ts",
+                         sequence_bucket(p.sequence_bucket), lag={"prev": flag})
     return (seq.where((F.col("prev") == "0") & (F.col(flag) == "1"))
             .groupBy(DEV).agg(F.count(F.lit(1)).alias("produced_reels")))
 

@@ -9,7 +9,7 @@ from shopfloor.functions.numeric import hours_2dp, micros_between, round_half_up
 from shopfloor.functions.timefmt import iso_millis, to_kolkata, trunc_ntz
 from shopfloor.operators.oee import company_machines, telemetry
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import with_neighbors
+from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
@@ -26,8 +26,8 @@ def production_idle_time(t: Tables, p: Params) -> DataFrame:
     followed by a gap over 15 minutes -- a reading may count in both.  The
     last reading of a device has no gap and is skipped.
     """
-    rows = telemetry(t, p).select(DEV, "ts", "mc_status", "act_speed", "target_speed")
-    seq = with_neighbors(rows, [DEV], "ts", F.date_trunc(p.sequence_bucket, F.col("ts")),
+    rows = telemetry(t, p).select(DEV, "ts", "seq_bucket", "mc_status", "act_speed", "target_speed")
+    seq = with_neighbors(rows, [DEV], "ts", sequence_bucket(p.sequence_bucket),
                          lead={"next_ts": "ts"}).where(F.col("next_ts").isNotNull())
     gap = micros_between(F.col("ts"), F.col("next_ts"))
     g = F.least(gap, F.lit(MAX_GAP_US))
@@ -110,7 +110,7 @@ def _shift_states(t: Tables, p: Params) -> DataFrame:
     first, last = F.to_date(F.lit(p.start)), F.to_date(F.lit(p.end))
     # Whole days of the range (a shift on the last date runs past p.end).
     days = p.with_(start=f"{p.start[:10]} 00:00:00", end=f"{p.end[:10]} 23:59:59.999999")
-    rows = (tm.typed_in_range(t, days).select(DEV, "ts", "mc_text", "act_speed")
+    rows = (tm.typed_in_range(t, days).select(DEV, "ts", "seq_bucket", "mc_text", "act_speed")
             .withColumn("shift_date", F.to_date(F.col("ts")))
             .where(F.col("shift_date").between(first, last)))
     hit = (rows.join(inst.select(DEV, "shift_date", "shift_id", "shift_start", "shift_end"),
@@ -118,8 +118,7 @@ def _shift_states(t: Tables, p: Params) -> DataFrame:
            .where(F.col("ts").between(F.col("shift_start"), F.col("shift_end")))
            .drop("shift_start", "shift_end"))
     keys = [DEV, "shift_id", "shift_date"]
-    seq = with_neighbors(hit, keys, "ts", F.date_trunc(p.sequence_bucket, F.col("ts")),
-                         lead={"next_ts": "ts"})
+    seq = with_neighbors(hit, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
     sums = _state_sums(seq, keys)
     return inst.join(sums, on=keys, how="left")
 
@@ -152,12 +151,15 @@ def interval_timeframe(t: Tables, p: Params, unit: str) -> DataFrame:
     crosses an hour boundary is not counted even for day/week/month."""
     if unit not in ("hour", "day", "week", "month"):
         raise ValueError(f"unknown interval {unit!r}")
-    rows = (telemetry(t, p).select(DEV, "ts", "mc_text", "act_speed")
+    rows = (telemetry(t, p).select(DEV, "ts", "seq_bucket", "mc_text", "act_speed")
             .withColumn("local", to_kolkata(F.col("ts"))))
     rows = rows.withColumn("local_hour", trunc_ntz("hour", F.col("local")))
     rows = rows.withColumn("interval_key", trunc_ntz(unit, F.col("local")))
+    # The sequence bucket (UTC hour) splits each local hour in two: the
+    # window stays on the store's co-located buckets and neighbours are still
+    # exact within the local hour.
     keys = [DEV, "local_hour"]
-    seq = with_neighbors(rows, keys, "ts", F.date_trunc("minute", F.col("ts")), lead={"next_ts": "ts"})
+    seq = with_neighbors(rows, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
     sums = _state_sums(seq, [DEV, "interval_key"])
     return (sums.select(*_hours([F.col(DEV).alias("machine_id"), "interval_key"]))
             .orderBy("machine_id", "interval_key"))

@@ -68,3 +68,12 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
         *[F.when(F.col(_PREV_O).isNull(), F.lag(src).over(we)).otherwise(F.col(name)).alias(name)
           for name, src in lag.items()])
     return interior.unionByName(fixed)
+
+
+def sequence_bucket(unit: str, ts: str = "ts") -> Column:
+    """Bucket column for ``with_neighbors``: the stored ``seq_bucket`` when the
+    unit is the store's (co-located scan, no shuffle), else ``date_trunc``."""
+    from shopfloor.sources.telemetry import SEQ_UNIT
+    if unit == SEQ_UNIT:
+        return F.col("seq_bucket")
+    return F.date_trunc(unit, F.col(ts))

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopfloor.params import Params
+from shopfloor.functions.timefmt import trunc_ntz
+from shopfloor.params import DEFAULT, Params
 
 # The payload keys the metrics read (spelling as sent by the
 # machines, including the spaces).
@@ -31,6 +32,10 @@ BOBBIN_CHANGE = "P_DT_BOBIN_FORMER_CHANGE"
 
 MAP_TYPE = "map<string,string>"
 
+# Time bucket that splits device sequences (see plans.neighbors) and the
+# bucketing key of the typed store together with the device.
+SEQ_UNIT = DEFAULT.sequence_bucket
+
 
 def in_range(device_data: DataFrame, params: Params) -> DataFrame:
     """Closed time range (``BETWEEN``) plus the optional device filter.
@@ -91,6 +96,7 @@ def typed(parsed: DataFrame) -> DataFrame:
     """Typed view of the metric keys (only referenced columns survive pruning)."""
     return parsed.select(
         "deviceuid", "ts", "payload",
+        trunc_ntz(SEQ_UNIT, F.col("ts")).alias("seq_bucket"),
         has(MC_STATUS).alias("has_mc"),
         value(MC_STATUS).alias("mc_text"),
         number(MC_STATUS).alias("mc_status"),
@@ -128,25 +134,34 @@ def as_of(device_data: DataFrame, params: Params) -> Column:
 # Parse-once store
 # --------------------------------------------------------------------------
 
-TYPED_COLUMNS = ("deviceuid", "ts", "has_mc", "mc_text", "mc_status", "act_speed", "target_speed",
+TYPED_COLUMNS = ("deviceuid", "ts", "seq_bucket", "has_mc", "mc_text", "mc_status", "act_speed", "target_speed",
                  "has_line_speed", "line_speed", "has_diameter", "diameter",
                  "has_month_production", "month_production", "has_bobbin", "bobbin", "payload_map")
 
 _STORE: dict[tuple[str, str], DataFrame] = {}
 
 
-def store_typed(device_data: DataFrame, path: str) -> None:
-    """Write the typed telemetry once: Parquet partitioned by event date,
-    rows clustered by (device, time) inside each file.
+def store_typed(device_data: DataFrame, path: str, name: str, buckets: int) -> None:
+    """Write the typed telemetry once (the ingest step of a deployment).
+
+    Parquet partitioned by event month and bucketed by (device, sequence
+    bucket), rows sorted by time inside each bucket file:
 
-    This is the ingest step of a production deployment (raw JSON lands, the
-    typed table is appended per day); every metric then scans a few typed
-    columns of the dates it needs instead of re-parsing JSON per branch.
+    * every window and minute-grain aggregate of the library is keyed by a
+      superset of the bucket columns, so queries read the big side already
+      co-located and never shuffle it; bucketing on the pair, not on the
+      device alone, spreads a hot device over all buckets;
+    * a time range prunes whole months by partition and row groups inside
+      a month by the ``ts`` statistics (files are sorted by ``ts``).  Months,
+      not days: with thousands of buckets, daily partitions would explode
+      into millions of small files.
     """
     typed_df = typed(parse(device_data)).select(*TYPED_COLUMNS)
-    (typed_df.withColumn("event_date", F.to_date(F.col("ts")))
-     .sortWithinPartitions("event_date", "deviceuid", "ts")
-     .write.mode("overwrite").partitionBy("event_date").parquet(path))
+    (typed_df.withColumn("event_month", F.trunc(F.col("ts"), "month"))
+     .repartition(buckets, "deviceuid", "seq_bucket")
+     .write.mode("overwrite").partitionBy("event_month")
+     .bucketBy(buckets, "deviceuid", "seq_bucket").sortBy("ts")
+     .option("path", path).saveAsTable(name))
 
 
 def stored(tables) -> DataFrame:
@@ -159,9 +174,12 @@ def stored(tables) -> DataFrame:
     df = _STORE.get(key)
     if df is None:
         import uuid
-        path = f"{checkpoint_dir(spark).rstrip('/')}/typed_telemetry/{uuid.uuid4().hex}"
-        store_typed(tables.device_data, path)
-        df = _STORE[key] = spark.read.parquet(path)
+        tag = uuid.uuid4().hex
+        path = f"{checkpoint_dir(spark).rstrip('/')}/typed_telemetry/{tag}"
+        name = f"typed_telemetry_{tag}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        store_typed(tables.device_data, path, name, buckets)
+        df = _STORE[key] = spark.table(name)
     return df
 
 
@@ -169,7 +187,7 @@ def typed_all(tables) -> DataFrame:
     """Typed telemetry over all time: the stored table, or an in-plan parse
     when ``tables.materialize`` is off."""
     if getattr(tables, "materialize", False):
-        return stored(tables).drop("event_date")
+        return stored(tables).drop("event_month")
     return typed(parse(tables.device_data)).select(*TYPED_COLUMNS)
 
 
@@ -177,8 +195,8 @@ def typed_in_range(tables, params: Params) -> DataFrame:
     """Typed telemetry of the request range and device."""
     lo, hi = F.to_timestamp_ntz(F.lit(params.start)), F.to_timestamp_ntz(F.lit(params.end))
     if getattr(tables, "materialize", False):
-        df = stored(tables).where(F.col("event_date").between(F.to_date(lo), F.to_date(hi)))
-        df = df.where(F.col("ts").between(lo, hi)).drop("event_date")
+        df = stored(tables).where(F.col("event_month").between(F.trunc(lo, "month"), F.trunc(hi, "month")))
+        df = df.where(F.col("ts").between(lo, hi)).drop("event_month")
         if params.device is not None:
             df = df.where(F.col("deviceuid") == F.lit(params.device))
         return df
