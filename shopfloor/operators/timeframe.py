@@ -100,26 +100,30 @@ def _shift_states(t: Tables, p: Params) -> DataFrame:
     """Per machine and shift instance: state durations (zeros without data).
 
     The event-in-shift range join is binned by date: a shift instance lies
-    within its own date, so readings join on (device, date) and the range is
-    a residual filter on a hash join -- no nested loop.  Successors are taken
-    within the instance (device, shift, date), as in the reference.
+    within its own date, so readings (tagged with their machine's tenant)
+    join the tenant's calendar on (tenant, date) with the time range as a
+    residual filter -- a hash join against a small broadcast calendar, never
+    a nested loop, and the telemetry is not shuffled for it.  Successors are
+    taken within the instance (device, shift, date), as in the reference;
+    instances without readings keep zeros via the final left join.
     """
     cal = shift_calendar(t, p)
-    inst = (company_machines(t, p).select(F.col("machine_id").alias(DEV), "company_id")
-            .join(cal, on="company_id", how="inner"))
+    owners = company_machines(t, p).select(F.col("machine_id").alias(DEV), "company_id")
     first, last = F.to_date(F.lit(p.start)), F.to_date(F.lit(p.end))
     # Whole days of the range (a shift on the last date runs past p.end).
     days = p.with_(start=f"{p.start[:10]} 00:00:00", end=f"{p.end[:10]} 23:59:59.999999")
     rows = (tm.typed_in_range(t, days).select(DEV, "ts", "seq_bucket", "mc_text", "act_speed")
             .withColumn("shift_date", F.to_date(F.col("ts")))
             .where(F.col("shift_date").between(first, last)))
-    hit = (rows.join(inst.select(DEV, "shift_date", "shift_id", "shift_start", "shift_end"),
-                     on=[DEV, "shift_date"], how="inner")
+    windows = cal.select("company_id", "shift_date", "shift_id", "shift_start", "shift_end")
+    hit = (rows.join(owners, on=DEV, how="inner")
+           .join(windows, on=["company_id", "shift_date"], how="inner")
            .where(F.col("ts").between(F.col("shift_start"), F.col("shift_end")))
-           .drop("shift_start", "shift_end"))
+           .drop("shift_start", "shift_end", "company_id"))
     keys = [DEV, "shift_id", "shift_date"]
     seq = with_neighbors(hit, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
     sums = _state_sums(seq, keys)
+    inst = owners.join(cal, on="company_id", how="inner")
     return inst.join(sums, on=keys, how="left")
 
 

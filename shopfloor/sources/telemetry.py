@@ -114,22 +114,6 @@ def typed(parsed: DataFrame) -> DataFrame:
     )
 
 
-def base(device_data: DataFrame, params: Params) -> DataFrame:
-    """Range-filtered, parsed, typed telemetry."""
-    return typed(parse(in_range(device_data, params)))
-
-
-def latest_timestamp(device_data: DataFrame) -> Column:
-    """``NOW()`` replacement: the newest reading, as an in-plan scalar subquery."""
-    return device_data.select(F.max("timestamp")).scalar()
-
-
-def as_of(device_data: DataFrame, params: Params) -> Column:
-    if params.as_of is not None:
-        return F.to_timestamp_ntz(F.lit(params.as_of))
-    return latest_timestamp(device_data)
-
-
 # --------------------------------------------------------------------------
 # Parse-once store
 # --------------------------------------------------------------------------
