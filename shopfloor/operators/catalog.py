@@ -33,6 +33,14 @@ def machine_lookup(t: Tables, p: Params) -> DataFrame:
     return m.select("machine_uid", "machine_id", "company_id")
 
 
+def machine_record(t: Tables, p: Params) -> DataFrame:
+    """v1 lookup: every column of the machine, by uid only (no tenant guard)."""
+    m = t.machine
+    if p.machine_uid is not None:
+        m = m.where(F.col("machine_uid") == F.lit(p.machine_uid))
+    return m.select("*")
+
+
 def first_image(t: Tables) -> DataFrame:
     """Image of the lowest part id per machine (``ORDER BY id LIMIT 1``)."""
     return (t.machine_parts.groupBy(F.col("machine_id").alias("machine_uid"))

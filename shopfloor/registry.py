@@ -52,6 +52,7 @@ def queries() -> dict[str, Query]:
         out[f"oee_by_interval_{u}"] = _q(oee.oee_by_interval, u)
     out.update({
         "machine_lookup": _q(catalog.machine_lookup),
+        "machine_record": _q(catalog.machine_record),
         "machine_catalog": _q(catalog.machine_catalog),
         "machine_status": _q(status.machine_status),
         "machine_status_latest": _q(status.machine_status_latest),
@@ -64,6 +65,7 @@ def queries() -> dict[str, Query]:
         "holiday_list": _q(catalog.holiday_list),
         "shift_roster": _q(catalog.shift_roster),
         "user_company_profile": _q(catalog.user_company_profile),
+        "user_company_profile_left": _q(catalog.user_company_profile, how="left"),
         "operators_by_machine": _q(catalog.operators_by_machine),
         "notification_rules": _q(catalog.notification_rules),
         "production_idle_time": _q(timeframe.production_idle_time),

@@ -148,6 +148,21 @@ def store_typed(device_data: DataFrame, path: str, name: str, buckets: int) -> N
      .option("path", path).saveAsTable(name))
 
 
+BYTES_PER_BUCKET = 256 * 1024 * 1024
+
+
+def bucket_count(device_data: DataFrame) -> int:
+    """Buckets for the store: about 256 MB of input each, at least one per
+    core of the cluster (every bucket is one scan task), at most the session's
+    shuffle partition count unless the cores alone need more."""
+    spark = device_data.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    ceiling = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(device_data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-size // BYTES_PER_BUCKET)
+    return max(cores, min(ceiling, wanted))
+
+
 def stored(tables) -> DataFrame:
     """The typed telemetry of ``tables``, materialised on first use in the
     shared checkpoint folder (``spark.checkpoint.dir``) of the session."""
@@ -161,8 +176,7 @@ def stored(tables) -> DataFrame:
         tag = uuid.uuid4().hex
         path = f"{checkpoint_dir(spark).rstrip('/')}/typed_telemetry/{tag}"
         name = f"typed_telemetry_{tag}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        store_typed(tables.device_data, path, name, buckets)
+        store_typed(tables.device_data, path, name, bucket_count(tables.device_data))
         df = _STORE[key] = spark.table(name)
     return df
 

@@ -96,3 +96,12 @@ def test_profile_left_join_keeps_users_without_company(spark):
     left = catalog.user_company_profile(t, Params(), how="left")
     assert [r["user_id"] for r in inner.collect()] == ["u1"]
     assert sorted((r["user_id"], r["company_name"]) for r in left.collect()) == [("u1", "Co"), ("u2", None)]
+
+
+def test_json_delivery(spark):
+    import json
+
+    from shopfloor.sources.sinks import json_rows
+    df = spark.createDataFrame([("M1", 1.5, None)], "machine_uid string, oee double, note string")
+    row = json_rows(df, key="machine_uid").collect()[0]
+    assert row["machine_uid"] == "M1" and json.loads(row["json"]) == {"machine_uid": "M1", "oee": 1.5}
