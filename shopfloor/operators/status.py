@@ -27,7 +27,7 @@ def as_of(t: Tables, p: Params):
 def recent(t: Tables, p: Params) -> DataFrame:
     """Typed readings of the status window (no request range applies)."""
     since = as_of(t, p) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(p.status_window_minutes))
-    df = tm.typed_all(t).where(F.col("ts") >= since)
+    df = tm.typed_since(t, since)
     if p.device is not None:
         df = df.where(F.col("deviceuid") == F.lit(p.device))
     return df

@@ -189,6 +189,16 @@ def typed_all(tables) -> DataFrame:
     return typed(parse(tables.device_data)).select(*TYPED_COLUMNS)
 
 
+def typed_since(tables, since: Column) -> DataFrame:
+    """Typed telemetry with ``ts >= since``.  On the store the month
+    partitions before ``since`` are skipped too (also when ``since`` is a
+    scalar subquery: Spark evaluates such partition filters at run time)."""
+    if getattr(tables, "materialize", False):
+        df = stored(tables).where(F.col("event_month") >= F.trunc(since, "month"))
+        return df.where(F.col("ts") >= since).drop("event_month")
+    return typed_all(tables).where(F.col("ts") >= since)
+
+
 def typed_in_range(tables, params: Params) -> DataFrame:
     """Typed telemetry of the request range and device."""
     lo, hi = F.to_timestamp_ntz(F.lit(params.start)), F.to_timestamp_ntz(F.lit(params.end))
