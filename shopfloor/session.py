@@ -19,6 +19,14 @@ BASE_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Static settings (only honoured when the session is created).
+STATIC_CONF = {
+    # PySpark 4 records the Python call site of every Column for error
+    # messages, at several JVM round trips per expression node; plans here
+    # have thousands of nodes, so building them dominated small queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "shopfloor", extra: dict | None = None) -> SparkSession:
@@ -26,6 +34,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    conf.update(STATIC_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
