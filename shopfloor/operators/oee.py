@@ -266,26 +266,34 @@ def oee_by_period(t: Tables, p: Params, unit: str) -> DataFrame:
     reading.  With a zero target OEE is NULL unless availability is 0."""
     base = telemetry(t, p).withColumn("period", period_label(unit, F.col("ts")))
     keys = [DEV, "period"]
+    # One aggregate serves availability (status readings) and the ideal
+    # length (readings with status and line speed) of each period.
+    both = F.col("has_line_speed")
     st = (base.where(F.col("has_mc")).groupBy(*keys)
           .agg(F.count(F.lit(1)).alias("n"),
                F.count_if(F.col("mc_status") == 1).alias("up"),
-               F.count_if(F.col("mc_status") == 0).alias("down")))
+               F.count_if(F.col("mc_status") == 0).alias("down"),
+               F.count_if(both).alias("n_ls"),
+               F.count_if(both & (F.col("mc_status") == 1)).alias("up_ls"),
+               F.min(F.when(both, F.col("ts"))).alias("t0"),
+               F.max(F.when(both, F.col("ts"))).alias("t1"),
+               F.max(F.when(both, F.col("line_speed"))).alias("vmax")))
     upr, dnr = _f("up") / _f("n"), _f("down") / _f("n")
-    avail = st.select(*keys, (upr / _nullif0(upr + dnr) * 100.0).alias("availability"))
+    length = F.when(F.col("n_ls") > 0, _f("up_ls") / _f("n_ls") * F.col("vmax")
+                    * to_minutes(micros_between(F.col("t0"), F.col("t1"))))
+    st = st.select(*keys, (upr / _nullif0(upr + dnr) * 100.0).alias("availability"),
+                   length.alias("total_length"))
+    # Σ over the period's distinct diameters of W(d, L), folded onto the same
+    # frame so the aggregate above is computed once.
+    w = wire_weight(F.col("diameter"), F.col("total_length"))
+    at = (st.join(distinct_diameters(base, keys), on=keys, how="left").groupBy(*keys)
+          .agg(F.first("availability").alias("availability"),
+               F.sum(F.when(F.col("total_length").isNotNull(), w)).alias("target_weight")))
 
     gaps = speed_gaps(base, p).withColumn("period", period_label(unit, F.col("ts")))
     actual = actual_weight_from(gaps, keys)
 
-    pl = (base.where(F.col("has_mc") & F.col("has_line_speed")).groupBy(*keys)
-          .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mc_status") == 1).alias("up"),
-               F.min("ts").alias("t0"), F.max("ts").alias("t1"),
-               F.max("line_speed").alias("vmax"))
-          .select(*keys, (_f("up") / _f("n") * F.col("vmax")
-                          * to_minutes(micros_between(F.col("t0"), F.col("t1"))))
-                  .alias("total_length")))
-    target = target_weight_from(pl, distinct_diameters(base, keys), keys)
-
-    j = avail.join(actual, on=keys, how="left").join(target, on=keys, how="left")
+    j = at.join(actual, on=keys, how="left")
     a = F.coalesce(F.col("availability"), F.lit(0.0))
     act = F.coalesce(F.col("actual_weight"), F.lit(0.0))
     tgt = F.coalesce(F.col("target_weight"), F.lit(0.0))
