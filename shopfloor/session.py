@@ -68,3 +68,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+MB = 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 32768
+
+
+def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of telemetry.
+
+    * scan splits of 256 MB (``maxPartitionBytes``) keep a task's JSON parse
+      and typed rows well inside an executor core's memory share;
+    * shuffle partitions: one per 256 MB of input, at least two waves of the
+      cluster's cores, at most 32768 (map-output tracking grows with maps x
+      reducers; the typed store is appended per ingest batch, so no job
+      shuffles the whole history); AQE then coalesces the small
+      post-aggregation shuffles towards 128 MB and splits skewed partitions
+      above 256 MB;
+    * dimension sides up to 64 MB may be broadcast (checked by the planner
+      and AQE from measured sizes, never by hints).
+
+    The typed store sizes its buckets the same way (``telemetry.bucket_count``).
+    """
+    partitions = min(MAX_SHUFFLE_PARTITIONS, max(2 * cores, -(-input_bytes // (256 * MB))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * MB),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * MB),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * MB),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * MB),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * MB),
+    }

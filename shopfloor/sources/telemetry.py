@@ -125,7 +125,8 @@ TYPED_COLUMNS = ("deviceuid", "ts", "seq_bucket", "has_mc", "mc_text", "mc_statu
 _STORE: dict[tuple[str, str], DataFrame] = {}
 
 
-def store_typed(device_data: DataFrame, path: str, name: str, buckets: int) -> None:
+def store_typed(device_data: DataFrame, path: str, name: str, buckets: int,
+                mode: str = "overwrite") -> None:
     """Write the typed telemetry once (the ingest step of a deployment).
 
     Parquet partitioned by event month and bucketed by (device, sequence
@@ -139,11 +140,14 @@ def store_typed(device_data: DataFrame, path: str, name: str, buckets: int) -> N
       a month by the ``ts`` statistics (files are sorted by ``ts``).  Months,
       not days: with thousands of buckets, daily partitions would explode
       into millions of small files.
+
+    In production the store is appended (``mode="append"``) per ingest batch
+    (e.g. a day of readings), so only that batch is shuffled into buckets.
     """
     typed_df = typed(parse(device_data)).select(*TYPED_COLUMNS)
     (typed_df.withColumn("event_month", F.trunc(F.col("ts"), "month"))
      .repartition(buckets, "deviceuid", "seq_bucket")
-     .write.mode("overwrite").partitionBy("event_month")
+     .write.mode(mode).partitionBy("event_month")
      .bucketBy(buckets, "deviceuid", "seq_bucket").sortBy("ts")
      .option("path", path).saveAsTable(name))
 
