@@ -46,12 +46,23 @@ def append_validated(table: DataFrame, candidates: DataFrame,
     return table.unionByName(accepted), candidates.where(~ok)
 
 
+def last_per(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row per key: the largest ``order`` (the last request of a batch
+    applied one at a time), as a partial ``max_by`` aggregate."""
+    cols = rows.columns
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order)).alias("__r"))
+            .select(*[F.col("__r").getField(c).alias(c) for c in cols]))
+
+
 def update_by_key(table: DataFrame, changes: DataFrame, key: Sequence[str] | str,
-                  columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+                  columns: Sequence[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """T2: overwrite ``columns`` of rows whose key matches a change (a NULL in
     the change overwrites too); return (table, changes matching no row).
-    Change keys are expected to be unique."""
+    Change keys must be unique unless ``order`` names the request order, in
+    which case the last change per key wins (sequential application)."""
     keys = [key] if isinstance(key, str) else list(key)
+    if order is not None:
+        changes = last_per(changes, keys, order)
     c = changes.select(*keys, *[F.col(x).alias(f"__new_{x}") for x in columns],
                        F.lit(True).alias("__hit"))
     j = table.join(c, on=keys, how="left")

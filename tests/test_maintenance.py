@@ -105,3 +105,10 @@ def test_json_delivery(spark):
     df = spark.createDataFrame([("M1", 1.5, None)], "machine_uid string, oee double, note string")
     row = json_rows(df, key="machine_uid").collect()[0]
     assert row["machine_uid"] == "M1" and json.loads(row["json"]) == {"machine_uid": "M1", "oee": 1.5}
+
+
+def test_update_by_key_last_request_wins(spark):
+    table = spark.createDataFrame([("u1", "a")], "id string, f string")
+    ch = spark.createDataFrame([("u1", "x", 2), ("u1", "y", 1), ("u1", "z", 3)], "id string, f string, seq int")
+    out, _ = mt.update_by_key(table, ch, "id", ["f"], order="seq")
+    assert [(r["id"], r["f"]) for r in out.collect()] == [("u1", "z")]
