@@ -84,12 +84,16 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
     alarm is absent contributes only to the running time.  So the running
     time is ``A * (running gaps) - (running gaps of present pairs)`` with
     ``A`` the number of alarms, and SQL NULL rules of the sums are kept by
-    counting the contributing pairs.
+    counting the contributing pairs.  The previous status of an alarm is the
+    value of the immediately preceding reading, recovered from the previous
+    present pair of that alarm when its timestamp is the preceding reading's.
     """
     readings = _readings(t, p).select(DEV, "ts", "seq_bucket", "payload_map",
                                       F.col("payload_map").getItem(tm.MC_STATUS).alias("mc_text"))
+    # Neighbours of each reading (timestamps only: the payload is not copied
+    # into the window).
     seq = with_neighbors(readings, [DEV], "ts", sequence_bucket(p.sequence_bucket),
-                         lead={"next_ts": "ts"}, lag={"prev_map": "payload_map"})
+                         lead={"next_ts": "ts"}, lag={"prev_ts": "ts"})
     seq = seq.withColumn("gap", micros_between(F.col("ts"), F.col("next_ts")))
     running = F.col("mc_text") == "1"
     n_alarms = t.alarms.select(F.count(F.lit(1))).scalar()
@@ -99,8 +103,15 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
         F.sum(F.when(running, F.col("gap"))).alias("run_gap"),
         F.count_if(running & F.col("gap").isNull()).alias("n_last_run"))
 
-    pairs = _present(seq, t.alarms)
-    pairs = pairs.withColumn("prev_status", F.element_at(F.col("prev_map"), F.col("alarm_code")))
+    # The alarm's value in the previous reading: the previous present pair of
+    # the same alarm counts only if it belongs to that very reading (else
+    # the key was absent there and the previous status is NULL).
+    pairs = _present(seq.drop("next_ts"), t.alarms).select(
+        DEV, "ts", "seq_bucket", "alarm_code", "alarm_status", "mc_text", "gap", "prev_ts")
+    pairs = with_neighbors(pairs, [DEV, "alarm_code"], "ts", sequence_bucket(p.sequence_bucket),
+                           lag={"prev_pair_ts": "ts", "prev_pair_status": "alarm_status"})
+    pairs = pairs.withColumn("prev_status", F.when(F.col("prev_pair_ts") == F.col("prev_ts"),
+                                                   F.col("prev_pair_status")))
     one = F.col("alarm_status") == "1"
     per_pair = pairs.groupBy(DEV).agg(
         F.count_if(one).alias("n_one"),
