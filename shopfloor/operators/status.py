@@ -21,7 +21,7 @@ def as_of(t: Tables, p: Params):
     """``NOW()``: the given instant, else the newest reading (scalar subquery)."""
     if p.as_of is not None:
         return F.to_timestamp_ntz(F.lit(p.as_of))
-    return tm.typed_all(t).select(F.max("ts")).scalar()
+    return tm.latest_ts(t)
 
 
 def recent(t: Tables, p: Params) -> DataFrame:

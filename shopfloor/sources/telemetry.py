@@ -193,6 +193,17 @@ def typed_all(tables) -> DataFrame:
     return typed(parse(tables.device_data)).select(*TYPED_COLUMNS)
 
 
+def latest_ts(tables) -> Column:
+    """Newest reading as a scalar subquery.  On the store the newest month is
+    found from the partition column alone, and ``max(ts)`` scans only that
+    month (the partition filter is applied at run time)."""
+    if getattr(tables, "materialize", False):
+        st = stored(tables)
+        month = st.select(F.max("event_month")).scalar()
+        return st.where(F.col("event_month") == month).select(F.max("ts")).scalar()
+    return typed_all(tables).select(F.max("ts")).scalar()
+
+
 def typed_since(tables, since: Column) -> DataFrame:
     """Typed telemetry with ``ts >= since``.  On the store the month
     partitions before ``since`` are skipped too (also when ``since`` is a
