@@ -8,7 +8,7 @@ reference's tenant guard, ``None`` lists every tenant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.params import Params
 from shopfloor.sources.fixtures import Tables
@@ -57,14 +57,19 @@ def machine_catalog(t: Tables, p: Params) -> DataFrame:
             .select(*CATALOG_COLUMNS, F.coalesce(F.col("model_data"), F.lit("")).alias("model_data")))
 
 
+def holiday_day(text: Column) -> Column:
+    """Date of a stored holiday: plain ``YYYY-MM-DD`` or an ISO date-time
+    ending in ``Z``."""
+    parsed = F.coalesce(
+        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
+        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+    return F.to_date(parsed)
+
+
 def holiday_list(t: Tables, p: Params) -> DataFrame:
-    """Holidays shown as DD/MM/YYYY, in date order.  Stored dates are either
-    plain ``YYYY-MM-DD`` or ISO date-times ending in ``Z``."""
+    """Holidays shown as DD/MM/YYYY, in date order."""
     h = _tenant(t.holidays, p)
-    parsed = F.coalesce(
-        F.try_to_timestamp(F.col("holiday_date"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
-        F.try_to_timestamp(F.col("holiday_date"), F.lit("yyyy-MM-dd")))
-    day = F.to_date(parsed)
+    day = holiday_day(F.col("holiday_date"))
     return (h.select("holiday_id", "holiday_name",
                      F.date_format(day, "dd/MM/yyyy").alias("holiday_date"),
                      "holiday_image", "created_by", "company_id", day.alias("_day"))

@@ -67,8 +67,15 @@ def shift_calendar(t: Tables, p: Params) -> DataFrame:
     days = F.sequence(F.to_date(F.lit(p.start)), F.to_date(F.lit(p.end)), F.expr("INTERVAL 1 DAY"))
     inst = (s.select("*", F.explode(days).alias("shift_date"))
             .where(F.upper(F.col("shift_days")).contains(_dy(F.col("shift_date")))))
-    hol = t.holidays.select("company_id", F.col("holiday_date").alias("_hd"))
-    inst = inst.withColumn("_hd", F.col("shift_date").cast("string"))
+    if p.holiday_match == "strict":
+        hol = t.holidays.select("company_id", F.col("holiday_date").alias("_hd"))
+        inst = inst.withColumn("_hd", F.col("shift_date").cast("string"))
+    elif p.holiday_match == "date":
+        from shopfloor.operators.catalog import holiday_day
+        hol = t.holidays.select("company_id", holiday_day(F.col("holiday_date")).alias("_hd"))
+        inst = inst.withColumn("_hd", F.col("shift_date"))
+    else:
+        raise ValueError(f"holiday_match must be 'strict' or 'date', got {p.holiday_match!r}")
     inst = inst.join(hol, on=["company_id", "_hd"], how="left_anti").drop("_hd")
     return inst.select("company_id", "shift_id", "shift_name", "start_time", "end_time", "shift_date",
                        _at(F.col("shift_date"), F.col("start_time")).alias("shift_start"),

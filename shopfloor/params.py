@@ -25,6 +25,10 @@ class Params:
     # Time bucket used to split per-device sequences for lead/lag (see
     # plans.neighbors); must be a date_trunc unit.
     sequence_bucket: str = "hour"
+    # Shift calendar: "strict" compares the stored holiday text with
+    # 'YYYY-MM-DD' (reference behaviour: ISO date-time holidays never match);
+    # "date" compares parsed dates, so those holidays apply too.
+    holiday_match: str = "strict"
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

@@ -58,3 +58,12 @@ def test_interval_timeframe_is_local_time(spark):
     assert by_day[1]["downtime"] == round(300 / 3600, 2)
     assert by_day[1]["production_time"] == 0.0
     assert by_day[2]["setup_time"] == 0.0
+
+
+def test_shift_calendar_date_match_applies_iso_holidays(spark):
+    t = tables_for(spark, SMOKE)
+    p = Params(start="2024-01-01 00:00:00", end="2024-01-30 00:00:00", company="1", holiday_match="date")
+    counts = {r["shift_name"]: r["n"] for r in
+              timeframe.shift_calendar(t, p).groupBy("shift_name").count().withColumnRenamed("count", "n").collect()}
+    # 2024-01-15 (ISO form, a Monday) now removes one instance of every shift
+    assert counts == {"Morning": 20, "Evening": 24, "Night": 8}
