@@ -156,16 +156,31 @@ def shift_timeframe_midpoint(t: Tables, p: Params) -> DataFrame:
             .orderBy("machine_id", "shift_name", "shift_date").drop("shift_date"))
 
 
-def interval_timeframe(t: Tables, p: Params, unit: str) -> DataFrame:
+# Interval names accepted by the time-frame request.
+INTERVAL_UNITS = {"Hour": "hour", "Day": "day", "Week": "week", "Month": "month"}
+
+
+def machine_time_frame(t: Tables, p: Params, interval: str) -> DataFrame:
+    """The time-frame request: ``'Shift'`` gives hours per shift instance,
+    a calendar name hours per Asia/Kolkata bucket.  Any other name yields a
+    NULL bucket (one group per device), like a ``CASE`` without ``ELSE``."""
+    if interval == "Shift":
+        return shift_timeframe(t, p)
+    return interval_timeframe(t, p, INTERVAL_UNITS.get(interval))
+
+
+def interval_timeframe(t: Tables, p: Params, unit: str | None) -> DataFrame:
     """Hours per Asia/Kolkata calendar bucket.  Successors are taken within
     the local hour whatever the bucket (reference behaviour), so a gap that
-    crosses an hour boundary is not counted even for day/week/month."""
-    if unit not in ("hour", "day", "week", "month"):
+    crosses an hour boundary is not counted even for day/week/month.
+    ``unit=None`` puts every reading of a device in one NULL bucket."""
+    if unit not in ("hour", "day", "week", "month", None):
         raise ValueError(f"unknown interval {unit!r}")
     rows = (telemetry(t, p).select(DEV, "ts", "seq_bucket", "mc_text", "act_speed")
             .withColumn("local", to_kolkata(F.col("ts"))))
     rows = rows.withColumn("local_hour", trunc_ntz("hour", F.col("local")))
-    rows = rows.withColumn("interval_key", trunc_ntz(unit, F.col("local")))
+    key = trunc_ntz(unit, F.col("local")) if unit else F.lit(None).cast("timestamp_ntz")
+    rows = rows.withColumn("interval_key", key)
     # The sequence bucket (UTC hour) splits each local hour in two: the
     # window stays on the store's co-located buckets and neighbours are still
     # exact within the local hour.

@@ -67,3 +67,15 @@ def test_shift_calendar_date_match_applies_iso_holidays(spark):
               timeframe.shift_calendar(t, p).groupBy("shift_name").count().withColumnRenamed("count", "n").collect()}
     # 2024-01-15 (ISO form, a Monday) now removes one instance of every shift
     assert counts == {"Morning": 20, "Evening": 24, "Night": 8}
+
+
+def test_time_frame_dispatch(spark):
+    dd = device_rows(spark, [
+        ("1", "2024-01-01 10:00:00", '{"MC_STATUS":"0","Act Speed":0}'),
+        ("1", "2024-01-01 10:10:00", '{"MC_STATUS":"1","Act Speed":5}'),
+    ])
+    t = hand_tables(spark, dd)
+    unknown = timeframe.machine_time_frame(t, P, "Fortnight").collect()
+    assert len(unknown) == 1 and unknown[0]["interval_key"] is None and unknown[0]["downtime"] == 0.17
+    hour = timeframe.machine_time_frame(t, P, "Hour").collect()
+    assert [r["interval_key"].hour for r in hour] == [15]  # 10:00 UTC is 15:30 in Kolkata
