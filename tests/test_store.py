@@ -31,3 +31,13 @@ def test_store_is_bucketed_and_skips_shuffles(spark):
     t = tables_for(spark, SMOKE)
     plan = oee.actual_weight(t, DEFAULT)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan or "bucketed" in plan.lower()
+
+
+@pytest.mark.parametrize("name", ["oee_company", "alarm_reliability"])
+def test_sequence_bucket_does_not_change_results(spark, name):
+    t = tables_for(spark, SMOKE)
+    minute = DEFAULT.with_(sequence_bucket="minute")
+    fns = {"oee_company": oee.oee_company, "alarm_reliability": alarms.alarm_reliability}
+    a = fns[name](t, DEFAULT)
+    b = fns[name](t, minute)
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
