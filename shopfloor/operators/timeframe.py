@@ -10,6 +10,7 @@ from shopfloor.functions.timefmt import iso_millis, to_kolkata, trunc_ntz
 from shopfloor.operators.oee import company_machines, telemetry
 from shopfloor.params import Params
 from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
+from shopfloor.plans.rangejoin import range_join
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
@@ -106,11 +107,10 @@ def _hours(keys: list[str]) -> list[Column]:
 def _shift_states(t: Tables, p: Params) -> DataFrame:
     """Per machine and shift instance: state durations (zeros without data).
 
-    The event-in-shift range join is binned by date: a shift instance lies
-    within its own date, so readings (tagged with their machine's tenant)
-    join the tenant's calendar on (tenant, date) with the time range as a
-    residual filter -- a hash join against a small broadcast calendar, never
-    a nested loop, and the telemetry is not shuffled for it.  Successors are
+    The event-in-shift range join is binned by date (``plans.rangejoin``):
+    readings, tagged with their machine's tenant, join the tenant's calendar
+    on (tenant, date) with the time range as a residual filter -- a hash join
+    against a small calendar, never a nested loop.  Successors are
     taken within the instance (device, shift, date), as in the reference;
     instances without readings keep zeros via the final left join.
     """
@@ -123,9 +123,8 @@ def _shift_states(t: Tables, p: Params) -> DataFrame:
             .withColumn("shift_date", F.to_date(F.col("ts")))
             .where(F.col("shift_date").between(first, last)))
     windows = cal.select("company_id", "shift_date", "shift_id", "shift_start", "shift_end")
-    hit = (rows.join(owners, on=DEV, how="inner")
-           .join(windows, on=["company_id", "shift_date"], how="inner")
-           .where(F.col("ts").between(F.col("shift_start"), F.col("shift_end")))
+    hit = (range_join(rows.drop("shift_date").join(owners, on=DEV, how="inner"), windows,
+                      on=["company_id"], ts="ts", start="shift_start", end="shift_end")
            .drop("shift_start", "shift_end", "company_id"))
     keys = [DEV, "shift_id", "shift_date"]
     seq = with_neighbors(hit, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
