@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SMOKE
 from tools.check_oracle import TABLES, rows_of
+from tools.plan_report import summary
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -33,6 +34,10 @@ def test_query_matches_oracle(spark, con, name):
     b, bc = rows_of(res.columns, res.fetchall())
     assert ac == bc
     assert sorted(a, key=repr) == sorted(b, key=repr)
+    plan = summary(df._jdf.queryExecution().executedPlan().toString())
+    assert plan["nested_loop"] == 0
+    if plan["windows"]:
+        assert plan["bucketed_scans"] > 0
 
 
 def test_entry_smoke(spark):
