@@ -79,3 +79,24 @@ def test_invariants_on_fixture(spark):
         for r in oee.oee_by_interval(t, p, u).collect():
             assert r["performance"] <= 100.0 + 1e-9
             assert not math.isnan(r["oee"])
+
+
+def test_gap_attribution_period_vs_interval(spark):
+    dd = device_rows(spark, [
+        ("7", "2024-01-01 10:50:00", '{"MC_STATUS":1,"LINE_SPEED":60,"ACT_COLD_DIA":2.0}'),
+        ("7", "2024-01-01 11:10:00", '{"MC_STATUS":1,"LINE_SPEED":60,"ACT_COLD_DIA":2.0}'),
+        ("7", "2024-01-01 11:20:00", '{"MC_STATUS":1,"LINE_SPEED":30,"ACT_COLD_DIA":2.0}'),
+    ])
+    t = hand_tables(spark, dd)
+    per = {r["period"]: r["actual_weight"] for r in oee.oee_by_period(t, P, "hour").collect()}
+    # per period: successors over the whole device sequence; the 20-minute gap
+    # after 10:50 is charged to hour 10
+    assert per["2024-01-01 10"] == pytest.approx(W(2.0, 20 * 60), abs=1e-6)
+    assert per["2024-01-01 11"] == pytest.approx(W(2.0, 10 * 60), abs=1e-6)
+    inter = {r["interval"]: r for r in oee.oee_by_interval(t, P, "hour").collect()}
+    # per interval: successors stay inside the hour, so 10:50 has none
+    assert inter["2024-01-01 10:00"]["actual_weight"] == 0.0
+    assert inter["2024-01-01 11:00"]["actual_weight"] == pytest.approx(W(2.0, 10 * 60), abs=1e-6)
+    # target uses the interval's top speed over readings with a successor
+    assert inter["2024-01-01 11:00"]["target_weight"] == pytest.approx(W(2.0, 10 * 60), abs=1e-6)
+    assert inter["2024-01-01 11:00"]["performance"] == pytest.approx(100.0)
