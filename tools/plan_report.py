@@ -47,6 +47,12 @@ def main() -> None:
         s = summary(df._jdf.queryExecution().executedPlan().toString())
         print(f"| {name} | {s['shuffles']} | {s['single']} | {s['broadcasts']} | {s['windows']} | "
               f"{s['bucketed_scans']} | {s['smj']} | {s['nested_loop']} |")
+    flagship = entry.queries()["oee_company"](spark, sf_dir)
+    print("\n## Flagship plan (`oee_company`, `explain(\"formatted\")`)\n")
+    print("```")
+    print(flagship._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    print("```")
 
 
 if __name__ == "__main__":
