@@ -41,3 +41,24 @@ def test_sequence_bucket_does_not_change_results(spark, name):
     a = fns[name](t, DEFAULT)
     b = fns[name](t, minute)
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_store_append_per_batch_equals_one_shot(spark):
+    import tempfile
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from shopfloor.sources import telemetry as tm
+    t = Tables(spark, SMOKE, materialize=False)
+    dd = t.device_data
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    root = tempfile.mkdtemp(prefix="store-")
+    one, inc = f"one_{uuid.uuid4().hex}", f"inc_{uuid.uuid4().hex}"
+    tm.store_typed(dd, f"{root}/one", one, 4)
+    tm.store_typed(dd.where(F.col("timestamp") < cut), f"{root}/inc", inc, 4)
+    tm.store_typed(dd.where(F.col("timestamp") >= cut), f"{root}/inc", inc, 4, mode="append")
+    cols = ["deviceuid", "ts", "mc_status", "line_speed", "bobbin", "event_month"]
+    a = sorted(map(repr, spark.table(one).select(*cols).collect()))
+    b = sorted(map(repr, spark.table(inc).select(*cols).collect()))
+    assert a == b and len(a) == dd.count()
