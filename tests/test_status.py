@@ -37,3 +37,19 @@ def test_status_codes(spark):
     assert latest == {"1": 0, "2": 4, "3": 2, "4": 2, "5": 2}
     img = {r["machine_id"]: r["model_data"] for r in status.machine_status(t, P).collect()}
     assert img["1"] == "a.png" and img["2"] == ""
+
+
+def test_catalog_filters(spark):
+    from shopfloor.operators import catalog
+    from shopfloor.registry import tables_for
+    from tests.conftest import SMOKE
+    t = tables_for(spark, SMOKE)
+    rules = catalog.notification_rules(t, Params(company="1")).collect()
+    owners = {r["machine_uid"] for r in t.machine.where("company_id = '1'").collect()}
+    assert rules and all(r["machine_id"] in owners for r in rules)
+    assert {r["config_id"] for r in rules} >= {"n1", "n2"}  # M1 and M4 belong to tenant 1
+    ops = catalog.operators_by_machine(t, Params(machine_uid="M1")).collect()
+    assert ops and {r["machine_id"] for r in ops} == {"M1"}
+    one = catalog.machine_lookup(t, Params(company="1", machine_uid="M1")).collect()
+    assert [(r["machine_uid"], r["machine_id"]) for r in one] == [("M1", "1")]
+    assert catalog.machine_lookup(t, Params(company="2", machine_uid="M1")).count() == 0  # tenant guard
