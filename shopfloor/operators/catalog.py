@@ -60,9 +60,10 @@ def machine_catalog(t: Tables, p: Params) -> DataFrame:
 def holiday_day(text: Column) -> Column:
     """Date of a stored holiday: plain ``YYYY-MM-DD`` or an ISO date-time
     ending in ``Z``."""
+    # Plain dates first: most rows parse without the failing ISO attempt.
     parsed = F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
+        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")))
     return F.to_date(parsed)
 
 
