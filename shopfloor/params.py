@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 
+SEQUENCE_UNITS = ("minute", "hour", "day")
+
+
 @dataclass(frozen=True)
 class Params:
     """Parameters of one analytics request.
@@ -30,6 +33,16 @@ class Params:
     # "date" compares parsed dates, so those holidays apply too.
     holiday_match: str = "strict"
 
+    def __post_init__(self) -> None:
+        # Enumerated parameters are checked up front, as the reference
+        # rejects unknown values before running a query.
+        if self.sequence_bucket not in SEQUENCE_UNITS:
+            raise ValueError(f"sequence_bucket must be one of {SEQUENCE_UNITS}, got {self.sequence_bucket!r}")
+        if self.holiday_match not in ("strict", "date"):
+            raise ValueError(f"holiday_match must be 'strict' or 'date', got {self.holiday_match!r}")
+        if self.status_window_minutes <= 0:
+            raise ValueError("status_window_minutes must be positive")
+
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 

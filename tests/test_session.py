@@ -39,3 +39,14 @@ def test_nested_machine_record_matches_flat(spark):
         assert r["machine_data"]["machine_status"] == f["machine_status"]
         assert r["production_data"]["produced_reels"] == f["produced_reels"]
         assert r["oee_data"]["oee"] == f["oee"]
+
+
+def test_params_validation():
+    import pytest
+
+    from shopfloor.params import Params
+    with pytest.raises(ValueError):
+        Params(sequence_bucket="week")
+    with pytest.raises(ValueError):
+        Params(holiday_match="fuzzy")
+    assert Params().with_(sequence_bucket="minute").sequence_bucket == "minute"
