@@ -10,9 +10,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Texts reach Python in Arrow batches of this many rows, so that a batch of
+# Texts reach Python in Arrow batches of this many rows and bytes, so that a batch of
 # long documents stays small next to a worker's memory.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 # Numpy kernels take at most this many text bytes at once (a longer single
 # text is its own chunk); their scratch arrays need about 30 bytes per byte.
 CHUNK_BYTES = 1 << 21
@@ -20,6 +21,7 @@ CHUNK_BYTES = 1 << 21
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import chat, decontaminate, exact_dedup
+from shopfloor.llm import chat, decontaminate, exact_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_warc_zip": warc.op4_warc_zip,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op9_prefix_targets": chat.op9_prefix_targets,
     }
 
@@ -17,5 +19,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
+        "op4_warc_zip": warc.ORACLE,
         "op9_prefix_targets": chat.ORACLE,
     }
