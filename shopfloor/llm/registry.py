@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import chat, decontaminate, exact_dedup, toxicity, warc
+from shopfloor.llm import chat, decontaminate, exact_dedup, near_dup, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_warc_zip": warc.op4_warc_zip,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op7_lsh_forest": near_dup.op7_lsh_forest,
         "op9_prefix_targets": chat.op9_prefix_targets,
     }
 
