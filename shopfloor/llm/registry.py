@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import chat, decontaminate, exact_dedup, near_dup, toxicity, warc
+from shopfloor.llm import chat, decontaminate, exact_dedup, hpylm, near_dup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_hpylm_score": hpylm.op1_hpylm_score,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_warc_zip": warc.op4_warc_zip,
