@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import chat, decontaminate, exact_dedup, hpylm, near_dup, toxicity, warc
+from shopfloor.llm import chat, decontaminate, exact_dedup, hpylm, near_dup, pieces, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_warc_zip": warc.op4_warc_zip,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_lsh_forest": near_dup.op7_lsh_forest,
+        "op8_gumbel_pieces": pieces.op8_gumbel_pieces,
         "op9_prefix_targets": chat.op9_prefix_targets,
     }
 
