@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import chat, decontaminate, exact_dedup, hpylm, near_dup, pieces, toxicity, warc
+from shopfloor.llm import chat, decontaminate, exact_dedup, hpylm, near_dup, pieces, pii, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_lsh_forest": near_dup.op7_lsh_forest,
         "op8_gumbel_pieces": pieces.op8_gumbel_pieces,
         "op9_prefix_targets": chat.op9_prefix_targets,
+        "op10_feistel_pii": pii.op10_feistel_pii,
     }
 
 
