@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shopfloor.llm import chat, decontaminate, exact_dedup, hpylm, near_dup, pieces, pii, toxicity, warc
+from shopfloor.llm import (chat, decontaminate, exact_dedup, hpylm, html_extract, near_dup, pieces, pii,
+                           toxicity, warc)
 
 
 def queries() -> dict:
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_warc_zip": warc.op4_warc_zip,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_style_tree": html_extract.op6_style_tree,
         "op7_lsh_forest": near_dup.op7_lsh_forest,
         "op8_gumbel_pieces": pieces.op8_gumbel_pieces,
         "op9_prefix_targets": chat.op9_prefix_targets,
