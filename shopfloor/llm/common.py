@@ -17,11 +17,18 @@ ARROW_BYTES = 16 << 20
 # Numpy kernels take at most this many text bytes at once (a longer single
 # text is its own chunk); their scratch arrays need about 30 bytes per byte.
 CHUNK_BYTES = 1 << 21
+# Lists of rows (two numbers each) up to this length are broadcast, longer
+# ones joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    arrow_limits(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -62,6 +69,19 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def without_rows(docs: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text (``unwanted``: doc_id and
+    text_hash, see ``text_hash``) are unwanted; null ids compare equal."""
+    u = written(unwanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "unwanted")
+    if u.count() <= BROADCAST_ROWS:
+        u = F.broadcast(u)
+    return docs.join(u, docs["doc_id"].eqNullSafe(u["_id"]) & (text_hash(docs["text"]) == u["_hash"]), "left_anti")
+
+
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of ``texts`` of at most ``limit`` bytes (or one text)."""
     lo = size = 0

@@ -166,7 +166,7 @@ def _frequencies(docs: DataFrame, block: Block) -> np.ndarray:
     return out
 
 
-_STATE = "doc_id long, text string, hits binary, items array<string>"
+_STATE = "doc_id long, text string, hits binary, items array<string>, text_hash long"
 
 
 def _probe(docs: DataFrame, block: Block) -> DataFrame:
@@ -194,8 +194,8 @@ def _probe(docs: DataFrame, block: Block) -> DataFrame:
                 for i, k in {(int(i), int(k)) for i, k in zip(d, blk.item[win])}:
                     items[lo + i] = [*items[lo + i], blk.names[k]]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "hits", "items"])
+                [b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())),
+                 b.column(4)], ["doc_id", "text", "hits", "items", "text_hash"])
 
     return docs.mapInArrow(run, _STATE)
 
@@ -211,23 +211,30 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
              pa.array(items, pa.list_(pa.string())),
-             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items])],
-            ["doc_id", "n_words", "n_hit", "items", "items_sha256"])
+             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
+             b.column(4)], ["doc_id", "n_words", "n_hit", "items", "items_sha256", "text_hash"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids of the items with
-    an occurring window, sorted), items_sha256."""
+    an occurring window, sorted), items_sha256, text_hash."""
     d = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"),
                     F.lit(None).cast("binary").alias("hits"),
-                    F.array().cast("array<string>").alias("items"))
+                    F.array().cast("array<string>").alias("items"),
+                    common.text_hash(F.col("text")).alias("text_hash"))
     for k, items in enumerate(_blocks(benchmark)):
         if k:  # one block's worker at a time; the texts travel with their hits
             d = common.written(d, "decontaminate")
         block = Block(items)
         if len(block):
             d = _probe(d, block)
-    return d.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string")
+    return d.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string, "
+                                 "text_hash long")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without any benchmark window."""
+    return common.without_rows(docs, decontaminate(docs, benchmark).where("n_hit > 0").select("doc_id", "text_hash"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

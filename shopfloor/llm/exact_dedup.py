@@ -70,7 +70,7 @@ def repeated_fingerprints(fps: DataFrame, n_parts: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size,
-    kept, text_sha256."""
+    kept, text_sha256, text_hash."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id"), common.text_or_empty().alias("text"))
     d = d.withColumn("fp", F.xxhash64("text"))
@@ -87,11 +87,27 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"),
                       F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                      F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+                      F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", F.col("fp").alias("text_hash"))
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group of equal texts."""
+    verdict = common.written(exact_dedup(docs), "exact-dedup")
+    out = common.without_rows(docs, verdict.where(~F.col("kept")).select("doc_id", "text_hash"))
+    again = (verdict.where("kept and group_size > 1").groupBy("doc_id", "text_hash")
+             .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash"))
+    if again.isEmpty():
+        return out
+    # rows that repeat the id and text that stays: one of them
+    single = common.without_rows(out, again)
+    twice = out.join(again.toDF("_id", "_hash"), out["doc_id"].eqNullSafe(F.col("_id"))
+                     & (common.text_hash(out["text"]) == F.col("_hash")), "left_semi")
+    return single.unionByName(twice.withColumn("_t", F.coalesce("text", F.lit("")))
+                              .dropDuplicates(["doc_id", "_t"]).drop("_t"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(common.table(spark, sf_dir, "documents"))
+    return exact_dedup(common.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE = """

@@ -108,7 +108,8 @@ def _signature_rows(batches):
             sig = s.signatures()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(lo, hi - lo), pa.array(s.size.astype(np.int64)), pa.array(s.nodes()),
-                 pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                 pa.array([r.tobytes() for r in sig], pa.binary()), b.column(2).slice(lo, hi - lo)],
+                ["doc_id", "n_shingles", "node", "sig", "text_hash"])
 
 
 def _label(sig: np.ndarray, tree: int) -> np.ndarray:
@@ -252,11 +253,12 @@ def _ordered(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, text_hash."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
-    rows = common.written(d.mapInArrow(_signature_rows, "doc_id long, n_shingles long, node long, sig binary"),
-                          "signatures")
+    d = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"),
+                    common.text_hash(F.col("text")).alias("text_hash"))
+    rows = common.written(d.mapInArrow(
+        _signature_rows, "doc_id long, n_shingles long, node long, sig binary, text_hash long"), "signatures")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     n_nodes = rows.where("n_shingles > 0").select("node").distinct().count()
     trees = _ordered(nodes.select("node", "sig").mapInArrow(_tree_rows, "key binary, node long, low binary"),
@@ -294,15 +296,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("node", F.coalesce("top", "root").alias("root"))
             .unionByName(second.join(first, "node", "left_anti").select("node", "root")))
 
-    named = rows.select("doc_id", "n_shingles", "node").join(root, "node", "left")
+    named = rows.select("doc_id", "n_shingles", "node", "text_hash").join(root, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     names = (named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").drop("n"))
     out = named.join(names, "root", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("name").isNotNull(), F.col("name")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that name their component."""
+    return common.without_rows(docs, near_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_hash"))
 
 
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("text_hash")

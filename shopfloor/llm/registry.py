@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from shopfloor.llm import (chat, decontaminate, exact_dedup, hpylm, html_extract, near_dup, pieces, pii,
                            toxicity, warc)
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op8_gumbel_pieces": pieces.op8_gumbel_pieces,
         "op9_prefix_targets": chat.op9_prefix_targets,
         "op10_feistel_pii": pii.op10_feistel_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 

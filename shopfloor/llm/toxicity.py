@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs(doc_id, text, ...)`` are dropped but doc_id: doc_id, score."""
+    """doc_id and score of every row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -164,6 +164,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def civil_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(common.as_bytes(b.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
