@@ -47,7 +47,8 @@ REACH = 8
 MIN_AGREE = 35        # of HASHES: 0.55, over 3.5 standard errors below 0.75
 VERIFY_TREES = (0, 8)
 SORT_ROWS = 1 << 15   # rows of an order compared at once
-RANGE_ROWS = 1 << 14  # least rows of a range partition
+RANGE_ROWS = 1 << 14  # least rows of a range partition of an order
+SET_ROWS = 1 << 8     # ... of an order whose rows carry their sets
 BROADCAST_IDS = 1 << 21
 
 _RNG = np.random.default_rng(75)
@@ -247,8 +248,8 @@ def _confirm_pairs(batches):
             [b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
 
-def _ordered(df: DataFrame, key: str, rows: int) -> DataFrame:
-    n = max(1, min(common.parts(df.sparkSession), rows // RANGE_ROWS))
+def _ordered(df: DataFrame, key: str, rows: int, least: int) -> DataFrame:
+    n = max(1, min(common.parts(df.sparkSession), rows // least))
     return df.repartitionByRange(n, key, "node").sortWithinPartitions(key, "node")
 
 
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     n_nodes = rows.where("n_shingles > 0").select("node").distinct().count()
     trees = _ordered(nodes.select("node", "sig").mapInArrow(_tree_rows, "key binary, node long, low binary"),
-                     "key", n_nodes * TREES)
+                     "key", n_nodes * TREES, RANGE_ROWS)
     pairs = common.written(trees.mapInArrow(_candidates, "a long, b long").distinct(), "candidates")
 
     # The sets of the nodes that have a candidate, from one document each.
@@ -277,7 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = common.written(sets, "sets")
     links = None
     for t in VERIFY_TREES:
-        found = (_ordered(sets.select("node", F.col(f"key{t}").alias("key"), "low", "shingles"), "key", n_wanted)
+        found = (_ordered(sets.select("node", F.col(f"key{t}").alias("key"), "low", "shingles"), "key", n_wanted,
+                         SET_ROWS)
                  .select("key", "node", "low", "shingles").mapInArrow(_confirm_neighbours, "a long, b long"))
         links = found if links is None else links.unionByName(found)
     links = common.written(links, "links")
