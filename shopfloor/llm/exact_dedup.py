@@ -99,11 +99,13 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return out
     # rows that repeat the id and text that stays: one of them
-    single = common.without_rows(out, again)
-    twice = out.join(again.toDF("_id", "_hash"), out["doc_id"].eqNullSafe(F.col("_id"))
-                     & (common.text_hash(out["text"]) == F.col("_hash")), "left_semi")
-    return single.unionByName(twice.withColumn("_t", F.coalesce("text", F.lit("")))
-                              .dropDuplicates(["doc_id", "_t"]).drop("_t"))
+    twice = out.join(again, out["doc_id"].eqNullSafe(again["doc_id"])
+                     & (common.text_hash(out["text"]) == again["text_hash"]), "left_semi")
+    key = "text_"
+    while key in docs.columns:
+        key += "_"
+    one = twice.withColumn(key, common.text_or_empty()).dropDuplicates(["doc_id", key]).drop(key)
+    return common.without_rows(out, again).unionByName(one)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

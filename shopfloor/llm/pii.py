@@ -58,7 +58,7 @@ PATTERNS = {
              r"|(?<!\d)\d{13,19}(?!\d)"),
 }
 ANY = "|".join(PATTERNS.values())  # only "card" has groups, so \1 and \2 are its own
-FIRST_DAY, DAYS = "1900-01-01", 73049  # through 2099-12-31
+FIRST_DAY, DAYS = "1900-01-01", 17 * 4297  # through 2099-12-31
 DATES = {"ymd": ("$1", "$2", "$3", r"^(\d{4}).(\d{2}).(\d{2})$"), "dmy": ("$3", "$2", "$1", r"^(\d{2}).(\d{2}).(\d{4})$"),
          "mdy": ("$3", "$1", "$2", r"^(\d{2}).(\d{2}).(\d{4})$")}
 
@@ -133,7 +133,7 @@ def _pair(m: Column, kind: Column) -> Column:
             .when(kind == "ssn", pair(898, 99 * 9999, area - 1 - F.when(area > 666, 1).otherwise(0),
                                       (d.substr(4, 2).cast("bigint") - 1) * 9999 + d.substr(6, 4).cast("bigint") - 1))
             .when(kind == "ipv4", pair(65536, 65536, ip[0] * 256 + ip[1], ip[2] * 256 + ip[3]))
-            .when(kind.isin(*DATES), pair(319, 229, F.floor(day / 229), day % 229)))
+            .when(kind.isin(*DATES), pair(17, 4297, F.floor(day / 4297), day % 4297)))
 
 
 def _hash(key: Column, *parts: Column) -> Column:
@@ -176,7 +176,7 @@ def _value(m: Column, kind: Column, p: Column, q: Column) -> Column:
     payload = both(n - 1)
     check = F.pmod(-_luhn(F.reverse(payload), 0), F.lit(10)).cast("string")
     area = q["x"] + 1 + F.when(q["x"] >= 665, 1).otherwise(0)
-    date = F.date_add(F.lit(FIRST_DAY).cast("date"), (q["x"] * 229 + q["y"]).cast("int"))
+    date = F.date_add(F.lit(FIRST_DAY).cast("date"), (q["x"] * 4297 + q["y"]).cast("int"))
     quad = F.concat_ws(".", *(v.cast("string") for v in (F.floor(q["x"] / 256), q["x"] % 256,
                                                           F.floor(q["y"] / 256), q["y"] % 256)))
     return (F.when(kind == "card", _written_like(m, F.concat(payload, check)))
