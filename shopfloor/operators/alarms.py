@@ -14,18 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shopfloor.functions.numeric import hours_2dp, micros_between, ratio_half_up
-from shopfloor.operators.oee import company_machines
+from shopfloor.operators.oee import company_machines, telemetry
 from shopfloor.params import Params
 from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
-from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
 DEV = "deviceuid"
 
 
 def _readings(t: Tables, p: Params) -> DataFrame:
-    """Readings in range with the whole payload as ``map<string,string>``."""
-    return tm.typed_in_range(t, p).select(DEV, "ts", "seq_bucket", "payload_map")
+    """The tenant's readings in range with the whole payload as ``map<string,string>``."""
+    return telemetry(t, p).select(DEV, "ts", "seq_bucket", "payload_map")
 
 
 def _present(readings: DataFrame, alarms: DataFrame, integer: bool = False) -> DataFrame:
@@ -68,7 +67,7 @@ def alarm_breakdowns(t: Tables, p: Params) -> DataFrame:
         ratio_half_up(dur_us * 100, F.col("total_us"), 0).alias("cumulative_percent_duration"))
 
 
-def _total_days(p: Params) -> int:
+def total_days(p: Params) -> int:
     """``EXTRACT(DAY FROM end - start) + 1`` (whole days, toward zero)."""
     from datetime import datetime
     f = "%Y-%m-%d %H:%M:%S"
@@ -88,10 +87,7 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
     value of the immediately preceding reading, recovered from the previous
     present pair of that alarm when its timestamp is the preceding reading's.
     """
-    readings = _readings(t, p).select(DEV, "ts", "seq_bucket", "payload_map",
-                                      F.col("payload_map").getItem(tm.MC_STATUS).alias("mc_text"))
-    # Neighbours of each reading (timestamps only: the payload is not copied
-    # into the window).
+    readings = telemetry(t, p).select(DEV, "ts", "seq_bucket", "payload_map", "mc_text")
     seq = with_neighbors(readings, [DEV], "ts", sequence_bucket(p.sequence_bucket),
                          lead={"next_ts": "ts"}, lag={"prev_ts": "ts"})
     seq = seq.withColumn("gap", micros_between(F.col("ts"), F.col("next_ts")))
@@ -129,7 +125,7 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
     uptime = F.when(pairs_total - uptime_nulls > 0, z("run_gap") * n_alarms - z("present_run_gap"))
     per_dev = j.select(DEV, z("flips").alias("flips"), active.alias("active_us"), uptime.alias("uptime_us"))
 
-    days = F.lit(_total_days(p))
+    days = F.lit(total_days(p))
     m = company_machines(t, p).select("machine_uid", F.col("machine_id").alias(DEV))
     out = m.join(per_dev, on=DEV, how="left")
     flips = F.coalesce(F.col("flips"), F.lit(0))

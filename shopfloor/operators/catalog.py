@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.params import Params
 from shopfloor.sources.fixtures import Tables
+from shopfloor.sources.sinks import json_rows
 
 CATALOG_COLUMNS = (
     "machine_uid", "machine_id", "machine_name", "machine_plant", "machine_model",
@@ -111,3 +112,8 @@ def notification_rules(t: Tables, p: Params) -> DataFrame:
         ids = _tenant(t.machine, p).select(F.col("machine_uid").alias("machine_id"))
         r = r.join(ids, on="machine_id", how="left_semi")
     return r.select("config_id", "warning_name", "machine_id", "parameters")
+
+
+def machine_catalog_json(t: Tables, p: Params) -> DataFrame:
+    """The catalog as one JSON document per machine (result delivery)."""
+    return json_rows(machine_catalog(t, p), key="machine_uid")

@@ -98,17 +98,27 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, unique: Sequence[str], o
     return table.unionByName(new.select(*table.columns)), rejected
 
 
-def update_if_unique(table: DataFrame, changes: DataFrame, key: str, unique: Sequence[str],
-                     columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """T5: update unless another row (different key) already holds the new
-    ``unique`` value.  Returns (table, rejected changes)."""
-    other = table.select(F.col(key).alias("__other"), *unique)
-    conflict = (changes.join(other, on=list(unique), how="inner")
-                .where(F.col("__other") != F.col(key)).select(key).distinct())
-    accepted = changes.join(conflict, on=key, how="left_anti")
-    rejected = changes.join(conflict, on=key, how="left_semi")
+def update_if_unique(table: DataFrame, changes: DataFrame, key: str, unique: Sequence[str], columns: Sequence[str],
+                     order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """T5: update rows to new ``unique`` values, in the order of requests.
+
+    A change is rejected if another stored row holds its new value or an
+    earlier accepted change of the batch takes it; a key's last request
+    counts.  A value that a change gives up becomes free with the next batch.
+    Returns (table, rejected changes, changes whose key is not stored).
+    Conflicts come from one aggregate per value (its smallest and largest
+    holder), not from pairs of rows."""
+    known = changes.join(table.select(key), on=key, how="left_semi")
+    unmatched = changes.join(table.select(key), on=key, how="left_anti")
+    last = last_per(known, [key], order)
+    held = table.groupBy(*unique).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    free = (last.join(held, on=list(unique), how="left")
+            .where(F.col("__lo").isNull() | ((F.col("__lo") == F.col(key)) & (F.col("__hi") == F.col(key))))
+            .select(*changes.columns))
+    accepted = first_per(free, unique, order)
+    rejected = last.join(accepted.select(key), on=key, how="left_anti")
     updated, _ = update_by_key(table, accepted, key, columns)
-    return updated, rejected
+    return updated, rejected, unmatched
 
 
 def new_id(prefix: str, *parts: Column) -> Column:
@@ -130,33 +140,55 @@ MACHINE_FIELDS = ("machine_id", "machine_name", "machine_plant", "machine_model"
                   "machine_location", "machine_longitude", "machine_latitude", "machine_type_id")
 
 
-def update_guarded(machines: DataFrame, parts: DataFrame, types: DataFrame,
-                   changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def update_guarded(machines: DataFrame, parts: DataFrame, types: DataFrame, changes: DataFrame,
+                   order: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """T7: update machines whose uid *and* owner match the change, resolving
     type names through T6; a given image is copied to all parts of each
-    updated machine.  Returns (machines, parts, types)."""
-    changes = changes.where(valid_rows(changes, ["machine_uid", "company_id"]))
-    types2 = get_or_create_dim(types, changes, "machine_type_id", "machine_type_name")
-    resolved = changes.join(types2, on="machine_type_name", how="left")
+    updated machine.  Of several requests for a machine the last one counts.
+    Returns (machines, parts, types, rejected requests)."""
+    ok = valid_rows(changes, ["machine_uid", "company_id"])
     m = machines.withColumn("machine_type_id", F.col("machine_type_id").cast("string"))
-    updated, _ = update_by_key(m, resolved, ["machine_uid", "company_id"], MACHINE_FIELDS)
-    hits = resolved.join(m.select("machine_uid", "company_id"), on=["machine_uid", "company_id"],
-                         how="left_semi")
+    guard = ["machine_uid", "company_id"]
+    hits = changes.where(ok).join(m.select(*guard), on=guard, how="left_semi")
+    rejected = (changes.where(~ok)
+                .unionByName(changes.where(ok).join(m.select(*guard), on=guard, how="left_anti")))
+    hits = last_per(hits.select(*changes.columns), guard, order)
+    types2 = get_or_create_dim(types, changes.where(ok), "machine_type_id", "machine_type_name")
+    resolved = hits.join(types2, on="machine_type_name", how="left")
+    updated, _ = update_by_key(m, resolved, guard, MACHINE_FIELDS)
     images = (hits.where(F.col("machine_image").isNotNull())
               .select(F.col("machine_uid").alias("machine_id"),
                       F.col("machine_image").alias("machine_image_path")))
     parts2, _ = update_by_key(parts, images, "machine_id", ["machine_image_path"])
-    return updated, parts2, types2
+    return updated, parts2, types2, rejected
+
+
+def add_machine(machines: DataFrame, parts: DataFrame, types: DataFrame,
+                requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """T1 for machines: the type is found or created, the machine gets a
+    generated uid, and an image makes a part row.  Returns (machines, parts,
+    types)."""
+    new = requests.where(valid_rows(requests, ["machine_id", "machine_name", "company_id"]))
+    types2 = get_or_create_dim(types, new, "machine_type_id", "machine_type_name")
+    new = (new.join(types2, on="machine_type_name", how="left")
+           .withColumn("machine_uid", new_id("M", F.col("company_id"), F.col("machine_id"))))
+    m = machines.withColumn("machine_type_id", F.col("machine_type_id").cast("string"))
+    images = new.where(F.col("machine_image").isNotNull() & (F.col("machine_image") != "")).select(
+        new_id("P", F.col("machine_uid")).alias("machine_part_id"), F.col("machine_uid").alias("machine_id"),
+        F.col("machine_image").alias("machine_image_path"))
+    parts = parts.withColumn("machine_part_id", F.col("machine_part_id").cast("string"))
+    return m.unionByName(new.select(*m.columns)), parts.unionByName(images.select(*parts.columns)), types2
 
 
-def reconcile_set(table: DataFrame, desired: DataFrame, group: str = "machine_id",
+def reconcile_set(table: DataFrame, desired: DataFrame, scope: DataFrame, group: str = "machine_id",
                   member: str = "operator_name", id_col: str = "operator_id",
                   prefix: str = "O") -> tuple[DataFrame, DataFrame]:
-    """T8: make each listed group's members equal the desired list: insert
-    the missing ones, delete the extra ones, keep the rest.  Groups absent
-    from ``desired`` are untouched.  Returns (table, per-group counts)."""
-    want = desired.dropDuplicates([group, member])
-    scope = want.select(group).distinct()
+    """T8: make the members of each group in ``scope`` equal the desired list
+    (an empty one if it has no rows): insert the missing ones, delete the
+    extra ones, keep the rest.  Other groups are untouched.  Returns (table,
+    per-group counts)."""
+    scope = scope.select(group).distinct()
+    want = desired.dropDuplicates([group, member]).join(scope, on=group, how="left_semi")
     current = table.join(scope, on=group, how="left_semi")
     to_add = (want.join(current.select(group, member), on=[group, member], how="left_anti")
               .select(new_id(prefix, F.col(group), F.col(member)).alias(id_col),

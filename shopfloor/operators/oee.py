@@ -42,6 +42,8 @@ def company_machines(t: Tables, p: Params) -> DataFrame:
         m = m.where(F.col("company_id") == F.lit(p.company))
     if p.machine_uid is not None:
         m = m.where(F.col("machine_uid") == F.lit(p.machine_uid))
+    if p.device is not None:
+        m = m.where(F.col("machine_id") == F.lit(p.device))
     return m
 
 
@@ -225,7 +227,7 @@ def oee_company(t: Tables, p: Params, grain: str = "minute") -> DataFrame:
     else:
         quality = F.lit(100.0)
     oee = F.when((a == 0) | (tgt == 0) | (act / _nullif0(tgt) == 0), F.lit(0.0)) \
-        .otherwise(a * (act / _nullif0(tgt)) * 100.0 / 100.0)
+        .otherwise(a * (act / _nullif0(tgt)))
     r6 = lambda c: round_half_up(c, 6)
     return j.select("machine_uid", "machine_id",
                     r6(a).alias("availability"), r6(act).alias("actual_weight"),
@@ -304,7 +306,7 @@ def oee_by_period(t: Tables, p: Params, unit: str) -> DataFrame:
         r6(a).alias("availability"), r6(act).alias("actual_weight"), r6(tgt).alias("target_weight"),
         r6(F.when(tgt == 0, F.lit(0.0)).otherwise(ratio * 100.0)).alias("performance"),
         r6(F.when(act == 0, F.lit(100.0)).otherwise(act / _nullif0(act) * 100.0)).alias("quality"),
-        r6(F.when((a == 0) | (ratio == 0), F.lit(0.0)).otherwise(a * ratio * 100.0 / 100.0)).alias("oee"),
+        r6(F.when((a == 0) | (ratio == 0), F.lit(0.0)).otherwise(a * ratio)).alias("oee"),
     )
 
 
@@ -340,5 +342,5 @@ def oee_by_interval(t: Tables, p: Params, unit: str) -> DataFrame:
         r6(F.when(tgt == 0, F.lit(0.0)).otherwise(act / _nullif0(tgt) * 100.0)).alias("performance"),
         F.lit(100.0).alias("quality"),
         r6(F.when((a == 0) | (tgt == 0) | (act == 0), F.lit(0.0))
-           .otherwise(a * (act / _nullif0(tgt)) * 100.0 / 100.0)).alias("oee"))
+           .otherwise(a * (act / _nullif0(tgt)))).alias("oee"))
         .orderBy("machine_id", "interval"))

@@ -11,6 +11,7 @@ from shopfloor.operators.catalog import machine_catalog
 from shopfloor.params import Params
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
+from shopfloor.sources.sinks import json_rows
 
 DEV = "deviceuid"
 
@@ -60,6 +61,11 @@ def company_overview_oee(t: Tables, p: Params) -> DataFrame:
     return ov.join(o, on="machine_id", how="left")
 
 
+def machine_complete_nested(t: Tables, p: Params) -> DataFrame:
+    """The nested record, delivered as one JSON document per machine."""
+    return json_rows(machine_complete(t, p, nested=True), key="machine_uid")
+
+
 def machine_complete(t: Tables, p: Params, nested: bool = False) -> DataFrame:
     """Machine record + production + OEE per machine.  ``nested=True`` gives
     the reference's shape (three struct columns keyed by ``machine_uid``)."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.operators.catalog import machine_catalog
+from shopfloor.operators.oee import company_machines
 from shopfloor.params import Params
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
@@ -75,10 +76,7 @@ def status_latest_by_device(t: Tables, p: Params) -> DataFrame:
 
 def machine_status_latest(t: Tables, p: Params) -> DataFrame:
     """Status from the newest reading of the window only."""
-    m = t.machine
-    if p.company is not None:
-        m = m.where(F.col("company_id") == F.lit(p.company))
-    return (m.select("machine_uid", "machine_id")
+    return (company_machines(t, p).select("machine_uid", "machine_id")
             .join(status_latest_by_device(t, p), on="machine_id", how="left")
             .select("machine_uid", "machine_id",
                     F.coalesce(F.col("status"), F.lit(OFFLINE)).alias("status")))

@@ -3,7 +3,7 @@ set (``sources.fixtures.CHANGES``) with a T1-T8 operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from shopfloor.operators import maintenance as mt
 from shopfloor.params import Params
@@ -26,42 +26,83 @@ def append_rejects(t: Tables, p: Params) -> DataFrame:
 
 
 def update_by_key(t: Tables, p: Params) -> DataFrame:
-    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS)[0]
+    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS, order="first_name")[0]
 
 
 def update_unmatched(t: Tables, p: Params) -> DataFrame:
-    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS)[1]
+    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS, order="first_name")[1]
 
 
 def delete_by_key(t: Tables, p: Params) -> DataFrame:
     return mt.delete_by_key(t.operators, t.operator_deletes, "operator_id")
 
 
-def insert_if_absent(t: Tables, p: Params) -> DataFrame:
+def _requested_holidays(t: Tables):
     return mt.insert_if_absent(t.holidays, t.holiday_requests, ["holiday_date", "company_id"],
-                               "holiday_id", HOLIDAY_REQUIRED)[0]
+                               "request_no", HOLIDAY_REQUIRED)
+
+
+def insert_if_absent(t: Tables, p: Params) -> DataFrame:
+    return _requested_holidays(t)[0]
+
+
+def insert_if_absent_rejects(t: Tables, p: Params) -> DataFrame:
+    return _requested_holidays(t)[1]
+
+
+def _moved_holidays(t: Tables):
+    return mt.update_if_unique(t.holidays, t.holiday_moves, "holiday_id", ["holiday_date", "company_id"],
+                               HOLIDAY_EDIT_COLUMNS, "request_no")
 
 
 def update_if_unique(t: Tables, p: Params) -> DataFrame:
-    return mt.update_if_unique(t.holidays, t.holiday_moves, "holiday_id",
-                               ["holiday_date", "company_id"], HOLIDAY_EDIT_COLUMNS)[0]
+    return _moved_holidays(t)[0]
+
+
+def update_if_unique_rejects(t: Tables, p: Params) -> DataFrame:
+    return _moved_holidays(t)[1]
+
+
+def update_if_unique_unmatched(t: Tables, p: Params) -> DataFrame:
+    return _moved_holidays(t)[2]
 
 
 def get_or_create_dim(t: Tables, p: Params) -> DataFrame:
     return mt.get_or_create_dim(t.machine_type, t.type_requests, "machine_type_id", "machine_type_name")
 
 
+def _guarded(t: Tables):
+    return mt.update_guarded(t.machine, t.machine_parts, t.machine_type, t.machine_updates, "request_no")
+
+
 def update_guarded(t: Tables, p: Params) -> DataFrame:
-    return mt.update_guarded(t.machine, t.machine_parts, t.machine_type, t.machine_updates)[0]
+    return _guarded(t)[0]
 
 
 def update_guarded_parts(t: Tables, p: Params) -> DataFrame:
-    return mt.update_guarded(t.machine, t.machine_parts, t.machine_type, t.machine_updates)[1]
+    return _guarded(t)[1]
+
+
+def update_guarded_rejects(t: Tables, p: Params) -> DataFrame:
+    return _guarded(t)[3]
+
+
+def _added(t: Tables):
+    new = t.machine_updates.withColumn("machine_id", F.concat(F.lit("N"), F.col("machine_id")))
+    return mt.add_machine(t.machine, t.machine_parts, t.machine_type, new)
+
+
+def add_machine(t: Tables, p: Params) -> DataFrame:
+    return _added(t)[0]
+
+
+def add_machine_parts(t: Tables, p: Params) -> DataFrame:
+    return _added(t)[1]
 
 
 def reconcile_set(t: Tables, p: Params) -> DataFrame:
-    return mt.reconcile_set(t.operators, t.operator_roster)[0]
+    return mt.reconcile_set(t.operators, t.operator_roster, t.operator_machines)[0]
 
 
 def reconcile_set_counts(t: Tables, p: Params) -> DataFrame:
-    return mt.reconcile_set(t.operators, t.operator_roster)[1]
+    return mt.reconcile_set(t.operators, t.operator_roster, t.operator_machines)[1]

@@ -18,17 +18,26 @@ from shopfloor.sources.fixtures import Tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_TABLES: dict[tuple[str, str], Tables] = {}
+def tables_for(spark: SparkSession, sf_dir: str, store: str | None = None) -> Tables:
+    """The model tables of a data directory; nothing is kept between queries,
+    so each query sees the data as it is when it runs."""
+    return Tables(spark, sf_dir, store)
 
 
-def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    """One ``Tables`` per session and data directory, so dimension sources
-    and the typed telemetry store are resolved once and shared by queries."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    t = _TABLES.get(key)
-    if t is None:
-        t = _TABLES[key] = Tables(spark, sf_dir)
-    return t
+# One tenant, one machine: the scoped variants of fleet-wide queries.
+TENANT = DEFAULT.with_(company="1")
+MACHINE = DEFAULT.with_(company="1", machine_uid="M1", device="1")
+SCOPED = {
+    "machine_status": status.machine_status,
+    "machine_status_latest": status.machine_status_latest,
+    "machine_production": production.machine_production,
+    "oee_company": oee.oee_company,
+    "oee_device": oee.oee_device,
+    "production_idle_time": timeframe.production_idle_time,
+    "shift_timeframe": timeframe.shift_timeframe,
+    "alarm_breakdowns": alarms.alarm_breakdowns,
+    "alarm_reliability": alarms.alarm_reliability,
+}
 
 
 def _q(fn, *args, params: Params = DEFAULT, **kw) -> Query:
@@ -77,8 +86,15 @@ def queries() -> dict[str, Query]:
     })
     for u in ("hour", "day", "week", "month"):
         out[f"interval_timeframe_{u}"] = _q(timeframe.interval_timeframe, u)
+    for name, fn in SCOPED.items():
+        out[f"{name}_tenant"] = _q(fn, params=TENANT)
+        out[f"{name}_machine"] = _q(fn, params=MACHINE)
+    out["machine_complete_nested"] = _q(overview.machine_complete_nested)
+    out["machine_catalog_json"] = _q(catalog.machine_catalog_json)
     for name in ("append_validated", "append_rejects", "update_by_key", "update_unmatched",
-                 "delete_by_key", "insert_if_absent", "update_if_unique", "get_or_create_dim",
-                 "update_guarded", "update_guarded_parts", "reconcile_set", "reconcile_set_counts"):
+                 "delete_by_key", "insert_if_absent", "insert_if_absent_rejects", "update_if_unique",
+                 "update_if_unique_rejects", "update_if_unique_unmatched", "get_or_create_dim",
+                 "update_guarded", "update_guarded_parts", "update_guarded_rejects",
+                 "add_machine", "add_machine_parts", "reconcile_set", "reconcile_set_counts"):
         out[name] = _q(getattr(upkeep, name))
     return out

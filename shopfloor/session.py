@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # A payload that repeats a key keeps the last value, as jsonb does.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Static settings (only honoured when the session is created).
@@ -57,13 +59,16 @@ def apply_query_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when the session leaves it unset
-    (local tests) is a scratch folder chosen and registered.
+    Read from ``spark.checkpoint.dir``.  A local session that leaves it unset
+    gets a scratch folder; on a cluster that is an error, since executors do
+    not share machine-local folders.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="shopfloor-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -71,7 +76,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 MB = 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 32768
 
 
 def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
@@ -80,9 +84,8 @@ def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
     * scan splits of 256 MB (``maxPartitionBytes``) keep a task's JSON parse
       and typed rows well inside an executor core's memory share;
     * shuffle partitions: one per 256 MB of input, at least two waves of the
-      cluster's cores, at most 32768 (map-output tracking grows with maps x
-      reducers; the typed store is appended per ingest batch, so no job
-      shuffles the whole history); AQE then coalesces the small
+      cluster's cores (the typed store is appended per ingest batch, so no
+      job shuffles the whole history); AQE then coalesces the small
       post-aggregation shuffles towards 128 MB and splits skewed partitions
       above 256 MB;
     * dimension sides up to 64 MB may be broadcast (checked by the planner
@@ -90,7 +93,7 @@ def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
 
     The typed store sizes its buckets the same way (``telemetry.bucket_count``).
     """
-    partitions = min(MAX_SHUFFLE_PARTITIONS, max(2 * cores, -(-input_bytes // (256 * MB))))
+    partitions = max(2 * cores, -(-input_bytes // (256 * MB)))
     return {
         "spark.sql.files.maxPartitionBytes": str(256 * MB),
         "spark.sql.shuffle.partitions": str(partitions),

@@ -9,7 +9,7 @@ No mapping caps rows: dimension tables grow with the driver tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +21,7 @@ class Derived:
     source: str
     columns: tuple[tuple[str, str], ...]
     where: str | None = None
+    group_by: str | None = None
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ _RULE_ROWS = (
 
 SPECS: dict[str, TableSpec] = {
     "device_data": TableSpec("device_data", (Derived("events", (
-        ("deviceuid", "cast(user_id % 10 as string)"),
+        ("deviceuid", "cast(user_id as string)"),
         ("timestamp", "ts"),
         ("data", _PAYLOAD),
     )),)),
@@ -136,20 +137,20 @@ SPECS: dict[str, TableSpec] = {
     "shifts": TableSpec("shifts", (Literal(
         (("shift_id", _S), ("shift_name", _S), ("start_time", _S), ("end_time", _S),
          ("shift_days", _S), ("created_by", _S), ("company_id", _S)), _SHIFT_ROWS),)),
-    # The configured holidays plus one per urgent order for tenants 3-5 (which
-    # own no shifts), so the holiday list grows with the driver tables.
+    # The configured holidays plus, for tenants 3-5, one per day with an order
+    # (ids are unique per day and tenant), from the whole order table.
     "holidays": TableSpec("holidays", (
         Literal((("holiday_id", _S), ("holiday_name", _S), ("holiday_date", _S),
                  ("holiday_image", _S), ("created_by", _S), ("company_id", _S)),
                 _HOLIDAY_ROWS),
         Derived("orders", (
-            ("holiday_id", "concat('o', cast(o_orderkey as string))"),
-            ("holiday_name", "o_orderpriority"),
+            ("holiday_id", "concat('o', cast(min(o_orderkey) as string))"),
+            ("holiday_name", "min(o_orderpriority)"),
             ("holiday_date", "cast(cast(o_orderdate as date) as string)"),
             ("holiday_image", "cast(NULL as string)"),
-            ("created_by", "cast(o_custkey as string)"),
+            ("created_by", "cast(min(o_custkey) as string)"),
             ("company_id", "cast(3 + o_custkey % 3 as string)"),
-        ), "o_orderpriority = '1-URGENT'"),
+        ), None, "cast(o_orderdate as date), o_custkey % 3"),
     )),
     # The configured rules plus one stored rule per machine.
     "notification_configuration": TableSpec("notification_configuration", (
@@ -177,7 +178,8 @@ def _derived_sql(d: Derived) -> str:
     cols = ", ".join(f"{expr} AS {name}" for name, expr in d.columns)
     src = d.source.removeprefix("model:")
     where = f" WHERE {d.where}" if d.where else ""
-    return f"SELECT {cols} FROM {src}{where}"
+    group = f" GROUP BY {d.group_by}" if d.group_by else ""
+    return f"SELECT {cols} FROM {src}{where}{group}"
 
 
 def _spec(name: str) -> TableSpec:
@@ -193,37 +195,21 @@ def table_sql(name: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-TELEMETRY_SOURCE = "events"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give an under-split scan at least one partition per core.
+class Tables:
+    """Lazily built model tables over one driver data directory.
 
-    A warehouse-sized table arrives in thousands of splits and is returned
-    untouched; a small file with a single row group would otherwise run every
-    per-row step (payload parsing) in one task.
+    ``store`` names a telemetry store written by ``telemetry.ingest``; without
+    one, queries parse the readings they need in their own plan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
 
-class Tables:
-    """Lazily built model tables over one driver data directory."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        # Parse the telemetry JSON once per session into a typed table in the
-        # checkpoint folder (see sources.telemetry.stored).
-        self.materialize = materialize
+        self.store = store
         self._cache: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        # Only the telemetry source carries per-row heavy work (JSON).
-        return spread(df) if name == TELEMETRY_SOURCE else df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in SPECS and name not in CHANGES):
@@ -244,7 +230,10 @@ class Tables:
                     src = self.source(p.source)
                 if p.where:
                     src = src.where(p.where)
-                df = src.selectExpr(*[f"{expr} AS `{name}`" for name, expr in p.columns])
+                if p.group_by:
+                    df = self.spark.sql(_derived_sql(replace(p, source="{src}", where=None)), src=src)
+                else:
+                    df = src.selectExpr(*[f"{expr} AS `{name}`" for name, expr in p.columns])
             out = df if out is None else out.unionByName(df)
         return out
 
@@ -299,6 +288,7 @@ CHANGES: dict[str, TableSpec] = {
     # Holiday requests for tenants 3-5; some collide with stored holidays.
     "holiday_requests": TableSpec("holiday_requests", (
         Derived("orders", (
+            ("request_no", "o_orderkey"),
             ("holiday_id", "concat('q', cast(o_orderkey as string))"),
             ("holiday_name", "'Requested'"),
             ("holiday_date", "cast(cast(o_orderdate as date) as string)"),
@@ -309,13 +299,24 @@ CHANGES: dict[str, TableSpec] = {
     # Every stored holiday of tenant 4 moves one day later.
     "holiday_moves": TableSpec("holiday_moves", (
         Derived("model:holidays", (
+            ("request_no", "holiday_date"),
             ("holiday_id", "holiday_id"),
             ("holiday_name", "concat(holiday_name, ' (moved)')"),
             ("holiday_date", "cast(cast(cast(holiday_date as date) + interval 1 day as date) as string)"),
             ("holiday_image", "cast(NULL as string)"),
             ("created_by", "created_by"),
             ("company_id", "company_id"),
-        ), "company_id = '4'"),)),
+        ), "company_id = '4'"),
+        # ... and a holiday that does not exist is asked to move.
+        Derived("nation", (
+            ("request_no", "n_name"),
+            ("holiday_id", "concat('none', cast(n_nationkey as string))"),
+            ("holiday_name", "n_name"),
+            ("holiday_date", "'2031-01-01'"),
+            ("holiday_image", "cast(NULL as string)"),
+            ("created_by", "'0'"),
+            ("company_id", "'4'"),
+        )))),
     # Machine type names requested by new or edited machines.
     "type_requests": TableSpec("type_requests", (
         Derived("part", (("machine_type_name", "p_type"),)),)),
@@ -323,6 +324,7 @@ CHANGES: dict[str, TableSpec] = {
     # (the guard rejects them); an image, when given, cascades to the parts.
     "machine_updates": TableSpec("machine_updates", (
         Derived("customer", (
+            ("request_no", "c_custkey"),
             ("machine_uid", "concat('M', cast(c_custkey as string))"),
             ("machine_id", "cast(c_custkey as string)"),
             ("machine_name", "lower(c_name)"),
@@ -338,6 +340,10 @@ CHANGES: dict[str, TableSpec] = {
             ("machine_image", "case when c_acctbal > 0 then concat('img/upd/', cast(c_custkey as string), '.png') "
                               "else cast(NULL as string) end"),
         ), "c_mktsegment = 'AUTOMOBILE'"),)),
+    # Machines whose operator list is replaced (one of them by an empty list).
+    "operator_machines": TableSpec("operator_machines", (
+        Derived("supplier", (("machine_id", "concat('M', cast(s_suppkey % 13 as string))"),),
+        None, "s_suppkey % 13"),)),
     # Desired operator lists per machine: suppliers not in debt, plus one
     # trainee per nation.
     "operator_roster": TableSpec("operator_roster", (

@@ -63,11 +63,6 @@ def value(key: str) -> Column:
     return F.variant_get(F.col("payload"), _path(key), "string")
 
 
-def number(key: str) -> Column:
-    """``(data->>'key')::numeric`` as a double (non-numeric text raises)."""
-    return F.variant_get(F.col("payload"), _path(key), "double")
-
-
 def has(key: str) -> Column:
     """``data::jsonb ? 'key'`` (true for a JSON null value too)."""
     return F.variant_get(F.col("payload"), _path(key), "variant").isNotNull()
@@ -83,51 +78,62 @@ def parse(device_data: DataFrame) -> DataFrame:
     return device_data.select(
         F.col("deviceuid"),
         F.col("timestamp").alias("ts"),
-        F.try_parse_json(F.col("data")).alias("payload"),
+        F.parse_json(F.col("data")).alias("payload"),
     )
 
 
+def rejected(device_data: DataFrame) -> DataFrame:
+    """Readings whose payload is not JSON; queries over raw telemetry fail on
+    them, ``ingest`` keeps them apart from the store."""
+    return device_data.where(F.col("data").isNotNull() & F.try_parse_json(F.col("data")).isNull())
+
+
 def payload_map(device_data: DataFrame) -> DataFrame:
     """Whole payload as ``map<string,string>`` (JSON null -> NULL value)."""
     return parse(device_data).select("deviceuid", "ts", F.col("payload").cast(MAP_TYPE).alias("payload_map"))
 
 
-def typed(parsed: DataFrame) -> DataFrame:
-    """Typed view of the metric keys (only referenced columns survive pruning)."""
+def _flags_and_texts(parsed: DataFrame) -> DataFrame:
+    """What a reading says, uncast: key-existence flags, text values, the map."""
     return parsed.select(
-        "deviceuid", "ts", "payload",
+        "deviceuid", "ts",
         trunc_ntz(SEQ_UNIT, F.col("ts")).alias("seq_bucket"),
-        has(MC_STATUS).alias("has_mc"),
-        value(MC_STATUS).alias("mc_text"),
-        number(MC_STATUS).alias("mc_status"),
-        number(ACT_SPEED).alias("act_speed"),
-        number(TARGET_SPEED).alias("target_speed"),
-        has(LINE_SPEED).alias("has_line_speed"),
-        number(LINE_SPEED).alias("line_speed"),
-        has(COLD_DIA).alias("has_diameter"),
-        number(COLD_DIA).alias("diameter"),
-        has(MONTH_PRODUCTION).alias("has_month_production"),
-        number(MONTH_PRODUCTION).alias("month_production"),
-        has(BOBBIN_CHANGE).alias("has_bobbin"),
-        value(BOBBIN_CHANGE).alias("bobbin"),
+        *[has(key).alias(name) for name, key in FLAGS.items()],
+        *[value(key).alias(name) for name, key in TEXTS.items()],
         F.col("payload").cast(MAP_TYPE).alias("payload_map"),
     )
 
 
-# --------------------------------------------------------------------------
-# Parse-once store
-# --------------------------------------------------------------------------
+FLAGS = {"has_mc": MC_STATUS, "has_line_speed": LINE_SPEED, "has_diameter": COLD_DIA,
+         "has_month_production": MONTH_PRODUCTION, "has_bobbin": BOBBIN_CHANGE}
+TEXTS = {"mc_text": MC_STATUS, "act_speed_text": ACT_SPEED, "target_speed_text": TARGET_SPEED,
+         "line_speed_text": LINE_SPEED, "diameter_text": COLD_DIA, "month_production_text": MONTH_PRODUCTION,
+         "bobbin": BOBBIN_CHANGE}
+NUMBERS = {"mc_status": "mc_text", "act_speed": "act_speed_text", "target_speed": "target_speed_text",
+           "line_speed": "line_speed_text", "diameter": "diameter_text",
+           "month_production": "month_production_text"}
+STORED_COLUMNS = ("deviceuid", "ts", "seq_bucket", *FLAGS, *TEXTS, "payload_map")
+TYPED_COLUMNS = ("deviceuid", "ts", "seq_bucket", *FLAGS, "mc_text", "bobbin", *NUMBERS, "payload_map")
 
-TYPED_COLUMNS = ("deviceuid", "ts", "seq_bucket", "has_mc", "mc_text", "mc_status", "act_speed", "target_speed",
-                 "has_line_speed", "line_speed", "has_diameter", "diameter",
-                 "has_month_production", "month_production", "has_bobbin", "bobbin", "payload_map")
 
-_STORE: dict[tuple[str, str], DataFrame] = {}
+def _numbers(df: DataFrame) -> DataFrame:
+    """Casts happen here, in the query: a value that is not a number fails the
+    queries that read its key and no others."""
+    return df.withColumns({n: F.col(text).cast("double") for n, text in NUMBERS.items()})
 
 
-def store_typed(device_data: DataFrame, path: str, name: str, buckets: int,
-                mode: str = "overwrite") -> None:
-    """Write the typed telemetry once (the ingest step of a deployment).
+def typed(parsed: DataFrame) -> DataFrame:
+    """Typed view of the metric keys (only referenced columns survive pruning)."""
+    return _numbers(_flags_and_texts(parsed)).select(*TYPED_COLUMNS)
+
+
+# --------------------------------------------------------------------------
+# Parse-once store
+# --------------------------------------------------------------------------
+
+def ingest(device_data: DataFrame, path: str, name: str, buckets: int, mode: str = "append") -> DataFrame:
+    """Append a batch of readings to the store ``name`` at the shared ``path``
+    and return the batch's rejected readings (payloads that are not JSON).
 
     Parquet partitioned by event month and bucketed by (device, sequence
     bucket), rows sorted by time inside each bucket file:
@@ -141,86 +147,71 @@ def store_typed(device_data: DataFrame, path: str, name: str, buckets: int,
       not days: with thousands of buckets, daily partitions would explode
       into millions of small files.
 
-    In production the store is appended (``mode="append"``) per ingest batch
-    (e.g. a day of readings), so only that batch is shuffled into buckets.
+    Only the batch is shuffled.  All batches of a store need the same
+    ``buckets`` (see ``bucket_count``).
     """
-    typed_df = typed(parse(device_data)).select(*TYPED_COLUMNS)
-    (typed_df.withColumn("event_month", F.trunc(F.col("ts"), "month"))
+    good = device_data.where(F.col("data").isNull() | F.try_parse_json(F.col("data")).isNotNull())
+    (_flags_and_texts(parse(good)).select(*STORED_COLUMNS)
+     .withColumn("event_month", F.trunc(F.col("ts"), "month"))
      .repartition(buckets, "deviceuid", "seq_bucket")
      .write.mode(mode).partitionBy("event_month")
      .bucketBy(buckets, "deviceuid", "seq_bucket").sortBy("ts")
      .option("path", path).saveAsTable(name))
+    return rejected(device_data)
 
 
 BYTES_PER_BUCKET = 256 * 1024 * 1024
 
 
-def bucket_count(device_data: DataFrame) -> int:
-    """Buckets for the store: about 256 MB of input each, at least one per
-    core of the cluster (every bucket is one scan task), at most the session's
-    shuffle partition count unless the cores alone need more."""
-    spark = device_data.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    ceiling = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(device_data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = -(-size // BYTES_PER_BUCKET)
-    return max(cores, min(ceiling, wanted))
-
-
-def stored(tables) -> DataFrame:
-    """The typed telemetry of ``tables``, materialised on first use in the
-    shared checkpoint folder (``spark.checkpoint.dir``) of the session."""
-    from shopfloor.session import checkpoint_dir
-
-    spark = tables.spark
-    key = (spark.sparkContext.applicationId, tables.sf_dir)
-    df = _STORE.get(key)
-    if df is None:
-        import uuid
-        tag = uuid.uuid4().hex
-        path = f"{checkpoint_dir(spark).rstrip('/')}/typed_telemetry/{tag}"
-        name = f"typed_telemetry_{tag}"
-        store_typed(tables.device_data, path, name, bucket_count(tables.device_data))
-        df = _STORE[key] = spark.table(name)
-    return df
+def bucket_count(input_bytes: int, cores: int) -> int:
+    """Buckets for a store of ``input_bytes``: about 256 MB each, at least one
+    per core (every bucket is one scan task)."""
+    return max(cores, -(-input_bytes // BYTES_PER_BUCKET))
+
+
+def _store(tables) -> DataFrame | None:
+    """The caller's store, read anew by every query, or None."""
+    name = getattr(tables, "store", None)
+    return tables.spark.table(name) if name else None
 
 
 def typed_all(tables) -> DataFrame:
-    """Typed telemetry over all time: the stored table, or an in-plan parse
-    when ``tables.materialize`` is off."""
-    if getattr(tables, "materialize", False):
-        return stored(tables).drop("event_month")
-    return typed(parse(tables.device_data)).select(*TYPED_COLUMNS)
+    """Typed telemetry over all time: the caller's store, or parsed in the plan."""
+    st = _store(tables)
+    return typed(parse(tables.device_data)) if st is None else _numbers(st).select(*TYPED_COLUMNS)
 
 
 def latest_ts(tables) -> Column:
     """Newest reading as a scalar subquery.  On the store the newest month is
-    found from the partition column alone, and ``max(ts)`` scans only that
-    month (the partition filter is applied at run time)."""
-    if getattr(tables, "materialize", False):
-        st = stored(tables)
-        month = st.select(F.max("event_month")).scalar()
-        return st.where(F.col("event_month") == month).select(F.max("ts")).scalar()
-    return typed_all(tables).select(F.max("ts")).scalar()
+    found first (a scan of the partition column), then ``max(ts)`` scans only
+    that month (the partition filter is applied at run time); raw telemetry
+    is read for its timestamps alone."""
+    st = _store(tables)
+    if st is None:
+        return tables.device_data.select(F.max("timestamp")).scalar()
+    month = st.select(F.max("event_month")).scalar()
+    return st.where(F.col("event_month") == month).select(F.max("ts")).scalar()
 
 
 def typed_since(tables, since: Column) -> DataFrame:
     """Typed telemetry with ``ts >= since``.  On the store the month
     partitions before ``since`` are skipped too (also when ``since`` is a
     scalar subquery: Spark evaluates such partition filters at run time)."""
-    if getattr(tables, "materialize", False):
-        df = stored(tables).where(F.col("event_month") >= F.trunc(since, "month"))
-        return df.where(F.col("ts") >= since).drop("event_month")
-    return typed_all(tables).where(F.col("ts") >= since)
+    st = _store(tables)
+    if st is None:
+        return typed(parse(tables.device_data.where(F.col("timestamp") >= since)))
+    st = st.where((F.col("event_month") >= F.trunc(since, "month")) & (F.col("ts") >= since))
+    return _numbers(st).select(*TYPED_COLUMNS)
 
 
 def typed_in_range(tables, params: Params) -> DataFrame:
     """Typed telemetry of the request range and device."""
+    st = _store(tables)
+    if st is None:
+        return typed(parse(in_range(tables.device_data, params)))
     lo, hi = F.to_timestamp_ntz(F.lit(params.start)), F.to_timestamp_ntz(F.lit(params.end))
-    if getattr(tables, "materialize", False):
-        df = stored(tables).where(F.col("event_month").between(F.trunc(lo, "month"), F.trunc(hi, "month")))
-        df = df.where(F.col("ts").between(lo, hi)).drop("event_month")
-        if params.device is not None:
-            df = df.where(F.col("deviceuid") == F.lit(params.device))
-        return df
-    return typed(parse(in_range(tables.device_data, params))).select(*TYPED_COLUMNS)
+    st = st.where(F.col("event_month").between(F.trunc(lo, "month"), F.trunc(hi, "month"))
+                  & F.col("ts").between(lo, hi))
+    if params.device is not None:
+        st = st.where(F.col("deviceuid") == F.lit(params.device))
+    return _numbers(st).select(*TYPED_COLUMNS)

@@ -44,7 +44,7 @@ def hand_tables(spark, device_data, **extra):
             "machine_uid string, machine_id string, machine_name string, machine_plant string, "
             "machine_model string, machine_customer string, machine_location string, "
             "machine_longitude double, machine_latitude double, machine_type_id int, company_id string")
-    ns = SimpleNamespace(spark=spark, sf_dir=tempfile.mkdtemp(), materialize=False,
+    ns = SimpleNamespace(spark=spark, sf_dir=tempfile.mkdtemp(), store=None,
                          device_data=device_data, machine=machine)
     for k, v in extra.items():
         setattr(ns, k, v)

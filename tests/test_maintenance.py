@@ -32,11 +32,16 @@ def test_insert_if_absent_first_request_wins(spark):
 
 
 def test_update_if_unique_conflict(spark):
-    hol = spark.createDataFrame([("h1", "d1", "1"), ("h2", "d2", "1")], "holiday_id string, holiday_date string, company_id string")
-    ch = spark.createDataFrame([("h1", "d2", "1"), ("h2", "d3", "1")], "holiday_id string, holiday_date string, company_id string")
-    out, rejected = mt.update_if_unique(hol, ch, "holiday_id", ["holiday_date", "company_id"], ["holiday_date"])
-    assert {r["holiday_id"]: r["holiday_date"] for r in out.collect()} == {"h1": "d1", "h2": "d3"}
-    assert [r["holiday_id"] for r in rejected.collect()] == ["h1"]
+    schema = "holiday_id string, holiday_date string, company_id string"
+    hol = spark.createDataFrame([("h1", "d1", "1"), ("h2", "d2", "1"), ("h4", "d4", "1"), ("h5", "d5", "1")], schema)
+    ch = spark.createDataFrame([(1, "h1", "d2", "1"), (2, "h2", "d3", "1"), (10, "h4", "d9", "1"), (9, "h5", "d9", "1"),
+                                (3, "h9", "d8", "1"), (4, "h2", "d2", "1"), (5, "h2", "d3", "1")], "no int, " + schema)
+    out, rejected, unmatched = mt.update_if_unique(hol, ch, "holiday_id", ["holiday_date", "company_id"], ["holiday_date"], "no")
+    # h1 wants h2's stored day; of h4 and h5 the earlier request (9) wins; h2's last request counts
+    assert {r["holiday_id"]: r["holiday_date"] for r in out.collect()} == {"h1": "d1", "h2": "d3", "h4": "d4", "h5": "d9"}
+    assert sorted(r["holiday_id"] for r in rejected.collect()) == ["h1", "h4"]
+    assert [r["holiday_id"] for r in unmatched.collect()] == ["h9"]
+    assert out.groupBy("holiday_date", "company_id").count().where("count > 1").count() == 0
 
 
 def test_get_or_create_dim_is_deterministic(spark):
@@ -56,27 +61,45 @@ def test_update_guarded_owner_and_image_cascade(spark):
     parts = spark.createDataFrame([(1, "M1", "a.png"), (2, "M2", "b.png")], "machine_part_id bigint, machine_id string, machine_image_path string")
     types = spark.createDataFrame([(0, "T0")], "machine_type_id int, machine_type_name string")
     ch = spark.createDataFrame(
-        [("M1", "1", "new", "p", "m", "c", "l", 1.0, 1.0, "T0", "c1", "z.png"),
-         ("M2", "2", "new", "p", "m", "c", "l", 1.0, 1.0, "Fresh", "c9", "y.png")],
-        "machine_uid string, machine_id string, machine_name string, machine_plant string, machine_model string, "
+        [(1, "M1", "1", "older", "p", "m", "c", "l", 1.0, 1.0, "T0", "c1", "z.png"),
+         (3, "M1", "1", "new", "p", "m", "c", "l", 1.0, 1.0, "T0", "c1", "z.png"),
+         (2, "M2", "2", "new", "p", "m", "c", "l", 1.0, 1.0, "Fresh", "c9", "y.png")],
+        "no int, machine_uid string, machine_id string, machine_name string, machine_plant string, machine_model string, "
         "machine_customer string, machine_location string, machine_longitude double, machine_latitude double, "
         "machine_type_name string, company_id string, machine_image string")
-    m2, p2, t2 = mt.update_guarded(machines, parts, types, ch)
+    m2, p2, t2, rejected = mt.update_guarded(machines, parts, types, ch, "no")
+    assert m2.count() == 2 and [r["machine_uid"] for r in rejected.collect()] == ["M2"]
     names = {r["machine_uid"]: r["machine_name"] for r in m2.collect()}
     assert names == {"M1": "new", "M2": "old"}  # M2 names another owner
     assert {r["machine_id"]: r["machine_image_path"] for r in p2.collect()} == {"M1": "z.png", "M2": "b.png"}
     assert t2.count() == 2  # the requested new type exists even though the update was refused
 
 
+def test_add_machine_creates_type_uid_and_part(spark):
+    machines = spark.createDataFrame([("M1", "1", 0, "c1")], "machine_uid string, machine_id string, machine_type_id int, company_id string")
+    parts = spark.createDataFrame([(1, "M1", "a.png")], "machine_part_id bigint, machine_id string, machine_image_path string")
+    types = spark.createDataFrame([(0, "T0")], "machine_type_id int, machine_type_name string")
+    new = spark.createDataFrame([("7", "n", "T0", "c1", "x.png"), ("8", "n", "T1", "c1", ""), ("9", "", "T1", "c1", "y.png")],
+                                "machine_id string, machine_name string, machine_type_name string, company_id string, machine_image string")
+    m, p, t = mt.add_machine(machines, parts, types, new)
+    ids = {r.machine_id: (r.machine_uid, r.machine_type_id) for r in m.collect()}
+    assert set(ids) == {"1", "7", "8"} and ids["7"][1] == "0" and ids["8"][1] == {r[1]: r[0] for r in t.collect()}["T1"]
+    assert sorted((r.machine_id, r.machine_image_path) for r in p.collect()) == sorted([("M1", "a.png"), (ids["7"][0], "x.png")])
+
+
 def test_reconcile_set_is_idempotent(spark):
     ops = spark.createDataFrame([("O1", "ann", "M1", "0", "1"), ("O2", "bob", "M1", "0", "1"), ("O3", "cid", "M2", "0", "1")],
                                 "operator_id string, operator_name string, machine_id string, created_by string, company_id string")
     want = spark.createDataFrame([("M1", "ann", "0", "1"), ("M1", "dan", "0", "1")],
                                  "machine_id string, operator_name string, created_by string, company_id string")
-    once, counts = mt.reconcile_set(ops, want)
+    scope = spark.createDataFrame([("M1",)], "machine_id string")
+    once, counts = mt.reconcile_set(ops, want, scope)
     assert sorted((r["machine_id"], r["operator_name"]) for r in once.collect()) == [("M1", "ann"), ("M1", "dan"), ("M2", "cid")]
     assert [(r["added"], r["deleted"]) for r in counts.collect()] == [(1, 1)]
-    twice, counts2 = mt.reconcile_set(once, want)
+    emptied, counts0 = mt.reconcile_set(ops, want.where("false"), spark.createDataFrame([("M2",)], "machine_id string"))
+    assert sorted(r["operator_name"] for r in emptied.collect()) == ["ann", "bob"]
+    assert [tuple(r) for r in counts0.collect()] == [("M2", 0, 1)]
+    twice, counts2 = mt.reconcile_set(once, want, scope)
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
     assert [(r["added"], r["deleted"]) for r in counts2.collect()] == [(0, 0)]
 

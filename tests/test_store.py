@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
 
-from shopfloor.operators import alarms, oee, timeframe
+from shopfloor.operators import alarms, oee, status, timeframe
 from shopfloor.params import DEFAULT
 from shopfloor.registry import tables_for
+from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
-from tests.conftest import SMOKE
+from tests.conftest import SMOKE, device_rows, hand_tables
 
 CASES = {
     "oee_company": lambda t: oee.oee_company(t, DEFAULT),
@@ -18,21 +22,33 @@ CASES = {
 }
 
 
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    name = f"telemetry_{uuid.uuid4().hex}"
+    path = str(tmp_path_factory.mktemp("store") / "t")
+    assert tm.ingest(Tables(spark, SMOKE).device_data, path, name, 4).count() == 0
+    return name
+
+
 @pytest.mark.parametrize("name", sorted(CASES))
-def test_store_equals_in_plan(spark, name):
-    stored = tables_for(spark, SMOKE)
-    direct = Tables(spark, SMOKE, materialize=False)
-    a = CASES[name](stored)
-    b = CASES[name](direct)
+def test_store_equals_in_plan(spark, store, name):
+    a = CASES[name](tables_for(spark, SMOKE, store))
+    b = CASES[name](tables_for(spark, SMOKE))
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
-def test_store_is_bucketed_and_skips_shuffles(spark):
-    t = tables_for(spark, SMOKE)
-    plan = oee.actual_weight(t, DEFAULT)._jdf.queryExecution().executedPlan().toString()
+def test_store_is_bucketed_and_skips_shuffles(spark, store):
+    plan = oee.actual_weight(tables_for(spark, SMOKE, store), DEFAULT)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan or "bucketed" in plan.lower()
 
 
+def test_building_a_query_runs_nothing(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    oee.oee_company(tables_for(spark, SMOKE), DEFAULT)
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)
+    assert len(jobs) <= 3  # Parquet schemas only
+
+
 @pytest.mark.parametrize("name", ["oee_company", "alarm_reliability"])
 def test_sequence_bucket_does_not_change_results(spark, name):
     t = tables_for(spark, SMOKE)
@@ -43,22 +59,41 @@ def test_sequence_bucket_does_not_change_results(spark, name):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
-def test_store_append_per_batch_equals_one_shot(spark):
-    import tempfile
-    import uuid
-
-    from pyspark.sql import functions as F
-
-    from shopfloor.sources import telemetry as tm
-    t = Tables(spark, SMOKE, materialize=False)
-    dd = t.device_data
+def test_store_append_per_batch_equals_one_shot(spark, store, tmp_path):
+    dd = Tables(spark, SMOKE).device_data
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    root = tempfile.mkdtemp(prefix="store-")
-    one, inc = f"one_{uuid.uuid4().hex}", f"inc_{uuid.uuid4().hex}"
-    tm.store_typed(dd, f"{root}/one", one, 4)
-    tm.store_typed(dd.where(F.col("timestamp") < cut), f"{root}/inc", inc, 4)
-    tm.store_typed(dd.where(F.col("timestamp") >= cut), f"{root}/inc", inc, 4, mode="append")
-    cols = ["deviceuid", "ts", "mc_status", "line_speed", "bobbin", "event_month"]
-    a = sorted(map(repr, spark.table(one).select(*cols).collect()))
+    inc = f"inc_{uuid.uuid4().hex}"
+    tm.ingest(dd.where(F.col("timestamp") < cut), str(tmp_path / "inc"), inc, 4)
+    tm.ingest(dd.where(F.col("timestamp") >= cut), str(tmp_path / "inc"), inc, 4)
+    cols = ["deviceuid", "ts", "mc_text", "line_speed_text", "bobbin", "event_month"]
+    a = sorted(map(repr, spark.table(store).select(*cols).collect()))
     b = sorted(map(repr, spark.table(inc).select(*cols).collect()))
     assert a == b and len(a) == dd.count()
+
+
+READING = '{"MC_STATUS":%s,"Act Speed":%s,"Target Speed":100}'
+
+
+def test_new_readings_and_lost_readings(spark, tmp_path):
+    """Appended readings show at once; bad JSON is kept apart, a repeated key
+    keeps its last value, and a value that is no number hurts only its readers."""
+    name, path = f"live_{uuid.uuid4().hex}", str(tmp_path / "live")
+    first = device_rows(spark, [("1", "2024-01-02 00:00:00", READING % ("1", "80")),
+                                ("2", "2024-01-02 00:00:00", '{"MC_STATUS":1,"MC_STATUS":0}'),
+                                ("3", "2024-01-02 00:00:00", "{broken")])
+    bad = tm.ingest(first, path, name, 2)
+    assert [r.deviceuid for r in bad.collect()] == ["3"]
+    t = hand_tables(spark, first)
+    t.store = name
+    codes = lambda: {r.machine_id: r.status_code for r in status.status_by_max(t, DEFAULT).collect()}
+    assert codes() == {"1": status.RUNNING, "2": status.STOPPED}
+    tm.ingest(device_rows(spark, [("1", "2024-01-02 00:05:00", READING % ("0", "0")),
+                                  ("1", "2024-01-02 00:06:00", '{"Target Speed":"fast"}'),
+                                  ("1", "2024-01-02 00:30:00", READING % ("0", "0"))]), path, name, 2)
+    assert tm.typed_all(t).count() == 5
+    assert oee.availability(t, DEFAULT).count() == 2  # does not read the target speed
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        tm.typed_all(t).select("target_speed").collect()
+    raw = hand_tables(spark, first, machine=t.machine)
+    with pytest.raises(Exception, match="MALFORMED|parse"):
+        tm.typed_all(raw).select("mc_text").collect()
