@@ -45,8 +45,7 @@ def ratio_half_up(num: Column, den: Column, scale: int) -> Column:
     d = F.when(den != 0, den.cast("bigint"))
     a = F.lit(2 * k) * num.cast("bigint") + d
     b = F.lit(2) * d
-    q = ((a - F.pmod(a, b)) / b).cast("bigint")  # floor(a / b), exact below 2^53
-    return q.cast("double") / float(k)
+    return F.call_function("div", a, b).cast("double") / float(k)
 
 
 def hours_2dp(micros: Column) -> Column:

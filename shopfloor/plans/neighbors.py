@@ -18,8 +18,9 @@ The sequence is therefore cut into time buckets (an hour by default):
 
 No join and no aggregate is needed; the big side is shuffled once, by
 ``keys + bucket``.  The result equals the single-window form for any bucket
-width, provided ``order`` is non-null and unique within ``keys`` (append a
-tie-breaker column otherwise).
+width, provided ``order`` is non-null.  Rows of equal ``order`` follow each
+other by the values that lead or lag, so the result does not depend on how
+rows arrive.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
                    lag: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``lead`` / ``lag`` columns (``{new_name: source_column}``).
 
-    ``keys`` are the window's partition columns, ``order`` its (unique)
-    ordering column, ``bucket`` a column expression monotone in ``order``
+    ``keys`` are the window's partition columns, ``order`` its ordering
+    column, ``bucket`` a column expression monotone in ``order``
     that splits each sequence (e.g. ``date_trunc('hour', ts)``).
     """
     lead = dict(lead or {})
@@ -49,7 +50,8 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
         return df
     cols = list(df.columns)
 
-    w = Window.partitionBy(*keys, _B).orderBy(order)
+    by = [order, *sorted({*lead.values(), *lag.values()} - {order})]
+    w = Window.partitionBy(*keys, _B).orderBy(*by)
     inner = df.withColumn(_B, bucket).select(
         *cols,
         F.lead(order).over(w).alias(_NEXT_O), F.lag(order).over(w).alias(_PREV_O),
@@ -60,7 +62,7 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
     interior = inner.where(F.col(_NEXT_O).isNotNull() & F.col(_PREV_O).isNotNull()).select(*out)
 
     edge = inner.where(F.col(_NEXT_O).isNull() | F.col(_PREV_O).isNull())
-    we = Window.partitionBy(*keys).orderBy(order)
+    we = Window.partitionBy(*keys).orderBy(*by)
     fixed = edge.select(
         *cols,
         *[F.when(F.col(_NEXT_O).isNull(), F.lead(src).over(we)).otherwise(F.col(name)).alias(name)

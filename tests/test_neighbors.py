@@ -6,7 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Row, Window, functions as F
 
 from shopfloor.plans.neighbors import with_neighbors
 
@@ -44,3 +44,13 @@ def test_single_row_and_empty(spark):
     assert len(out) == 1 and out[0]["n"] is None and out[0]["p"] is None
     empty = df.where("false")
     assert with_neighbors(empty, ["dev"], "ts", F.date_trunc("hour", "ts"), lead={"n": "ts"}).count() == 0
+
+
+def test_ties_do_not_depend_on_the_order_of_arrival(spark):
+    rows = [("d", "2024-01-01 00:00:00", v) for v in ("1", "0", "1", "0", "2")] + [("d", "2024-01-01 01:00:00", "9")]
+    df = spark.createDataFrame(rows, "k string, t string, v string").select("k", F.col("t").cast("timestamp_ntz").alias("ts"), "v")
+    out = []
+    for n in (1, 3):
+        got = with_neighbors(df.repartition(n), ["k"], "ts", F.date_trunc("hour", F.col("ts")), lag={"p": "v"})
+        out.append(sorted(map(repr, got.select("v", "p").collect())))
+    assert out[0] == out[1] == sorted(map(repr, [Row(v=a, p=b) for a, b in (("0", None), ("0", "0"), ("1", "0"), ("1", "1"), ("2", "1"), ("9", "2"))]))

@@ -13,6 +13,7 @@ from shopfloor.functions.numeric import hours_2dp, ratio_half_up, round_half_up
 def test_ratio_half_up_is_exact(spark):
     rnd = random.Random(11)
     pairs = [(rnd.randint(0, 10 ** 12), rnd.randint(1, 10 ** 7)) for _ in range(500)]
+    pairs += [(rnd.randint(10 ** 15, 4 * 10 ** 16), 10 ** 6 * rnd.randint(1, 9)) for _ in range(500)]
     pairs += [(5, 1000), (15, 1000), (125, 100), (1, 8), (3, 8), (0, 7), (10 ** 12, 3)]  # exact ties too
     df = spark.createDataFrame(pairs, "num bigint, den bigint")
     got = df.select(ratio_half_up(F.col("num"), F.col("den"), 2).alias("r"),
