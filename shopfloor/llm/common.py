@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
 # Numpy kernels take at most this many text bytes at once (a longer single
-# text is its own chunk); their scratch arrays need about 30 bytes per byte.
-CHUNK_BYTES = 1 << 21
+# text is its own chunk); their scratch arrays need up to 300 bytes per byte.
+CHUNK_BYTES = 1 << 19
 # Lists of rows (two numbers each) up to this length are broadcast, longer
 # ones joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
