@@ -11,7 +11,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-import __spark_entry__ as entry  # noqa: E402
+from shopfloor import registry  # noqa: E402
 from shopfloor.session import build_session  # noqa: E402
 
 
@@ -34,20 +34,21 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     print(f"# Physical plans of the registered queries ({sf_dir})\n")
     print("Final AQE plans after execution (`tools/plan_report.py`). *Shuffles* counts "
-          "hash / range / round-robin exchanges, nearly all of them over small "
-          "pre-aggregated tables (per-minute, per-device, edge rows); windows and "
-          "minute aggregates on the bucketed store read it without an exchange. "
+          "hash / range / round-robin exchanges. The plans run without a store: the "
+          "readings of the range are exchanged once per window, other exchanges move "
+          "per-minute and per-device aggregates and edge rows; on a store windows and "
+          "minute aggregates read the readings without an exchange. "
           "*Single* counts the one-row exchanges of global aggregates (the `as_of` "
           "scalar subqueries). No query contains a nested-loop or Cartesian join.\n")
     print("| query | shuffles | single | broadcasts | windows | bucketed scans | sort-merge joins | nested-loop |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in entry.queries().items():
+    for name, fn in registry.queries().items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summary(df._jdf.queryExecution().executedPlan().toString())
         print(f"| {name} | {s['shuffles']} | {s['single']} | {s['broadcasts']} | {s['windows']} | "
               f"{s['bucketed_scans']} | {s['smj']} | {s['nested_loop']} |")
-    flagship = entry.queries()["oee_company"](spark, sf_dir)
+    flagship = registry.queries()["oee_company"](spark, sf_dir)
     print("\n## Flagship plan (`oee_company`, `explain(\"formatted\")`)\n")
     print("```")
     print(flagship._jdf.queryExecution().explainString(

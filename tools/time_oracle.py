@@ -11,7 +11,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-import __spark_entry__ as entry  # noqa: E402
+from shopfloor import oracle  # noqa: E402
 from tools.check_oracle import TABLES  # noqa: E402
 
 
@@ -22,7 +22,7 @@ def main() -> None:
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     times = {}
-    for name, sql in entry.oracle_sql().items():
+    for name, sql in oracle.statements().items():
         t0 = time.perf_counter()
         con.sql(sql).fetchall()
         times[name] = round(time.perf_counter() - t0, 3)
