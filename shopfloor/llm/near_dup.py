@@ -298,11 +298,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("node", F.coalesce("top", "root").alias("root"))
             .unionByName(second.join(first, "node", "left_anti").select("node", "root")))
 
-    named = rows.select("doc_id", "n_shingles", "node", "text_hash").join(root, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
-    names = (named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").drop("n"))
-    out = named.join(names, "root", "left")
+    # Names per node, in a table of their own: the join of all rows is then one
+    # of two exchanges, whose crowded partitions Spark can split.
+    own = nodes.select("node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    top = own.groupBy("root").agg(F.min("rep").alias("name"))
+    names = common.written(own.join(top, "root").select("node", "name"), "names")
+    out = rows.select("doc_id", "n_shingles", "node", "text_hash").join(names, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("name").isNotNull(), F.col("name")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
