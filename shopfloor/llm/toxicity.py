@@ -21,6 +21,8 @@ documents are scored alike; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from shopfloor.llm import common
 from shopfloor.llm.tokens import BLANK_SEPARATED, _BYTE, mix64, powers, scan
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000    # whose bags the driver holds, about 20 kB each
 TABLE_BITS = 17
 DIMENSIONS = 8
 NGRAMS = (3, 5, 7)  # in bytes
@@ -97,23 +99,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
-    """Joint gradient descent on embeddings and softmax, one text a step in random order."""
+class _Bags:
+    """Bags of texts in blocks (large arrays go back to the system when freed)."""
+
+    def __init__(self, texts: Iterable[bytes], size: int):
+        self.spread = np.zeros(size, dtype=np.int64)  # texts of each n-gram
+        self.blocks: list[list] = []
+        held: list[tuple] = []
+        for t in texts:
+            slots, _ = subwords([t])
+            u, c = np.unique(slots, return_counts=True)
+            self.spread[u] += 1
+            held.append((u.astype(np.int32), (c / max(len(slots), 1)).astype(np.float32)))
+            if len(held) == 256:
+                self._keep(held)
+                held = []
+        self._keep(held)
+
+    def _keep(self, held: list[tuple]) -> None:
+        if held:
+            at = np.concatenate([[0], np.cumsum([len(u) for u, _ in held])])
+            self.blocks.append([at, np.concatenate([u for u, _ in held]), np.concatenate([c for _, c in held])])
+
+    def only(self, wanted: np.ndarray) -> None:
+        """Drop the other n-grams from all bags."""
+        for b in self.blocks:
+            at, u, c = b
+            ok = wanted[u]
+            b[:] = [np.concatenate([[0], np.cumsum(ok)])[at], u[ok], c[ok]]
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, u, c = self.blocks[i >> 8]
+        a, z = at[i & 255], at[(i & 255) + 1]
+        return u[a:z], c[a:z]
+
+
+def train(texts: Iterable[bytes], labels, seed: int = 7) -> Model:
+    """Joint gradient descent on embeddings and softmax, one text a step in random
+    order. ``labels`` are read when the texts are used up."""
     size = 1 << TABLE_BITS
+    bags = _Bags(texts, size)
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.5
     prior = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
     if len(np.unique(y)) < 2:
         return Model(np.zeros(size), prior)
-    bags = []
-    spread = np.zeros(size, dtype=np.int64)
-    for t in texts:
-        slots, _ = subwords([t])
-        u, c = np.unique(slots, return_counts=True)
-        spread[u] += 1
-        bags.append((u.astype(np.int32), (c / max(len(slots), 1)).astype(np.float32)))
-    shared = spread >= MIN_TEXTS
-    bags = [(u[shared[u]], c[shared[u]]) for u, c in bags]
+    shared = bags.spread >= MIN_TEXTS
+    bags.only(shared)
     rng = np.random.default_rng(seed)
     emb = np.zeros((size, DIMENSIONS), dtype=np.float32)
     soft = rng.normal(0, 1 / np.sqrt(DIMENSIONS), (2, DIMENSIONS)).astype(np.float32)
@@ -148,8 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
               .join(F.broadcast(known), "doc_id")  # at most TRAIN_ROWS rows
               .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic"))
-    rows = [(t.encode(), y) for t, y in sample.select("text", "toxic").toLocalIterator()]
-    return train([t for t, _ in rows], np.array([y for _, y in rows], dtype=np.int64))
+    labels_seen: list[int] = []
+
+    def texts():
+        for t, y in sample.select("text", "toxic").toLocalIterator():
+            labels_seen.append(y)
+            yield t.encode()
+
+    return train(texts(), labels_seen)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
