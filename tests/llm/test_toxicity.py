@@ -22,12 +22,12 @@ def test_held_out_accuracy():
     held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows])
     y = np.array([t for *_, t in rows])
     texts = [x.encode() for _, x, _ in rows]
-    train = np.flatnonzero(~held)[:1500]
+    train = np.flatnonzero(~held)
     model = toxicity.train([texts[i] for i in train], y[train])
     s = model.scores([t for t, h in zip(texts, held) if h])
     yh = y[held]
     assert ((s >= 0.5) == yh).mean() > 0.93
-    assert (s[yh == 1] >= 0.5).mean() > 0.55 and (s[yh == 0] >= 0.5).mean() < 0.05
+    assert (s[yh == 1] >= 0.5).mean() > 0.8 and (s[yh == 0] >= 0.5).mean() < 0.05
     assert np.median(s[yh == 1]) > 0.8
 
 
