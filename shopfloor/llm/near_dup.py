@@ -185,22 +185,15 @@ class Forest:
 
 
 def _candidates(batches):
-    """Candidate pairs of a part of an order. A pair that pairs of at least 58
-    equal minhashes connect already within the part is left out."""
-    near = Forest()
+    """Candidate pairs of a part of an order."""
     for (key, node, low), repeated in _runs(batches, 3):
         pairs = [np.stack(x) for x in _neighbours(key, low, repeated)]
         if not pairs:
             continue
-        i, j, agree = np.concatenate(pairs, axis=1)
-        order = np.argsort(-agree, kind="stable")
-        a, b = [], []
-        for x, y, g in zip(i[order].tolist(), j[order].tolist(), agree[order].tolist()):
-            x, y = node[x], node[y]
-            if near.join(x, y) if g >= 58 else near.root(x) != near.root(y):
-                a.append(min(x, y))
-                b.append(max(x, y))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        i, j, _ = np.concatenate(pairs, axis=1)
+        at = np.array(node, dtype=np.int64)
+        x, y = at[i], at[j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

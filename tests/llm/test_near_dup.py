@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from shopfloor.llm import components, near_dup
 from tests.llm.helpers import documents, sf_documents
@@ -105,3 +106,16 @@ def test_components(spark):
 def test_similarity_is_exact():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.similar(a, a[:75]) and not near_dup.similar(a, a[:74])
+
+
+def test_unconfirmed_pairs_hide_no_candidate():
+    """Rows 0, 1, 2 in a row at 60 equal minhashes each: the pair (0, 2) is a candidate of its own."""
+    low = np.zeros((3, near_dup.HASHES), np.uint8)
+    low[1:, -4:] = 1
+    low[2:, -8:-4] = 1
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([bytes(33)] * 3, pa.binary()), pa.array([5, 7, 9]), pa.array([r.tobytes() for r in low], pa.binary())],
+        ["key", "node", "low"])
+    got = [(a, b) for x in near_dup._candidates([batch]) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())
+           if b is not None]
+    assert sorted(got) == [(5, 7), (5, 9), (7, 9)]
