@@ -6,14 +6,15 @@
 2. A node has ``HASHES`` minhashes. Each of ``TREES`` orders sorts all nodes by
    their minhashes, every tree starting at another one. The longest common
    prefix of neighbours in an order is deepest between the most similar nodes.
-   Candidates are the neighbours up to ``REACH`` places apart that share at
-   least ``MIN_DEPTH`` minhashes: a region of few nodes is compared whole at
-   that depth, a crowded one only among the nodes that its deeper minhashes
-   bring together (adaptive depth), and each order crowds it differently. A
-   candidate needs ``MIN_AGREE`` equal minhashes of all.
+   A region is the nodes of an order that share ``MIN_DEPTH`` minhashes. The
+   pairs of a region of at most ``REACH`` + 1 nodes are candidates if they have
+   ``MIN_AGREE`` equal minhashes of all. A region of more nodes, or one that a
+   border of the sorted parts may cut, is a crowd.
 3. Links are confirmed on full sets: first along two of the orders, whose rows
-   carry the sets, then pair by pair for the candidates that still lie in
-   different components. Candidates inside one component add nothing.
+   carry the sets, among neighbours; then pair by pair for the candidates that
+   still lie in different components; and for crowds that hold several
+   components, all pairs of nodes of different components, see ``_crowds``.
+   Pairs inside one component add nothing.
 4. Components of the confirmed links; each keeps its smallest doc_id.
 
 Sorting is by range, so a crowd of near copies spreads over tasks like any
@@ -50,6 +51,8 @@ SORT_ROWS = 1 << 15   # rows of an order compared at once
 RANGE_ROWS = 1 << 14  # least rows of a range partition of an order
 SET_ROWS = 1 << 8     # ... of an order whose rows carry their sets
 BROADCAST_IDS = 1 << 21
+BLOCK = 512           # nodes of a block of a crowd
+COLUMNS = 1 << 12     # shingles of two blocks multiplied at once
 
 _RNG = np.random.default_rng(75)
 _MULTIPLY = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * 2 + 1
@@ -185,15 +188,27 @@ class Forest:
 
 
 def _candidates(batches):
-    """Candidate pairs of a part of an order."""
+    """Of a part of an order: candidate pairs (a, b) of small regions, and the
+    nodes (a, null) of crowds. A region at either end of a block of rows may go
+    on elsewhere and counts as a crowd."""
+    depth = 1 + 4 * MIN_DEPTH
     for (key, node, low), repeated in _runs(batches, 3):
-        pairs = [np.stack(x) for x in _neighbours(key, low, repeated)]
-        if not pairs:
-            continue
-        i, j, _ = np.concatenate(pairs, axis=1)
         at = np.array(node, dtype=np.int64)
-        x, y = at[i], at[j]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        k = np.frombuffer(b"".join(x[:depth] for x in key), np.uint8).reshape(-1, depth)
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)]))
+        size = np.diff(np.append(first, len(at)))
+        crowd = size > REACH + 1
+        crowd[[0, -1]] = True
+        crowd = np.repeat(crowd, size)
+        pairs = [np.stack(x)[:2] for x in _neighbours(key, low, repeated)]
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        i, j = i[~crowd[i]], j[~crowd[i]]
+        x, y, c = at[i], at[j], np.flatnonzero(crowd)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.minimum(x, y), at[c]])),
+             pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(len(c), pa.int64())]),
+             pa.concat_arrays([pa.nulls(len(x), pa.binary()), pa.array([k[r].tobytes() for r in c], pa.binary())])],
+            ["a", "b", "region"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -233,6 +248,122 @@ def _confirm_neighbours(batches):
                                       pa.array([r for _, r in links], pa.int64())], ["a", "b"])
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every one of ``b``."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def entries(ids, sets):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        col = np.minimum(np.searchsorted(shared, ids), max(len(shared) - 1, 0))
+        ok = shared[col] == ids
+        row, col = row[ok], col[ok]
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order]
+
+    if len(shared):
+        (ra, ca), (rb, cb) = entries(x, a), entries(y, b)
+        for lo in range(0, len(shared), COLUMNS):
+            sides = []
+            for r, c, n in ((ra, ca, len(a)), (rb, cb, len(b))):
+                p, q = np.searchsorted(c, [lo, lo + COLUMNS])
+                m = np.zeros((n, min(COLUMNS, len(shared) - lo)), np.float32)
+                m[r[p:q], c[p:q] - lo] = 1
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+    return out.astype(np.int64)  # exact: set sizes are far below 2**24
+
+
+def _confirm_blocks(batches):
+    """Rows (pair, side, root, shingles) in ascending order of pair, a pair of
+    blocks (side 2: a block with itself), to links between the roots."""
+
+    def links(side, root, shingles):
+        side, root = np.array(side), np.array(root, dtype=np.int64)
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(a) or not len(b):
+            return
+        sets = [np.frombuffer(x, np.uint64) for x in shingles]
+        size = np.array([len(x) for x in sets])
+        both = _overlaps([sets[r] for r in a], [sets[r] for r in b])
+        alike = 100 * both >= SIMILAR * (size[a][:, None] + size[b][None, :] - both)
+        i, j = np.nonzero(alike & (root[a][:, None] != root[b][None, :]))
+        linked = Forest()
+        for x, y in np.unique(np.stack([root[a[i]], root[b[j]]], axis=1), axis=0).tolist():
+            if linked.join(x, y):
+                yield x, y
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                           pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    last, held = None, [[], [], []]
+    for b in batches:
+        for pair, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if pair != last:
+                if held[0]:
+                    yield batch(list(links(*held)))
+                last, held = pair, [[], [], []]
+            for h, x in zip(held, row):
+                h.append(x)
+    if held[0]:
+        yield batch(list(links(*held)))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each crowd, all its pairs compared.
+
+    ``members(region, node, root, n)``. A crowd's nodes are dealt into blocks of
+    about ``BLOCK``: those of a component of a block or more by themselves, the
+    others by size, whose classes are a factor 4/3 apart. A pair of blocks is
+    compared in one task, unless both are of one component or their sizes
+    exclude the similarity. Only the pairs of blocks grow with the square of a
+    crowd, and no crowd is gathered.
+    """
+    parts = common.parts(members.sparkSession)
+    own = common.written(members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c")), "crowd-roots")
+    mixed = own.groupBy("region").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("region")
+    mixed = common.written(mixed, "crowd-regions")
+    big = common.written(own.where(F.col("c") >= BLOCK).select("region", "root", F.lit(True).alias("big"))
+                         .join(_small(mixed), "region", "left_semi"), "crowd-large")
+    level = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).cast("long")
+    m = (members.join(_small(mixed), "region", "left_semi").join(_small(big), ["region", "root"], "left")
+         .withColumn("big", F.coalesce("big", F.lit(False))).withColumn("label", F.when(F.col("big"), F.col("root")).otherwise(level)))
+    m = common.written(m, "crowd-members")
+    cells = common.written(
+        m.groupBy("region", "big", "label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"),
+                                                F.min("n").alias("lo"), F.max("n").alias("hi")), "crowd-cells")
+    m = (m.join(_small(cells.select("region", "big", "label", "blocks")), ["region", "big", "label"])
+         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
+    x, y = (cells.select("region", *(F.col(c).alias(f"{c}{k}") for c in ("big", "label", "blocks", "lo", "hi")))
+            for k in (1, 2))
+    same = (F.col("big1") == F.col("big2")) & (F.col("label1") == F.col("label2"))
+    after = (F.col("big1") < F.col("big2")) | (F.col("big1") == F.col("big2")) & (F.col("label1") < F.col("label2"))
+    fits = (100 * F.col("hi1") >= SIMILAR * F.col("lo2")) & (100 * F.col("hi2") >= SIMILAR * F.col("lo1"))
+    blocks = (x.join(y, "region").where(fits & (after | same & ~F.col("big1")))
+              .withColumn("block1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks1") - 1)))
+              .withColumn("block2", F.explode(F.sequence(F.when(same, F.col("block1")).otherwise(F.lit(0).cast("long")),
+                                                         F.col("blocks2") - 1)))
+              .withColumn("alone", same & (F.col("block1") == F.col("block2")))
+              .withColumn("pair", F.monotonically_increasing_id()))
+    side = lambda k: F.struct(F.lit(k - 1).alias("side"), F.col(f"big{k}").alias("big"),
+                              F.col(f"label{k}").alias("label"), F.col(f"block{k}").alias("block"))
+    alone = F.struct(F.lit(2).alias("side"), F.col("big1").alias("big"), F.col("label1").alias("label"),
+                     F.col("block1").alias("block"))
+    tasks = (blocks.select("region", "pair",
+                           F.explode(F.when(F.col("alone"), F.array(alone)).otherwise(F.array(side(1), side(2)))).alias("s"))
+             .select("region", "pair", "s.*"))
+    tasks = common.written(tasks, "crowd-pairs")  # the numbers of the pairs are fixed by the file
+    dealt = m.join(tasks, ["region", "big", "label", "block"]).select("pair", "side", "node", "root")
+    return (dealt.join(sets.select("node", "shingles"), "node").select("pair", "side", "root", "shingles")
+            .repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_confirm_blocks, "a long, b long"))
+
+
 def _confirm_pairs(batches):
     for b in batches:
         ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
@@ -257,10 +388,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_nodes = rows.where("n_shingles > 0").select("node").distinct().count()
     trees = _ordered(nodes.select("node", "sig").mapInArrow(_tree_rows, "key binary, node long, low binary"),
                      "key", n_nodes * TREES, RANGE_ROWS)
-    pairs = common.written(trees.mapInArrow(_candidates, "a long, b long").distinct(), "candidates")
+    found = common.written(trees.mapInArrow(_candidates, "a long, b long, region binary").distinct(), "candidates")
+    pairs = found.where("region is null").select("a", "b")
+    # An order's end alone in its region is no crowd.
+    crowds = found.where("region is not null").select("region", F.col("a").alias("node"))
+    several = crowds.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    crowds = common.written(crowds.join(several, "region", "left_semi"), "crowds")
 
     # The sets of the nodes that have a candidate, from one document each.
-    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node"))
+                            .distinct(), "wanted")
     ids = wanted.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
     n_wanted = wanted.count()
     if n_wanted <= BROADCAST_IDS:
@@ -286,7 +423,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = sets.select("node", "shingles")
     checked = (apart.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
                .select("ra", "rb", "sa", "sb").mapInArrow(_confirm_pairs, "a long, b long"))
-    second = components(checked, "near-rest")
+    sizes = sets.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
+    members = common.written(crowds.join(sizes, "node").join(first, "node", "left")
+                             .select("region", "node", F.coalesce("root", "node").alias("root"), "n"), "members")
+    second = components(checked.unionByName(_crowds(members, sets)), "near-rest")
     root = (first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
             .select("node", F.coalesce("top", "root").alias("root"))
             .unionByName(second.join(first, "node", "left_anti").select("node", "root")))

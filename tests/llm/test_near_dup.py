@@ -113,9 +113,38 @@ def test_unconfirmed_pairs_hide_no_candidate():
     low = np.zeros((3, near_dup.HASHES), np.uint8)
     low[1:, -4:] = 1
     low[2:, -8:-4] = 1
+    low = np.concatenate([low[:1], low, low[:1]])  # regions at the ends of a part are crowds
+    keys = [bytes([k]) * 33 for k in (0, 1, 1, 1, 2)]
     batch = pa.RecordBatch.from_arrays(
-        [pa.array([bytes(33)] * 3, pa.binary()), pa.array([5, 7, 9]), pa.array([r.tobytes() for r in low], pa.binary())],
+        [pa.array(keys, pa.binary()), pa.array([1, 5, 7, 9, 11]), pa.array([r.tobytes() for r in low], pa.binary())],
         ["key", "node", "low"])
     got = [(a, b) for x in near_dup._candidates([batch]) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())
            if b is not None]
     assert sorted(got) == [(5, 7), (5, 9), (7, 9)]
+
+
+def test_crowd_of_one_template_against_brute_force(spark):
+    """Texts of one template, pairwise about 0.70 alike, and a few true pairs among them."""
+    rng = random.Random(11)
+    frame = [f"t{k}" for k in range(160)]
+    docs = [(k, " ".join(frame + [f"u{k}x{i}" for i in range(34)])) for k in range(2000)]
+    for k in range(60):  # at 0.77 to an own text
+        w = docs[k * 30][1].split()
+        docs.append((5000 + k, " ".join(w[:-25] + [f"v{k}x{i}" for i in range(25)])))
+    number = collections.defaultdict(lambda: len(number))
+    sets = [(i, {number[x] for x in shingles(t)}) for i, t in docs]
+    name = {i: i for i, _ in docs}
+    for at, (i, s) in enumerate(sets):
+        for j, o in sets[:at]:
+            if 100 * (n := len(s & o)) >= 75 * (len(s) + len(o) - n):
+                name[i] = name[j]  # each text has one true partner at most
+    assert run(documents(spark, docs)) == {i: (len(s), name[i], name[i] == i) for i, s in sets}
+    assert sum(i != c for i, c in name.items()) == 60
+
+
+def test_overlaps_are_exact(monkeypatch):
+    monkeypatch.setattr(near_dup, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    got = near_dup._overlaps(sets[:15], sets[15:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]
