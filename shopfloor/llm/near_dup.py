@@ -384,7 +384,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     common.text_hash(F.col("text")).alias("text_hash"))
     rows = common.written(d.mapInArrow(
         _signature_rows, "doc_id long, n_shingles long, node long, sig binary, text_hash long"), "signatures")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own"), F.first("sig").alias("sig"))
+    nodes = nodes.select("node", F.col("own.doc_id").alias("rep"), F.col("own.text_hash").alias("text_hash"), "sig")
     n_nodes = rows.where("n_shingles > 0").select("node").distinct().count()
     trees = _ordered(nodes.select("node", "sig").mapInArrow(_tree_rows, "key binary, node long, low binary"),
                      "key", n_nodes * TREES, RANGE_ROWS)
@@ -398,12 +400,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The sets of the nodes that have a candidate, from one document each.
     wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node"))
                             .distinct(), "wanted")
-    ids = wanted.join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
+    ids = wanted.join(nodes.select("node", "rep", "text_hash"), "node").select(F.col("rep").alias("_id"), F.col("text_hash").alias("_hash"))
     n_wanted = wanted.count()
     if n_wanted <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     columns = "node long, " + ", ".join(f"key{t} binary" for t in VERIFY_TREES) + ", low binary, shingles binary"
-    sets = (d.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_rows, columns)
+    sets = (d.join(ids, d["doc_id"].eqNullSafe(ids["_id"]) & (d["text_hash"] == ids["_hash"]), "left_semi").select("text").mapInArrow(_set_rows, columns)
             .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sets = common.written(sets, "sets")
     links = None

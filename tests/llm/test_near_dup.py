@@ -148,3 +148,12 @@ def test_overlaps_are_exact(monkeypatch):
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
     got = near_dup._overlaps(sets[:15], sets[15:])
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]
+
+
+def test_near_copies_of_a_null_id(spark):
+    """A text of a null id is linked, and chains run through it."""
+    w = [f"n{k}" for k in range(100)]
+    rows = [(7, " ".join(w)), (None, " ".join(w[:-10] + [f"p{k}" for k in range(10)])),
+            (9, " ".join([f"r{k}" for k in range(10)] + w[10:-10] + [f"p{k}" for k in range(10)]))]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {7: (7, True), None: (7, False), 9: (7, False)}
