@@ -14,7 +14,8 @@
    are never content (scripts, navigation, forms, ...), without branches whose
    class, id or role names boilerplate, and, outside articles, without lists
    and blocks that are mostly links. A branch around an article is never
-   removed, nor are an article's own paragraphs and headings by entropy alone.
+   removed, nor are by entropy alone an article's own paragraphs and headings,
+   html, body, and a path that holds over half of the page's prose.
 
 Blocks are the stretches of text between block-level tags; character
 references are decoded, white space inside a block becomes one space, blocks
@@ -25,7 +26,8 @@ a third of all pages is as good as many; what comes back to a page is the list
 of its host's low-importance paths.
 
 Defined cases: null html is an empty page with an empty text; a null url is
-the empty host; copies of a page on a host count once; pages that repeat a
+the empty host; pages of one text on a host count once, whatever their scripts,
+titles and comments; pages that repeat a
 page_id give a row each; unclosed and cut-off markup is read to its end, a tag
 cut off by the end of the page is dropped; an empty table gives no rows.
 """
@@ -189,9 +191,9 @@ def parse(page: str) -> Node:
     return root
 
 
-def style_nodes(page: str) -> dict[int, tuple[int, int]]:
-    """Per style path of the page: (presentation, content) as hashes."""
-    root = parse(page)
+def style_nodes(page: str | Node) -> dict[int, tuple[int, int]]:
+    """Per style path of the page (or its tree): (presentation, content) as hashes."""
+    root = parse(page) if isinstance(page, str) else page
     children: dict[int, set[str]] = {}
     content: dict[int, list[str]] = {}
     # postorder, each node's text passed up once
@@ -216,9 +218,39 @@ def _stable(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
 
 
+def page_text(root: Node) -> str:
+    """All text of a page but that of scripts, titles and the like."""
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag not in RAW:
+            stack.extend(reversed(n.parts))
+    return " ".join("".join(out).split())
+
+
+def _bulk(root: Node, low: frozenset[int]) -> set[int]:
+    """The paths of ``low`` that hold over half of the page's prose."""
+    chars: dict[int, int] = {}
+    held: dict[int, int] = {}
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(x for x in n.parts if isinstance(x, Node) and not (x.noise and not x.article))
+    for n in reversed(order):
+        k = sum(len(x) - x.count(" ") if isinstance(x, str) else chars.get(id(x), 0) for x in n.parts)
+        chars[id(n)] = k
+        if n.path in low:
+            held[n.path] = held.get(n.path, 0) + k
+    return {p for p, k in held.items() if 2 * k > chars[id(root)]}
+
+
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """The text of a page's article given its host's low-importance paths."""
     root = parse(page)
+    bulk = _bulk(root, low) if low else set()
     blocks: list[str] = []
     held: list[str] = []
 
@@ -229,28 +261,28 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
             if t:
                 blocks.append(t)
 
-    def removed(n: Node) -> bool:
+    def removed(n: Node, kept: bool) -> bool:
         if n.article:
             return False
         if n.noise:
             return True
-        if n.path in low and not (n.inside and n.tag in PROSE):
+        if n.path in low and not (kept or n.inside and n.tag in PROSE or n.tag in ("html", "body") or n.path in bulk):
             return True
         return not n.inside and n.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "li") and _mostly_links(n)
 
-    stack: list = [(root, root.article)]  # (node or text, whether outside all articles)
+    stack: list = [(root, root.article, False)]  # (node or text, whether outside all articles, in a branch of the bulk)
     while stack:
         top = stack.pop()
         if top is None:
             flush()
             continue
-        n, outside = top
+        n, outside, kept = top
         if isinstance(n, str):
             if not outside:
                 held.append(n)
             continue
         block = n.tag in BLOCK
-        if removed(n):
+        if removed(n, kept):
             flush() if block else held.append(" ")
             continue
         if block:
@@ -259,7 +291,8 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
         elif n.tag in ("br", "td", "th", "img"):
             held.append(" ")
         outside = outside and n.tag not in ("article", "main")
-        stack.extend((part, outside) for part in reversed(n.parts))
+        kept = kept or n.path in bulk and n.tag not in ("html", "body")
+        stack.extend((part, outside, kept) for part in reversed(n.parts))
     flush()
     return "\n\n".join(blocks)
 
@@ -291,8 +324,9 @@ def low_importance(pages: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                copy = _stable(page)
-                out.extend((h, p, copy, a, c) for p, (a, c) in style_nodes(page).items())
+                tree = parse(page)
+                copy = _stable(page_text(tree))
+                out.extend((h, p, copy, a, c) for p, (a, c) in style_nodes(tree).items())
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string())] + [pa.array(c, pa.int64()) for c in cols[1:]],
                                              ["host", "path", "copy", "presentation", "content"])

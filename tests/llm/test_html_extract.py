@@ -48,6 +48,23 @@ def test_copies_of_a_page_do_not_make_its_text_boilerplate(spark):
     assert set(run(spark, rows).values()) == {"The very same article."}
 
 
+def test_near_copies_do_not_make_the_text_of_their_host_boilerplate(spark):
+    def near(k, text):
+        return (f"<html><head><title>T{k}</title></head><body><!-- {k} --><script>var id={k};</script>"
+                f"<div class=c><p>{text}</p><p>And so on.</p></div></body></html>")
+
+    rows = [(k, f"http://g.org/{k}", near(k, "The text of all the copies.")) for k in range(8)]
+    rows += [(k, f"http://g.org/{k}", near(k, f"Own text number {k}.")) for k in (8, 9)]
+    got = run(spark, rows)
+    assert all(got[k, f"http://g.org/{k}"].startswith("The text of all the copies.") for k in range(8))
+    assert all(got[k, f"http://g.org/{k}"].startswith(f"Own text number {k}.") for k in (8, 9))
+
+
+def test_entropy_alone_never_takes_the_bulk_of_a_page():
+    html = "<html><body><div class=x><p>one text</p><ul><li>a</li></ul></div><div class=y>menu</div></body></html>"
+    assert main_text(html, frozenset(html_extract.style_nodes(html))) == "one text\n\na"
+
+
 def test_prose_of_an_article_is_never_removed_by_entropy(spark):
     rows = [(k, f"http://d.org/{k}", f"<article><h1>{k}</h1><p>All say this.</p></article>") for k in range(9)]
     assert run(spark, rows)[3, "http://d.org/3"] == "3\n\nAll say this."
