@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shopfloor.llm import (chat, decontaminate, exact_dedup, hpylm, html_extract, near_dup, pieces, pii,
+from shopfloor.llm import (chat, decontaminate, exact_dedup, fim, hpylm, html_extract, near_dup, pieces, pii,
                            toxicity, warc)
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_gumbel_pieces": pieces.op8_gumbel_pieces,
         "op9_prefix_targets": chat.op9_prefix_targets,
         "op10_feistel_pii": pii.op10_feistel_pii,
+        "op12_piece_table": fim.op12_piece_table,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op4_warc_zip": warc.ORACLE,
         "op9_prefix_targets": chat.ORACLE,
+        "op12_piece_table": fim.ORACLE,
     }
