@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from shopfloor.llm import (chat, decontaminate, exact_dedup, fim, hpylm, html_extract, near_dup, pieces, pii,
-                           toxicity, warc)
+                           suffix_dedup, toxicity, warc)
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_prefix_targets": chat.op9_prefix_targets,
         "op10_feistel_pii": pii.op10_feistel_pii,
         "op12_piece_table": fim.op12_piece_table,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_zip": warc.ORACLE,
         "op9_prefix_targets": chat.ORACLE,
         "op12_piece_table": fim.ORACLE,
+        "op13_suffix_dedup": suffix_dedup.ORACLE,
     }
