@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from shopfloor.llm import (chat, decontaminate, exact_dedup, fim, hpylm, html_extract, near_dup, pieces, pii,
-                           suffix_dedup, toxicity, warc)
+                           prefix_trie, suffix_dedup, toxicity, warc)
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_gumbel_pieces": pieces.op8_gumbel_pieces,
         "op9_prefix_targets": chat.op9_prefix_targets,
         "op10_feistel_pii": pii.op10_feistel_pii,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_piece_table": fim.op12_piece_table,
         "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op4_warc_zip": warc.ORACLE,
         "op9_prefix_targets": chat.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
         "op12_piece_table": fim.ORACLE,
         "op13_suffix_dedup": suffix_dedup.ORACLE,
     }
