@@ -62,6 +62,14 @@ SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd", ("dl",)), "d
             "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table")),
             "option": ("option", ("select",))}
 ALIKE = {"dt": "dd", "th": "td"}
+P_SCOPE = ("table", "td", "th", "button", "object")
+# The elements that close an earlier one of their kind: kind of each, and the kinds
+# whose earlier elements an element hides.
+_KIND = {"p": "p", **{t: kind for t, (kind, _) in SIBLINGS.items()}}
+_HIDES: dict[str, list[str]] = {}
+for _kind, _scope in {"p": P_SCOPE, **dict(SIBLINGS.values())}.items():
+    for _t in _scope:
+        _HIDES.setdefault(_t, []).append(_kind)
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong u span a br code q cite small sub sup mark".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|"
                    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|sidebars?|"
@@ -73,7 +81,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
                   r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
                   re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _USED = frozenset(("class", "id", "role", "style", "aria-hidden", "hidden"))
 
 
@@ -118,6 +126,30 @@ def parse(page: str) -> Node:
         if z > a:
             top.parts.append(page[a:z])
 
+    opened: dict[str, int] = {}  # open elements by tag
+    shown = {kind: [0] for kind in _KIND.values()}  # by kind, those an element of the kind may close
+
+    def push(n: Node) -> None:
+        opened[n.tag] = opened.get(n.tag, 0) + 1
+        if n.tag in _KIND:
+            shown[_KIND[n.tag]][-1] += 1
+        for kind in _HIDES.get(n.tag, ()):
+            shown[kind].append(0)
+
+    def close_to(tags) -> None:
+        """Close elements up to the innermost one of ``tags``, which is open: each
+        element is passed once in all."""
+        nonlocal top
+        done = False
+        while not done:
+            done = top.tag in tags
+            opened[top.tag] -= 1
+            for kind in _HIDES.get(top.tag, ()):
+                shown[kind].pop()
+            if top.tag in _KIND:
+                shown[_KIND[top.tag]][-1] -= 1
+            top = top.parent
+
     find = _TAG.search
     while at < size:
         m = find(page, at)
@@ -134,31 +166,19 @@ def parse(page: str) -> Node:
             break  # cut off by the end of the page
         tag = name.lower()
         if m.group(1) if closed else m.group(4):
-            n = top
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                top = n.parent
+            if opened.get(tag):
+                close_to((tag,))
             continue
-        if tag in CLOSES_P:
-            n = top
-            while n is not root and n.tag != "p" and n.tag not in ("table", "td", "th", "button", "object"):
-                n = n.parent
-            if n.tag == "p":
-                top = n.parent
-        if tag in SIBLINGS:
-            kind, scope = SIBLINGS[tag]
-            n = top
-            while n is not root and ALIKE.get(n.tag, n.tag) != kind and n.tag not in scope:
-                n = n.parent
-            if n is not root and ALIKE.get(n.tag, n.tag) == kind:
-                top = n.parent
+        if tag in CLOSES_P and shown["p"][-1]:
+            close_to(("p",))
+        if tag in SIBLINGS and shown[_KIND[tag]][-1]:
+            close_to([t for t, kind in _KIND.items() if kind == _KIND[tag]])
         attrs = m.group(3) if closed else m.group(6)
         style, noise = "", tag in NEVER
         if "=" in attrs or "hidden" in attrs:
             got = {}
-            for k, a, b, c, bare in _ATTR.findall(attrs):
-                k = (k or bare).lower()
+            for k, a, b, c in _ATTR.findall(attrs):
+                k = k.lower()
                 if k in _USED:
                     got.setdefault(k, a or b or c)
             if got:
@@ -188,6 +208,7 @@ def parse(page: str) -> Node:
             continue
         if tag not in VOID:  # a self-closing slash does not close an HTML element
             top = n
+            push(n)
     return root
 
 
@@ -251,6 +272,7 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """The text of a page's article given its host's low-importance paths."""
     root = parse(page)
     bulk = _bulk(root, low) if low else set()
+    linked = _mostly_links(root)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -268,7 +290,7 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
             return True
         if n.path in low and not (kept or n.inside and n.tag in PROSE or n.tag in ("html", "body") or n.path in bulk):
             return True
-        return not n.inside and n.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "li") and _mostly_links(n)
+        return not n.inside and n.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "li") and id(n) in linked
 
     stack: list = [(root, root.article, False)]  # (node or text, whether outside all articles, in a branch of the bulk)
     while stack:
@@ -297,20 +319,25 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def _mostly_links(node: Node) -> bool:
-    linked = total = 0
-    stack = [(node, False)]
-    links = 0
+def _mostly_links(root: Node) -> set[int]:
+    """The ids of the nodes whose text is mostly that of two or more links."""
+    counts: dict[int, tuple[int, int, int]] = {}  # all characters, linked ones, links
+    order, stack = [], [root]
     while stack:
-        x, link = stack.pop()
-        if isinstance(x, str):
-            n = len(x) - x.count(" ")
-            total += n
-            linked += n if link else 0
-        elif x.tag not in RAW:
-            links += x.tag == "a"
-            stack.extend((p, link or x.tag == "a") for p in x.parts)
-    return links >= 2 and total > 0 and linked >= LINK_SHARE * total
+        n = stack.pop()
+        if n.tag not in RAW:
+            order.append(n)
+            stack.extend(x for x in n.parts if isinstance(x, Node))
+    for n in reversed(order):
+        total, linked, links = 0, 0, int(n.tag == "a")
+        for x in n.parts:
+            if isinstance(x, str):
+                total += len(x) - x.count(" ")
+            elif x.tag not in RAW:
+                t, k, a = counts[id(x)]
+                total, linked, links = total + t, linked + k, links + a
+        counts[id(n)] = (total, total if n.tag == "a" else linked, links)
+    return {i for i, (total, linked, links) in counts.items() if links >= 2 and 0 < total and linked >= LINK_SHARE * total}
 
 
 def host(url):

@@ -26,6 +26,30 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_deep_and_long_markup_takes_linear_time():
+    import time
+    pages = ["<div>" * 30_000 + "deep", "<p><b>" * 30_000 + "x", "<ul><li>" * 20_000 + "y", "<div>" * 20_000 + "</span>" * 20_000,
+             "<p " + "a" * 1_000_000 + ">z", "<p title='" + "b c=d " * 200_000 + "'>z", "<div><a>1</a><a>2</a>" * 10_000,
+             "<table><tr><td><p>" * 10_000 + "t", "<p " + "hidden-" * 100_000 + ">z"]
+    for p in pages:
+        t = time.process_time()
+        main_text(p)
+        html_extract.style_nodes(p)
+        assert time.process_time() - t < 2, p[:40]
+
+
+def test_scopes_of_implied_end_tags():
+    def tree(n):
+        return (n.tag, [x if isinstance(x, str) else tree(x) for x in n.parts])
+
+    assert tree(html_extract.parse("<p>a<table><tr><td><p>b<div>c</div><td>d</table>e"))[1] == [
+        ("p", ["a"]), ("table", [("tr", [("td", [("p", ["b"]), ("div", ["c"])]), ("td", ["d"])])]), "e"]
+    assert tree(html_extract.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>"))[1] == [
+        ("ul", [("li", ["a", ("ul", [("li", ["b"]), ("li", ["c"])])]), ("li", ["d"])])]
+    assert tree(html_extract.parse("<dl><dt>a<dd>b<dt>c</dl></x><i>d</p></i>"))[1] == [
+        ("dl", [("dt", ["a"]), ("dd", ["b"]), ("dt", ["c"])]), ("i", ["d"])]
+
+
 def page(k, menu="<div id=m><p>Start of every page</p></div>"):
     return f"<html><body>{menu}<div><p>Text number {k} is its own.</p></div></body></html>"
 
