@@ -16,7 +16,7 @@
    dealt over them by their hash, and the windows that stay undecided inside a
    bucket are compared across the boundaries, by a window function over the
    window's bytes.
-6. Removed intervals meet their texts by id.
+6. Removed intervals meet their texts by id, packed by home (a hash of the id).
 
 Defined cases: a null text counts as empty; a null doc_id counts as the
 smallest id; rows of one doc_id do not remove from each other, whether their
@@ -40,14 +40,17 @@ from shopfloor.llm import common, suffixes
 from shopfloor.llm.suffixes import WINDOW, Segments
 from shopfloor.llm.tokens import mix64
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 SAMPLE_PER_BUCKET = 64
 SAMPLED_DOCS = 32         # one document in so many is read for the sample
-CHUNK_BYTES = 8 << 20     # text whose segments are packed together
+CHUNK_BYTES = 8 << 20     # text whose segments are packed together; equal ones once
 NO_ID = -(1 << 63)
 
-PACKED = "bucket long, part binary, id long, tag long, spans binary"
-DECIDED = "id long, tag long, spans binary, window binary"
+# home: where the texts of an id meet their removed intervals
+PACKED = "bucket long, part binary, home long, blob binary"
+DECIDED = "home long, blob binary, id long, tag long, spans binary, window binary"
+HOMES = 4                 # homes per shuffle partition
+HELD_SPANS = 1 << 18
 
 
 def _slices(texts: list[bytes]):
@@ -126,28 +129,47 @@ def deal(tokens: np.ndarray, salt: np.ndarray, cuts: np.ndarray) -> tuple[np.nda
 
 # --- map side --------------------------------------------------------------
 
-def _spans_by_owner(ids, tags, start, stop):
-    """Merged intervals as rows (id, tag, little-endian pairs start, stop)."""
+def _squeezed(arrays: tuple) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
+
+
+def _unsqueezed(part: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(part))
+
+
+def merged_spans(ids, tags, start, stop):
+    """Unions of the intervals of each (id, tag), ascending."""
     if not len(ids):
-        return
+        return ids, tags, start, stop
     o = np.lexsort((tags, ids))
     ids, tags, start, stop = ids[o], tags[o], start[o], stop[o]
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
     owner = np.flatnonzero(new)
     g, a, z = suffixes.merged(np.cumsum(new) - 1, start, stop)
-    pairs = np.stack([a, z], axis=1).astype("<i8")
-    cut = np.searchsorted(g, np.arange(len(owner) + 1))
-    for k, i in enumerate(owner.tolist()):
-        yield int(ids[i]), int(tags[i]), pairs[cut[k]:cut[k + 1]].tobytes()
+    return ids[owner][g], tags[owner][g], a, z
+
 
+def _home(ids, tags, homes: int):
+    return (ids ^ tags) % homes
 
-def pack(parts: list, cuts: np.ndarray):
+
+def by_home(spans: list, homes: int):
+    """Intervals (lists of id, tag, start, stop arrays) as rows (home, blob)."""
+    ids, tags, a, z = merged_spans(*(np.concatenate([x[k] for x in spans]) for k in range(4)))
+    home = _home(ids, tags, homes)
+    o = np.argsort(home, kind="stable")
+    for c in np.split(o, np.flatnonzero(np.diff(home[o])) + 1):
+        if len(c):
+            yield int(home[c[0]]), _squeezed((ids[c], tags[c], a[c], z[c]))
+
+
+def pack(parts: list, cuts: np.ndarray, homes: int):
     """Rows of PACKED of one map chunk; parts: (segments, ids, tags, positions)."""
     s = Segments.concat([p[0] for p in parts])
     ids, tags, pos = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    h = np.concatenate([suffixes.hashes(p[0]) for p in parts])
-    o = np.lexsort((pos, tags, ids, h))
-    new = np.concatenate([[True], h[o][1:] != h[o][:-1]])
+    o = np.lexsort((pos, tags, ids, s.hash))
+    h = s.hash[o]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
     rep = o[np.flatnonzero(new)][np.cumsum(new) - 1]
     # equal hashes of unequal bytes: such a segment is a class of its own
     twin = rep != o
@@ -157,29 +179,25 @@ def pack(parts: list, cuts: np.ndarray):
     later = ids[o] > ids[rep]
     if later.any():
         i = o[later]
-        for doc, tag, spans in _spans_by_owner(ids[i], tags[i], pos[i], pos[i] + s.lengths()[i]):
-            yield int(mix64(np.array([doc]).view(np.uint64))[0] % np.uint64(len(cuts) + 1)), None, doc, tag, spans
+        for home, blob in by_home([(ids[i], tags[i], pos[i], pos[i] + s.size[i])], homes):
+            yield home % (len(cuts) + 1), None, home, blob
     occ, rep = o[~later], rep[~later]
-    back = np.lexsort((np.arange(len(occ)), rep))
+    back = np.argsort(rep, kind="stable")
     occ, rep = occ[back], rep[back]
     first = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]]))
     count = np.diff(np.append(first, len(rep)))
     which = rep[first]
-    tokens = s.tokens()
-    bucket, spans = deal(tokens[which], h[which], cuts)
+    bucket, spans = deal(s.tokens()[which], s.hash[which], cuts)
     order = np.lexsort((pos[which], ids[which], bucket))
-    squeeze = zstandard.ZstdCompressor(level=3)
     for c in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         own = which[c]
         own_occ = occ[suffixes.flat(first[c], count[c])]
-        cut = s.take(own)
-        part = pickle.dumps((cut.buf, cut.lengths().astype(np.uint8), cut.left.astype(np.uint8), spans[c],
-                             np.diff(ids[own], prepend=0), count[c].astype(np.uint32), tags[own_occ],
-                             pos[own_occ].astype(np.uint64)), protocol=5)
-        yield int(bucket[c[0]]), squeeze.compress(part), None, None, None
+        yield int(bucket[c[0]]), _squeezed((
+            s.bytes_of(own), s.size[own].astype(np.uint8), s.left[own].astype(np.uint8), spans[c],
+            np.diff(ids[own], prepend=0), count[c].astype(np.uint32), tags[own_occ], pos[own_occ].astype(np.uint64))), None, None
 
 
-def _map_side(cuts):
+def _map_side(cuts, homes):
     def run(batches):
         cut = cuts.value
         parts, size = [], 0
@@ -188,19 +206,19 @@ def _map_side(cuts):
             tags = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for s, doc, pos in _kernel_chunks(b.column(2).to_pylist()):
                 parts.append((s, ids[doc], tags[doc], pos))
-                size += len(s.buf) // 4
+                size += len(s.buf)
                 if size > CHUNK_BYTES:
-                    yield from _batches(pack(parts, cut), PACKED, 1)
+                    yield from _batches(pack(parts, cut, homes), PACKED)
                     parts, size = [], 0
         if any(len(p[0]) for p in parts):
-            yield from _batches(pack(parts, cut), PACKED, 1)
+            yield from _batches(pack(parts, cut, homes), PACKED)
     return run
 
 
 _TYPES = {"long": pa.int64(), "binary": pa.binary()}
 
 
-def _batches(rows, schema: str, sized: int, limit: int = 4 << 20):
+def _batches(rows, schema: str, limit: int = 4 << 20):
     names = [c.split()[0] for c in schema.split(", ")]
     types = [_TYPES[c.split()[1]] for c in schema.split(", ")]
 
@@ -210,7 +228,7 @@ def _batches(rows, schema: str, sized: int, limit: int = 4 << 20):
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += len(r[sized] or b"") + 64
+        size += 64 + sum(len(v) for v in r if isinstance(v, bytes))
         if size > limit:
             yield batch(held)
             held, size = [], 0
@@ -221,15 +239,17 @@ def _batches(rows, schema: str, sized: int, limit: int = 4 << 20):
 # --- buckets ---------------------------------------------------------------
 
 def decide(parts: list[bytes]):
-    """Rows of DECIDED of one bucket."""
-    got = [pickle.loads(zstandard.ZstdDecompressor().decompress(p)) for p in parts]
-    buf, size, left, spans, _, count, tag, pos = (np.concatenate([g[k] for g in got]) for k in range(8))
+    """One bucket: intervals (id, tag, start, stop arrays) that go, and the windows
+    still to compare across boundaries as rows (id, tag, spans, window)."""
+    got = [_unsqueezed(p) for p in parts]
+    buf, size, left, wide, _, count, tag, pos = (np.concatenate([g[k] for g in got]) for k in range(8))
     ids = np.concatenate([np.cumsum(g[4]) for g in got])
-    count = count.astype(np.int64)
-    s = Segments(buf, suffixes.ends(size.astype(np.int64)), left.astype(np.int64))
+    del got
+    count, size, pos = count.astype(np.int64), size.astype(np.int64), pos.astype(np.int64)
+    s = Segments(buf, suffixes.ends(size)[:-1], size, left.astype(np.int64), np.zeros(len(size), np.uint64))
     at = suffixes.ends(count)
-    pos = pos.astype(np.int64)
     seg, off = suffixes.earlier(s, ids)
+    gone = []
     if len(seg):
         new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (off[1:] != off[:-1] + 1)])
         first = np.flatnonzero(new)
@@ -237,58 +257,92 @@ def decide(parts: list[bytes]):
         run, lo, hi = seg[first], off[first], off[last] + WINDOW
         n = count[run]
         o = suffixes.flat(at[run], n)
-        for row in _spans_by_owner(np.repeat(ids[run], n), tag[o], pos[o] + np.repeat(lo, n), pos[o] + np.repeat(hi, n)):
-            yield *row, None
-    wide = np.flatnonzero(spans)
-    if not len(wide):
-        return
-    gone = set(zip(seg.tolist(), off.tolist()))
-    windows = s.lengths() - WINDOW + 1
-    raw = buf.tobytes()
-    for i in wide.tolist():
-        o = slice(at[i], at[i + 1])
-        n = int(count[i])
-        owner = np.full(n, ids[i])
-        for j in range(int(windows[i])):
-            if (i, j) not in gone:
-                begin = int(s.at[i]) + j
-                for row in _spans_by_owner(owner, tag[o], pos[o] + j, pos[o] + j + WINDOW):
-                    yield *row, raw[begin:begin + WINDOW]
-
-
-def _bucket_side(batches):
-    """Rows arrive ordered by bucket; one bucket is held at a time."""
-    def rows():
-        held, at = [], None
-        for b in batches:
-            for bucket, part, doc, tag, spans in zip(*(c.to_pylist() for c in b.columns)):
-                if part is None:
-                    yield doc, tag, spans, None
+        gone.append((np.repeat(ids[run], n), tag[o], pos[o] + np.repeat(lo, n), pos[o] + np.repeat(hi, n)))
+
+    def undecided():
+        for i in np.flatnonzero(wide).tolist():
+            o = slice(at[i], at[i + 1])
+            known = set(off[np.searchsorted(seg, i):np.searchsorted(seg, i, "right")].tolist())
+            for j in range(int(size[i]) - WINDOW + 1):
+                if j in known:
                     continue
-                if bucket != at and held:
-                    yield from decide(held)
-                    held = []
-                at = bucket
-                held.append(part)
-        if held:
-            yield from decide(held)
-    yield from _batches(rows(), DECIDED, 2)
+                begin = int(s.start[i]) + j
+                owner, tags, a, z = merged_spans(np.full(count[i], ids[i]), tag[o], pos[o] + j, pos[o] + j + WINDOW)
+                for k in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(tags)) + 1):
+                    yield (int(ids[i]), int(tags[k[0]]), np.stack([a[k], z[k]], axis=1).astype("<i8").tobytes(),
+                           buf[begin:begin + WINDOW].tobytes())
+
+    return gone, undecided()
+
+
+def _bucket_side(homes):
+    """Rows arrive ordered by bucket; one bucket is held at a time."""
+    def run(batches):
+        gone: list = []
+
+        def flush():
+            if gone:
+                for home, blob in by_home(gone, homes):
+                    yield home, blob, None, None, None, None
+                gone.clear()
+
+        def bucket(held):
+            spans, rest = decide(held)
+            gone.extend(spans)
+            if sum(len(x[0]) for x in gone) > HELD_SPANS:
+                yield from flush()
+            for r in rest:
+                yield None, None, *r
+
+        def rows():
+            held, at = [], None
+            for b in batches:
+                for number, part, home, blob in zip(*(c.to_pylist() for c in b.columns)):
+                    if part is None:
+                        yield home, blob, None, None, None, None
+                        continue
+                    if number != at and held:
+                        yield from bucket(held)
+                        held = []
+                    at = number
+                    held.append(part)
+            if held:
+                yield from bucket(held)
+            yield from flush()
+
+        yield from _batches(rows(), DECIDED)
+    return run
 
 
-def removed(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, sampled: int = SAMPLED_DOCS) -> DataFrame:
-    """Removed intervals of ``docs(id, tag, text binary)``: id, tag, spans (pairs of
-    little-endian longs; rows of one text may overlap)."""
+def _rows_by_home(homes):
+    """Rows (id, tag, spans) as rows (home, blob)."""
+    def run(batches):
+        def rows():
+            for b in batches:
+                spans = []
+                for doc, tag, x in zip(*(c.to_pylist() for c in b.columns)):
+                    p = np.frombuffer(x, "<i8").reshape(-1, 2)
+                    spans.append((np.full(len(p), doc), np.full(len(p), tag), p[:, 0], p[:, 1]))
+                if spans:
+                    yield from by_home(spans, homes)
+        yield from _batches(rows(), "home long, blob binary")
+    return run
+
+
+def removed(docs: DataFrame, homes: int, bucket_bytes: int = BUCKET_BYTES, sampled: int = SAMPLED_DOCS) -> DataFrame:
+    """Removed intervals of ``docs(id, tag, text binary)`` as (home, blob), a blob
+    being the arrays id, tag, start, stop of some documents of that home."""
     spark = docs.sparkSession
     cuts = spark.sparkContext.broadcast(splitters(docs, bucket_bytes, sampled))
-    packed = docs.select("id", "tag", "text").mapInArrow(_map_side(cuts), PACKED)
+    packed = docs.select("id", "tag", "text").mapInArrow(_map_side(cuts, homes), PACKED)
     decided = common.written(
         packed.repartition(common.parts(spark), "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_bucket_side, DECIDED), "suffix-spans")
-    inside = decided.where("window is null").select("id", "tag", "spans")
+        .mapInArrow(_bucket_side(homes), DECIDED), "suffix-spans")
+    inside = decided.where("window is null").select("home", "blob")
     least = F.min("id").over(Window.partitionBy("window"))
     across = (decided.where("window is not null").withColumn("least", least)
               .where("id > least").select("id", "tag", "spans"))
-    return inside.unionByName(across)
+    return inside.unionByName(across.mapInArrow(_rows_by_home(homes), "home long, blob binary"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -297,39 +351,64 @@ def keyed(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     ids = docs.select(key.alias("id")).groupBy("id").count().where("count > 1")
     tag = F.lit(0).cast("long") if ids.isEmpty() else common.text_hash(F.col("text"))
-    return docs.select("doc_id", key.alias("id"), tag.alias("tag"), common.text_or_empty().cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), tag.alias("tag"),
+                       common.text_or_empty().cast("binary").alias("text"))
+
+
+CUT = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"]
+
+
+def _cut(batches):
+    """Rows arrive ordered by home, a home's blobs before its texts."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
+    at, blobs, known = None, [], {}
+
+    def index():
+        ids, tags, a, z = merged_spans(*(np.concatenate([x[k] for x in blobs]) for k in range(4)))
+        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+        keys = zip(ids[new].tolist(), tags[new].tolist())
+        return {k: (a[lo:hi], z[lo:hi]) for k, lo, hi in zip(keys, new, np.append(new[1:], len(ids)))}
+
+    for b in batches:
+        held, size = [], 0
+        for home, blob, doc_id, key, tag, text in zip(*(c.to_pylist() for c in b.columns)):
+            if home != at:
+                at, blobs, known = home, [], {}
+            if text is None:
+                blobs.append(_unsqueezed(blob))
+                continue
+            if blobs:
+                known, blobs = index(), []
+            runs, kept = [], text
+            if (key, tag) in known:
+                a, z = known[key, tag]
+                runs = np.stack([a, z], axis=1).tolist()
+                kept = b"".join(text[lo:hi] for lo, hi in zip([0, *z.tolist()], [*a.tolist(), len(text)]))
+            held.append((doc_id, len(text), len(text) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest()))
+            size += len(kept)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], CUT)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], CUT)
 
 
 def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, sampled: int = SAMPLED_DOCS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, spans
     (removed runs, [start, stop) each), kept (the other bytes), kept_sha256."""
-    common.arrow_limits(docs.sparkSession)
+    spark = docs.sparkSession
+    common.arrow_limits(spark)
+    homes = HOMES * common.parts(spark)
     d = keyed(docs)
-    spans = removed(d, bucket_bytes, sampled).groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
-    rows = d.join(spans, ["id", "tag"], "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
-
-    def run(batches):
-        for b in batches:
-            held, size = [], 0
-            for doc, text, parts in zip(*(c.to_pylist() for c in b.columns)):
-                runs, kept = [], text
-                if parts:
-                    p = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
-                    _, a, z = suffixes.merged(np.zeros(len(p), np.int64), p[:, 0], p[:, 1])
-                    runs = np.stack([a, z], axis=1).tolist()
-                    kept = b"".join(text[lo:hi] for lo, hi in zip([0, *z.tolist()], [*a.tolist(), len(text)]))
-                held.append((doc, len(text), len(text) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest()))
-                size += len(kept)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-
-    return rows.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string")
+    null = F.lit(None)
+    blobs = removed(d, homes, bucket_bytes, sampled).select(
+        "home", "blob", *(null.cast("long").alias(c) for c in ("doc_id", "id", "tag")), null.cast("binary").alias("text"))
+    texts = d.select(F.pmod(F.col("id").bitwiseXOR(F.col("tag")), F.lit(homes)).alias("home"),
+                     null.cast("binary").alias("blob"), "doc_id", "id", "tag", "text")
+    return (blobs.unionByName(texts).repartition(common.parts(spark), "home")
+            .sortWithinPartitions("home", F.col("text").isNotNull())
+            .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, "
+                              "kept_sha256 string"))
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

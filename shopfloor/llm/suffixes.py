@@ -23,32 +23,40 @@ LEFT = WINDOW - TOKEN
 
 @dataclass
 class Segments:
-    """``buf[at[i]:at[i + 1]]`` are the bytes of segment ``i``, ``left[i]`` of them
-    before its anchor; it serves ``length - WINDOW + 1`` windows."""
+    """``buf[start[i]:start[i] + size[i]]`` are the bytes of segment ``i``, ``left[i]``
+    of them before its anchor; it serves ``size[i] - WINDOW + 1`` windows. Segments
+    of one buffer overlap. Equal segments have equal ``hash``."""
 
     buf: np.ndarray
-    at: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
     left: np.ndarray
+    hash: np.ndarray
 
     def __len__(self) -> int:
         return len(self.left)
 
-    def lengths(self) -> np.ndarray:
-        return np.diff(self.at)
-
     def tokens(self) -> np.ndarray:
         """Leading tokens of the anchors' suffixes, comparable as byte strings."""
-        t = self.buf[(self.at[:-1] + self.left)[:, None] + np.arange(TOKEN)]
-        return np.ascontiguousarray(t).view(f"S{TOKEN}").ravel()
-
-    def take(self, which: np.ndarray) -> "Segments":
-        at, buf = gather(self.buf, self.at[:-1][which], self.lengths()[which])
-        return Segments(buf, at, self.left[which])
+        rows = np.lib.stride_tricks.sliding_window_view(self.buf, TOKEN) if len(self) else self.buf.reshape(0, TOKEN)
+        return rows[self.start + self.left].view(f"S{TOKEN}").ravel()
+
+    def bytes_of(self, which: np.ndarray) -> np.ndarray:
+        """The bytes of some segments, one after another."""
+        start, size = self.start[which], self.size[which]
+        out = np.empty(int(size.sum()), np.uint8)
+        at = ends(size)
+        for lo in range(0, len(which), _SEGMENTS):  # index arrays stay small
+            hi = lo + _SEGMENTS
+            out[at[lo]:at[min(hi, len(which))]] = self.buf[flat(start[lo:hi], size[lo:hi])]
+        return out
 
     @classmethod
     def concat(cls, parts: list["Segments"]) -> "Segments":
-        size = np.concatenate([p.lengths() for p in parts])
-        return cls(np.concatenate([p.buf for p in parts]), ends(size), np.concatenate([p.left for p in parts]))
+        base = ends(np.array([len(p.buf) for p in parts]))
+        return cls(np.concatenate([p.buf for p in parts]),
+                   np.concatenate([p.start + b for p, b in zip(parts, base)]),
+                   *(np.concatenate([getattr(p, k) for p in parts]) for k in ("size", "left", "hash")))
 
 
 def ends(size: np.ndarray) -> np.ndarray:
@@ -61,8 +69,21 @@ def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(at[-1]) + np.repeat(start - at[:-1], size)
 
 
-def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray):
-    return ends(size), buf[flat(start, size)]
+_SEGMENTS = 1 << 12
+
+
+_INVERSE = pow(int(_PRIME), -1, 1 << 64)
+_UNDO = np.ones(1, dtype=np.uint64)
+
+
+def _undo(n: int) -> np.ndarray:
+    """Powers of the inverse of the hash's factor."""
+    global _UNDO
+    if n > len(_UNDO):
+        p = np.full(n, _INVERSE, dtype=np.uint64)
+        p[0] = 1
+        _UNDO = np.multiply.accumulate(p)
+    return _UNDO[:n]
 
 
 def segments(texts: list[bytes]):
@@ -70,9 +91,11 @@ def segments(texts: list[bytes]):
     buf = np.frombuffer(b"".join(texts), np.uint8)
     at = ends(np.array([len(t) for t in texts], np.int64))
     none = np.zeros(0, np.int64)
+    nothing = Segments(buf, none, none, none, none.astype(np.uint64)), none, none
     if len(buf) < WINDOW:
-        return Segments(np.zeros(0, np.uint8), np.zeros(1, np.int64), none), none, none
-    h, width, factor = _BYTE[buf], 1, int(_PRIME)
+        return nothing
+    x = _BYTE[buf]
+    h, width, factor = x, 1, int(_PRIME)
     while width < TOKEN:  # hashes of twice as many bytes
         h = h[:-width] * np.uint64(factor) + h[width:]
         width, factor = 2 * width, factor * factor % (1 << 64)
@@ -88,24 +111,16 @@ def segments(texts: list[bytes]):
         inside[max(lo, hi - WINDOW + 1):hi] = False
     pos = np.flatnonzero(inside)
     if not len(pos):
-        return Segments(np.zeros(0, np.uint8), np.zeros(1, np.int64), none), none, none
+        return nothing
     anchor = (v[pos] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    windows = np.diff(np.append(first, len(pos)))
-    start = pos[first]
-    seg_at, seg = gather(buf, start, windows + WINDOW - 1)
+    size = np.diff(np.append(first, len(pos))) + WINDOW - 1
+    start, left = pos[first], anchor[first] - pos[first]
+    # sums of byte * factor ** place up to each place, moved to place 0
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers(len(x)))])
+    own = (sums[start + size] - sums[start]) * _undo(len(x))[start]
     text = np.searchsorted(at, start, side="right") - 1
-    return Segments(seg, seg_at, anchor[first] - start), text, start - at[text]
-
-
-def hashes(s: Segments) -> np.ndarray:
-    """64-bit hash of each segment's bytes and of its anchor's place."""
-    size = s.lengths()
-    if not len(size):
-        return np.zeros(0, np.uint64)
-    inside = np.arange(len(s.buf)) - np.repeat(s.at[:-1], size)
-    h = np.add.reduceat(_BYTE[s.buf] * powers(int(size.max()))[inside], s.at[:-1])
-    return mix64(h + (size * 64 + s.left).astype(np.uint64) * _PRIME)
+    return Segments(buf, start, size, left, mix64(own + (size * 64 + left).astype(np.uint64) * _PRIME)), text, start - at[text]
 
 
 _BLOCK = 1 << 20
@@ -113,30 +128,30 @@ _BLOCK = 1 << 20
 
 def same_bytes(s: Segments, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether segments ``a[i]`` and ``b[i]`` are equal, byte by byte."""
-    size = s.lengths()
-    out = (size[a] == size[b]) & (s.left[a] == s.left[b])
+    out = (s.size[a] == s.size[b]) & (s.left[a] == s.left[b])
     todo = np.flatnonzero(out)
-    part = np.cumsum(size[a[todo]]) // _BLOCK
+    part = np.cumsum(s.size[a[todo]]) // _BLOCK
     for i in np.split(todo, np.flatnonzero(np.diff(part)) + 1):
         if len(i):
-            n = size[a[i]]
-            x = s.buf[flat(s.at[a[i]], n)] != s.buf[flat(s.at[b[i]], n)]
-            out[i] = ~np.logical_or.reduceat(x, ends(n)[:-1])
+            x = s.bytes_of(a[i]) != s.bytes_of(b[i])
+            out[i] = ~np.logical_or.reduceat(x, ends(s.size[a[i]])[:-1])
     return out
 
 
-def words(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int, n: int) -> list[np.ndarray]:
-    """``n`` eight-byte words of each string ``start, start + step, ...`` up to
-    ``stop`` (not included), zeros after its end."""
+# the first k of a word's eight bytes
+_FIRST = np.array([(1 << 64) - (1 << (64 - 8 * k)) for k in range(9)], dtype=np.uint64)
+
+
+def words(buf: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, n: int) -> list[np.ndarray]:
+    """``n`` eight-byte words of each string ``buf[start], buf[start + step], ...`` of
+    ``size`` bytes, zeros after its end; step is 1 or -1."""
+    pad = np.zeros(8 * n + 8, np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, buf, pad]), 8)
     out = []
-    pos = start.copy()
-    for _ in range(n):
-        w = np.zeros(len(pos), np.uint64)
-        for _ in range(8):
-            live = (pos - stop) * step < 0
-            w = (w << np.uint64(8)) | np.where(live, buf[np.where(live, pos, 0)], 0).astype(np.uint64)
-            pos += step
-        out.append(w)
+    for k in range(n):
+        at = start + len(pad) + (8 * k if step > 0 else -8 * k - 7)
+        w = rows[at].view(">u8" if step > 0 else "<u8").ravel().astype(np.uint64)
+        out.append(w & _FIRST[np.clip(size - 8 * k, 0, 8)])
     return out
 
 
@@ -150,7 +165,7 @@ def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     order = np.arange(n)
     head = np.zeros(n, dtype=bool)  # begins a group of rows equal so far
     head[:1] = True
-    common = np.full(n, -1, dtype=np.int64)
+    common = np.full(n, -1, dtype=np.int16)
     for k, key in enumerate(keys):
         group = np.cumsum(head)
         single = head & np.append(head[1:], True)
@@ -163,7 +178,7 @@ def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = tied[1:]
         new = (w[1:] != w[:-1]) & ~head[at]
         x = (w[1:] ^ w[:-1])[new]
-        same = np.zeros(len(x), dtype=np.int64)
+        same = np.zeros(len(x), dtype=np.int16)
         for byte in range(1, 8):
             same += x < np.uint64(1 << (64 - 8 * byte))
         common[at[new]] = 8 * k + same
@@ -185,33 +200,36 @@ def earlier(s: Segments, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if n < 2:
         return none, none
-    anchor = s.at[:-1] + s.left
-    r_order, r_common = multikey_order(words(s.buf, anchor, s.at[1:], 1, -(-WINDOW // 8)))
-    l_order, l_common = multikey_order(words(s.buf, anchor - 1, s.at[:-1] - 1, -1, -(-LEFT // 8)))
+    anchor = s.start + s.left
+    r_order, r_common = multikey_order(words(s.buf, anchor, s.size - s.left, 1, -(-WINDOW // 8)))
+    l_order, l_common = multikey_order(words(s.buf, anchor - 1, s.left, -1, -(-LEFT // 8)))
 
     def reach(order, common):
-        out = np.empty(n, np.int64)
-        out[order] = np.maximum(common, np.append(common[1:], -1))
+        out = np.empty(n, np.int16)
+        out[order] = np.maximum(common, np.append(common[1:], np.int16(-1)))
         return out
 
+    # a window of l bytes before its anchor: least <= l <= most
     r_reach, l_reach = reach(r_order, r_common), reach(l_order, l_common)
-    windows = s.lengths() - WINDOW + 1
+    least = np.maximum(s.left - (s.size - WINDOW), WINDOW - r_reach).astype(np.int16)
+    most = np.minimum(s.left, l_reach).astype(np.int16)
+    some = np.flatnonzero(least <= most)
     segs, offsets = [], []
     for l in range(LEFT + 1):  # noqa: E741
-        offset = s.left - l
-        c = np.flatnonzero((offset >= 0) & (offset < windows) & (r_reach >= WINDOW - l) & (l_reach >= l))
+        c = some[(least[some] <= l) & (l <= most[some])]
         if len(c) < 2:
             continue
-        rank = np.empty(n, np.int64)
-        rank[r_order] = np.cumsum(r_common < WINDOW - l)
-        key = rank[c] * n
-        rank[l_order] = np.cumsum(l_common < l)
+        offset = s.left - l
+        rank = np.empty(n, np.int32)
+        rank[r_order] = np.cumsum(r_common < WINDOW - l, dtype=np.int32)
+        key = rank[c].astype(np.int64) * n
+        rank[l_order] = np.cumsum(l_common < l, dtype=np.int32)
         key += rank[c]
         o = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(key[o]) != 0]))
-        least = np.minimum.reduceat(owner[c[o]], first)
+        smallest = np.minimum.reduceat(owner[c[o]], first)
         later = np.empty(len(c), dtype=bool)
-        later[o] = owner[c[o]] > np.repeat(least, np.diff(np.append(first, len(c))))
+        later[o] = owner[c[o]] > np.repeat(smallest, np.diff(np.append(first, len(c))))
         segs.append(c[later])
         offsets.append(offset[c[later]])
     if not segs:

@@ -97,11 +97,13 @@ def test_empty_table(spark):
 def test_every_window_has_one_segment(texts):
     raw = [t.encode() for t in texts]
     s, doc, pos = suffixes.segments(raw)
-    got = [(int(d), int(p) + k) for d, p, n in zip(doc, pos, s.lengths()) for k in range(n - WINDOW + 1)]
+    got = [(int(d), int(p) + k) for d, p, n in zip(doc, pos, s.size) for k in range(n - WINDOW + 1)]
     assert sorted(got) == [(i, p) for i, t in enumerate(raw) for p in range(len(t) - WINDOW + 1)]
     for i in range(len(s)):
-        assert s.buf[s.at[i]:s.at[i + 1]].tobytes() == raw[doc[i]][pos[i]:pos[i] + s.lengths()[i]]
+        assert s.bytes_of(np.array([i])).tobytes() == raw[doc[i]][pos[i]:pos[i] + s.size[i]]
         assert 0 <= s.left[i] <= suffixes.LEFT
+        same = [j for j in range(len(s)) if s.hash[j] == s.hash[i]]
+        assert suffixes.same_bytes(s, np.array(same), np.full(len(same), i)).all()
 
 
 @settings(max_examples=60, deadline=None)
@@ -128,7 +130,7 @@ def test_windows_of_smaller_owners(docs, period):
 def test_multikey_order(strings):
     buf = np.frombuffer(b"".join(strings) + b"\0", np.uint8)
     at = suffixes.ends(np.array([len(s) for s in strings]))
-    order, common_bytes = suffixes.multikey_order(suffixes.words(buf, at[:-1], at[1:], 1, 4))
+    order, common_bytes = suffixes.multikey_order(suffixes.words(buf, at[:-1], np.diff(at), 1, 4))
     padded = [s.ljust(32, b"\0") for s in strings]
     assert [padded[i] for i in order] == sorted(padded)
     for k in range(1, len(order)):
@@ -139,22 +141,30 @@ def test_multikey_order(strings):
 def test_long_texts_are_read_in_slices():
     t = bytes(random.Random(2).choices(b"abcd", k=3 * common.CHUNK_BYTES // 2))
     got = sorted((int(p) + k) for s, doc, pos in suffix_dedup._kernel_chunks([b"short", t])
-                 for p, n in zip(pos, s.lengths()) for k in range(n - WINDOW + 1))
+                 for p, n in zip(pos, s.size) for k in range(n - WINDOW + 1))
     assert got == list(range(len(t) - WINDOW + 1))
 
 
-def test_equal_hashes_of_unequal_segments(monkeypatch):
+def test_words_read_backwards():
+    buf = np.frombuffer(b"abcdefghijkl", np.uint8)
+    got = suffixes.words(buf, np.array([11, 2, 0]), np.array([10, 3, 0]), -1, 2)
+    whole = [b"".join(int(w[i]).to_bytes(8, "big") for w in got) for i in range(3)]
+    assert whole == [b"lkjihgfedc".ljust(16, b"\0"), b"cba".ljust(16, b"\0"), bytes(16)]
+
+
+def test_equal_hashes_of_unequal_segments():
     """Segments are told apart by their bytes, not by their hash."""
-    monkeypatch.setattr(suffixes, "hashes", lambda s: np.zeros(len(s), np.uint64))
     texts = [t.encode() for t in passages(12, 4)]
     s, doc, pos = suffixes.segments(texts)
+    s.hash[:] = 0
     zero = np.zeros(len(doc), np.int64)
-    rows = list(suffix_dedup.pack([(s, doc, zero, pos)], np.array([], dtype="S16")))
-    spans = [(r[2], r[4]) for r in rows if r[1] is None]
-    spans += [(r[0], r[2]) for r in suffix_dedup.decide([r[1] for r in rows if r[1] is not None])]
+    rows = list(suffix_dedup.pack([(s, doc, zero, pos)], np.array([], dtype="S16"), 3))
+    spans, rest = suffix_dedup.decide([r[1] for r in rows if r[1] is not None])
+    assert list(rest) == []
+    spans += [suffix_dedup._unsqueezed(r[3]) for r in rows if r[1] is None]
     gone = {}
-    for d, x in spans:
-        for a, z in np.frombuffer(x, "<i8").reshape(-1, 2).tolist():
+    for ids, _, start, stop in spans:
+        for d, a, z in zip(ids.tolist(), start.tolist(), stop.tolist()):
             gone.setdefault(d, set()).update(range(a, z))
     want = brute([(i, t.decode()) for i, t in enumerate(texts)])
     assert sorted((i, len(gone.get(i, ()))) for i in range(len(texts))) == sorted((w[0], w[2]) for w in want)
