@@ -1,78 +1,133 @@
 """Alarm breakdowns and reliability figures (M23, M24).
 
 Alarm codes are payload keys named by a dimension table, so the reference
-crosses every reading with every alarm and looks the key up by name.  Here
-the payload map is exploded into (key, value) entries and equi-joined to the
-alarm table: only alarms actually present in a reading produce a row, and
-the alarm table is the small (broadcast) side of a hash join.  Figures that
-depend on *absent* keys are recovered from counts instead of materialising
-the absent pairs.
+crosses every reading with every alarm and looks the key up by name.  Here the
+payload map is filtered by the alarm table's codes, and only alarms actually
+present in a reading produce a row.  Runs of one status (``alarm_runs``) are built
+once; all figures are sums over runs.  Figures that depend on *absent* keys are
+recovered from counts instead of materialising the absent pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from shopfloor.functions.numeric import hours_2dp, micros_between, ratio_half_up
 from shopfloor.operators.oee import company_machines, telemetry
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
 from shopfloor.sources.fixtures import Tables
+from shopfloor.sources.telemetry import bounds
 
 DEV = "deviceuid"
 
 
-def _readings(t: Tables, p: Params) -> DataFrame:
-    """The tenant's readings in range with the whole payload as ``map<string,string>``."""
-    return telemetry(t, p).select(DEV, "ts", "seq_bucket", "payload_map")
+def alarm_runs(t: Tables, p: Params) -> DataFrame:
+    """Runs of consecutive readings (within an hour) in which an alarm keeps its value.
 
+    Columns: device, ``alarm_code`` (null: the run is of the readings themselves),
+    ``alarm_status``, ``started`` and ``last`` reading, ``until`` (the reading after
+    the run; null at the end of the history), ``n`` readings, ``gap_us`` and
+    ``running_us`` (time to the next reading, all of it and while the machine runs),
+    ``open`` / ``open_running`` (readings without a successor).
 
-def _present(readings: DataFrame, alarms: DataFrame, integer: bool = False) -> DataFrame:
-    """(reading, alarm) pairs whose key is present with a non-null value.
-    With ``integer`` the value must be integer text (``::integer``): other
-    text raises, as the reference's cast does."""
-    entries = readings.select("*", F.explode(F.col("payload_map")).alias("alarm_code", "alarm_status"))
-    entries = entries.where(F.col("alarm_status").isNotNull())
-    pairs = entries.join(alarms.withColumn("_is_alarm", F.lit(True)), on="alarm_code", how="inner")
-    if integer:
-        # Refers to the alarm side so the cast is not pushed below the join
-        # onto payload keys that are not alarms.
-        pairs = pairs.where(F.when(F.col("_is_alarm"), F.col("alarm_status").cast("int")).isNotNull())
-    return pairs.drop("_is_alarm")
+    The payload is read once, for the codes of the alarm table; a reading becomes a
+    row per alarm it carries and one for itself. Neighbours are taken inside the hour;
+    the one pair that leaves an hour is added between the hours' runs, a handful of
+    rows per device and hour however many readings there are.
+    """
+    codes = t.alarms.agg(F.collect_set("alarm_code")).scalar()
+    rows = telemetry(t, p).select(DEV, "ts", "seq_bucket", "mc_text", "payload_map", codes.alias("codes"))
+    carried = F.map_entries(F.map_filter("payload_map", lambda k, v: v.isNotNull() & F.array_contains("codes", k)))
+    none = F.lit(None).cast("string")
+    itself = F.array(F.struct(none.alias("alarm_code"), none.alias("alarm_status")))
+    alarms = F.transform(carried, lambda e: F.struct(e["key"].alias("alarm_code"), e["value"].alias("alarm_status")))
+    rows = rows.select(DEV, "ts", "seq_bucket", "mc_text", F.concat(itself, alarms).alias("pairs"))
+    hour = Window.partitionBy(DEV, "seq_bucket").orderBy("ts", "mc_text")
+    rows = (rows.withColumn("next_ts", F.lead("ts").over(hour))
+            .select(DEV, "ts", "seq_bucket", "next_ts", (F.col("mc_text") == "1").alias("running"), F.inline("pairs")))
+
+    of_alarm = Window.partitionBy(DEV, "seq_bucket", "alarm_code").orderBy("ts", "alarm_status")
+    goes_on = (F.lag("alarm_status").over(of_alarm).eqNullSafe(F.col("alarm_status"))
+               & (F.lag("next_ts").over(of_alarm) == F.col("ts")))
+    rows = rows.withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("begins").over(of_alarm.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = micros_between(F.col("ts"), F.col("next_ts"))
+    at_end = F.col("next_ts").isNull()
+    runs = rows.groupBy(DEV, "seq_bucket", "alarm_code", "run").agg(
+        F.min("alarm_status").alias("alarm_status"), F.min("ts").alias("started"), F.max("ts").alias("last"),
+        F.max(F.when(~at_end, F.col("next_ts"))).alias("inner_until"), F.count(F.lit(1)).alias("n"),
+        F.sum(gap).alias("gap_us"), F.sum(F.when(F.col("running"), gap)).alias("running_us"),
+        F.count_if(at_end).alias("ends"), F.count_if(at_end & F.col("running")).alias("ends_running"))
+
+    after = F.expr("lead(CASE WHEN alarm_code IS NULL THEN started END) IGNORE NULLS "
+                   "OVER (PARTITION BY deviceuid ORDER BY seq_bucket, alarm_code NULLS FIRST, run)")
+    runs = runs.withColumn("next_hour", after)
+    leaves = (F.col("ends") > 0) & F.col("next_hour").isNotNull()
+    leap = F.when(leaves, micros_between(F.col("last"), F.col("next_hour")))
+    plus = lambda c, x: F.coalesce(F.col(c) + x, F.col(c), x)
+    stays = (F.col("ends") > 0) & F.col("next_hour").isNull()
+    return runs.select(
+        DEV, "alarm_code", "alarm_status", "started", "last",
+        F.when(F.col("ends") > 0, F.col("next_hour")).otherwise(F.col("inner_until")).alias("until"), "n",
+        plus("gap_us", leap).alias("gap_us"),
+        plus("running_us", F.when(F.col("ends_running") > 0, leap)).alias("running_us"),
+        F.when(stays, F.col("ends")).otherwise(0).alias("open"),
+        F.when(stays, F.col("ends_running")).otherwise(0).alias("open_running"))
+
+
+def _of_alarm() -> WindowSpec:
+    return Window.partitionBy(DEV, "alarm_code").orderBy("started", "last")
+
+
+def _by_carriers(runs: DataFrame) -> DataFrame:
+    """Runs of alarms with the status before and the start after, over the readings
+    that carry the alarm; a status must be integer text (other text raises)."""
+    return (runs.where(F.col("alarm_code").isNotNull())
+            .where(F.col("alarm_status").cast("int").isNotNull())
+            .withColumn("before", F.lag("alarm_status").over(_of_alarm()))
+            .withColumn("next_started", F.lead("started").over(_of_alarm())))
+
+
+def alarm_intervals(t: Tables, p: Params) -> DataFrame:
+    """Per machine and alarm the periods of one status: from its first reading to the
+    next reading that carries another status (the last one that carries the alarm, at
+    the end), and the number of readings."""
+    runs = _by_carriers(alarm_runs(t, p))
+    new = F.when(F.col("before").eqNullSafe(F.col("alarm_status")), 0).otherwise(1)
+    runs = runs.withColumn("new", new)
+    runs = runs.withColumn("no", F.sum("new").over(_of_alarm().rowsBetween(Window.unboundedPreceding, 0)))
+    return (runs.groupBy(DEV, "alarm_code", "no", "alarm_status")
+            .agg(F.min("started").alias("started"),
+                 F.max(F.coalesce("next_started", "last")).alias("ended"), F.sum("n").alias("readings"))
+            .select(F.col(DEV).alias("machine_id"), "alarm_code", "alarm_status", "started", "ended", "readings"))
 
 
 def alarm_breakdowns(t: Tables, p: Params) -> DataFrame:
     """Per machine and alarm: number of 0->1 flips, hours spent at '1', and
     the share of all flips / hours of the machine (rounded to integers).
     Neighbours are taken per alarm over the readings that carry it."""
-    pairs = _present(_readings(t, p), t.alarms, integer=True).select(
-        DEV, "ts", "seq_bucket", "alarm_code", "alarm_description", "alarm_status")
-    keys = [DEV, "alarm_code"]
-    seq = with_neighbors(pairs, keys, "ts", sequence_bucket(p.sequence_bucket),
-                         lead={"next_ts": "ts"}, lag={"prev_status": "alarm_status"})
-    inc = F.when((F.col("prev_status") == "0") & (F.col("alarm_status") == "1"), 1).otherwise(0)
-    dur = F.when(F.col("alarm_status") == "1", micros_between(F.col("ts"), F.col("next_ts"))).otherwise(0)
-    agg = (seq.groupBy(DEV, "alarm_code", "alarm_description")
-           .agg(F.sum(inc).alias("count"), F.sum(dur).alias("dur_us"))
-           .where(F.col("count") > 0))
+    runs = _by_carriers(alarm_runs(t, p))
+    on = F.col("alarm_status") == "1"
+    flip = F.when((F.col("before") == "0") & on, 1).otherwise(0)
+    spent = F.when(on, micros_between(F.col("started"), F.coalesce("next_started", "last"))).otherwise(0)
+    agg = (runs.groupBy(DEV, "alarm_code").agg(F.sum(flip).alias("count"), F.sum(spent).alias("dur_us"))
+           .where(F.col("count") > 0)
+           .join(t.alarms.select("alarm_code", "alarm_description"), on="alarm_code", how="inner"))
     w = Window.partitionBy(DEV)
     agg = (agg.withColumn("total_count", F.sum("count").over(w))
            .withColumn("total_us", F.sum("dur_us").over(w)))
-    dur_us = F.coalesce(F.col("dur_us"), F.lit(0))
     return agg.select(
         F.col(DEV).alias("machine_id"), "alarm_code", "alarm_description",
         F.col("count").cast("bigint").alias("count"),
         F.coalesce(hours_2dp(F.col("dur_us")), F.lit(0.0)).alias("duration"),
         ratio_half_up(F.col("count") * 100, F.col("total_count"), 0).alias("cumulative_percent_count"),
-        ratio_half_up(dur_us * 100, F.col("total_us"), 0).alias("cumulative_percent_duration"))
+        ratio_half_up(F.col("dur_us") * 100, F.col("total_us"), 0).alias("cumulative_percent_duration"))
 
 
-def total_days(p: Params) -> int:
+def total_days(t: Tables, p: Params) -> Column:
     """``EXTRACT(DAY FROM end - start) + 1`` (whole days, toward zero)."""
-    from datetime import datetime
-    f = "%Y-%m-%d %H:%M:%S"
-    secs = (datetime.strptime(p.end, f) - datetime.strptime(p.start, f)).total_seconds()
-    return int(secs / 86400) + 1
+    start, end = bounds(t, p)
+    return F.timestamp_diff("DAY", start, end) + 1
 
 
 def alarm_reliability(t: Tables, p: Params) -> DataFrame:
@@ -83,49 +138,28 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
     alarm is absent contributes only to the running time.  So the running
     time is ``A * (running gaps) - (running gaps of present pairs)`` with
     ``A`` the number of alarms, and SQL NULL rules of the sums are kept by
-    counting the contributing pairs.  The previous status of an alarm is the
-    value of the immediately preceding reading, recovered from the previous
-    present pair of that alarm when its timestamp is the preceding reading's.
+    counting the contributing pairs.  A flip needs the value '0' in the reading
+    just before: the previous run of the alarm ends where this one starts.
     """
-    readings = telemetry(t, p).select(DEV, "ts", "seq_bucket", "payload_map", "mc_text")
-    seq = with_neighbors(readings, [DEV], "ts", sequence_bucket(p.sequence_bucket),
-                         lead={"next_ts": "ts"}, lag={"prev_ts": "ts"})
-    seq = seq.withColumn("gap", micros_between(F.col("ts"), F.col("next_ts")))
-    running = F.col("mc_text") == "1"
     n_alarms = t.alarms.select(F.count(F.lit(1))).scalar()
-
-    per_row = seq.groupBy(DEV).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.when(running, F.col("gap"))).alias("run_gap"),
-        F.count_if(running & F.col("gap").isNull()).alias("n_last_run"))
-
-    # The alarm's value in the previous reading: the previous present pair of
-    # the same alarm counts only if it belongs to that very reading (else
-    # the key was absent there and the previous status is NULL).
-    pairs = _present(seq.drop("next_ts"), t.alarms).select(
-        DEV, "ts", "seq_bucket", "alarm_code", "alarm_status", "mc_text", "gap", "prev_ts")
-    pairs = with_neighbors(pairs, [DEV, "alarm_code"], "ts", sequence_bucket(p.sequence_bucket),
-                           lag={"prev_pair_ts": "ts", "prev_pair_status": "alarm_status"})
-    pairs = pairs.withColumn("prev_status", F.when(F.col("prev_pair_ts") == F.col("prev_ts"),
-                                                   F.col("prev_pair_status")))
-    one = F.col("alarm_status") == "1"
-    per_pair = pairs.groupBy(DEV).agg(
-        F.count_if(one).alias("n_one"),
-        F.count_if(one & F.col("gap").isNotNull()).alias("n_one_gap"),
-        F.sum(F.when(one, F.col("gap"))).alias("active_us"),
-        F.sum(F.when(running, F.col("gap"))).alias("present_run_gap"),
-        F.count_if(running & F.col("gap").isNull()).alias("present_last_run"),
-        F.count_if((F.col("prev_status") == "0") & one).alias("flips"))
-
-    j = per_row.join(per_pair, on=DEV, how="left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    pairs_total = z("n_rows") * n_alarms
-    active = F.when(pairs_total - z("n_one") + z("n_one_gap") > 0, z("active_us"))
-    uptime_nulls = z("n_last_run") * n_alarms - z("present_last_run")
-    uptime = F.when(pairs_total - uptime_nulls > 0, z("run_gap") * n_alarms - z("present_run_gap"))
-    per_dev = j.select(DEV, z("flips").alias("flips"), active.alias("active_us"), uptime.alias("uptime_us"))
-
-    days = F.lit(total_days(p))
+    runs = (alarm_runs(t, p).withColumn("before", F.lag("alarm_status").over(_of_alarm()))
+            .withColumn("before_until", F.lag("until").over(_of_alarm())))
+    reading, pair = F.col("alarm_code").isNull(), F.col("alarm_code").isNotNull()
+    one = pair & (F.col("alarm_status") == "1")
+    of = lambda rows, c: F.coalesce(F.sum(F.when(rows, F.col(c))), F.lit(0))
+    flip = one & (F.col("before") == "0") & (F.col("before_until") == F.col("started"))
+    d = runs.groupBy(DEV).agg(
+        of(reading, "n").alias("n_rows"), of(reading, "running_us").alias("run_gap"),
+        of(reading, "open_running").alias("n_last_run"), of(one, "n").alias("n_one"), of(one, "open").alias("n_one_open"),
+        of(one, "gap_us").alias("active_us"), of(pair, "running_us").alias("present_run_gap"),
+        of(pair, "open_running").alias("present_last_run"), F.count_if(flip).alias("flips"))
+    pairs_total = F.col("n_rows") * n_alarms
+    active = F.when(pairs_total - F.col("n_one_open") > 0, F.col("active_us"))
+    uptime_nulls = F.col("n_last_run") * n_alarms - F.col("present_last_run")
+    uptime = F.when(pairs_total - uptime_nulls > 0, F.col("run_gap") * n_alarms - F.col("present_run_gap"))
+    per_dev = d.select(DEV, "flips", active.alias("active_us"), uptime.alias("uptime_us"))
+
+    days = total_days(t, p)
     m = company_machines(t, p).select("machine_uid", F.col("machine_id").alias(DEV))
     out = m.join(per_dev, on=DEV, how="left")
     flips = F.coalesce(F.col("flips"), F.lit(0))

@@ -1,28 +1,30 @@
 """Availability, produced / ideal wire weight and OEE (M10-M17).
 
-Shapes shared by all variants:
-
-* availability comes from per-(device, minute) counts of status readings;
-* the actual weight needs the next reading of the device (``LEAD``) to turn
-  a line speed into a length, computed by ``plans.neighbors`` so a long or
-  hot device history is split across tasks;
+Every variant is one pass over the readings: each is parsed once, for the
+keys the variant needs, and falls into one row per (device, minute) -- status
+counts, the span and top speed of the readings with a line speed, the
+diameters, and the drawn weight as a mergeable segment (``plans.segments``).
+Days, periods and devices are sums of minutes:
+
+* availability is a ratio of sums over minutes;
+* the actual weight turns a line speed into a length by the gap to the next
+  reading, inside the minute or in the device's next one;
 * the target weight multiplies an ideal length by the weight factor of every
-  distinct wire diameter the device reported.
+  distinct wire diameter.
 
-All aggregates are partial (map-side) aggregates, the per-minute / per-day
-tables are small compared with the telemetry, and no variant reads the JSON
-text more than once per row per branch.
+``minutes_of`` is also what ``sources.rollup`` stores and appends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions.numeric import micros_between, round_half_up, to_minutes, wire_weight
 from shopfloor.functions.timefmt import interval_label, period_label, trunc_ntz
+from shopfloor.operators.sequences import ACTIVITY, DRAWN, REELS, SPEED
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
-from shopfloor.sources import telemetry as tm
+from shopfloor.plans.segments import close, segment
+from shopfloor.sources import rollup, telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
 DEV = "deviceuid"
@@ -57,167 +59,139 @@ def telemetry(t: Tables, p: Params) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# Availability (M10)
+# One row per (device, minute)
 # --------------------------------------------------------------------------
 
-def minute_stats(base: DataFrame) -> DataFrame:
-    """Per (device, minute): status counts, and the performance inputs taken
-    over readings that also carry a line speed.  One aggregation serves the
-    availability and the minute-grain target."""
-    both = F.col("has_line_speed")
-    # seq_bucket is implied by the minute; grouping by it too lets the
-    # aggregate run on the store's (device, seq_bucket) buckets unshuffled.
-    return (base.where(F.col("has_mc"))
-            .groupBy(DEV, "seq_bucket", trunc_ntz("minute", F.col("ts")).alias("minute"))
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(F.col("mc_status") == 1).alias("up"),
-                 F.count_if(F.col("mc_status") == 0).alias("down"),
-                 F.count_if(both).alias("n_ls"),
-                 F.count_if(both & (F.col("mc_status") == 1)).alias("up_ls"),
-                 F.min(F.when(both, F.col("ts"))).alias("first_ls"),
-                 F.max(F.when(both, F.col("ts"))).alias("last_ls"),
-                 F.max(F.when(both, F.col("line_speed"))).alias("vmax")))
-
-
-def availability_from(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """``Σ(up/n) / NULLIF(Σ(up/n) + Σ(down/n), 0) * 100`` per ``keys``."""
-    up = _f("up") / _f("n")
-    down = _f("down") / _f("n")
-    return (stats.groupBy(*keys)
-            .agg(F.sum(up).alias("su"), F.sum(down).alias("sd"))
-            .select(*keys, (F.col("su") / _nullif0(F.col("su") + F.col("sd")) * 100.0)
-                    .alias("availability")))
+SEQUENCES = (SPEED, DRAWN, ACTIVITY, REELS)
 
 
-def availability(t: Tables, p: Params) -> DataFrame:
-    a = availability_from(minute_stats(telemetry(t, p)), [DEV])
-    return a.select(F.col(DEV).alias("machine_id"), round_half_up(F.col("availability"), 6)
-                    .alias("availability"))
+def minutes_of(base: DataFrame, sequences=SEQUENCES) -> DataFrame:
+    """Readings to (device, minute) rows: status counts, readings with a line speed,
+    diameters, months' counter, and the ends and inner sums of the given sequences. A
+    query's columns are all that is parsed, sorted and summed."""
+    mc, both = F.col("has_mc"), F.col("has_mc") & F.col("has_line_speed")
+    up, down = F.col("mc_status") == 1, F.col("mc_status") == 0
+    # seq_bucket is implied by the minute; grouping by it too lets the store's
+    # (device, seq_bucket) buckets be read unshuffled.
+    return segment(base.withColumn("minute", trunc_ntz("minute", F.col("ts"))), [DEV], ["seq_bucket", "minute"], sequences, [
+        F.count_if(mc).alias("n"), F.count_if(mc & up).alias("up"), F.count_if(mc & down).alias("down"),
+        F.count_if(both).alias("n_ls"), F.count_if(both & up).alias("up_ls"),
+        F.min(F.when(both, F.col("ts"))).alias("first_ls"), F.max(F.when(both, F.col("ts"))).alias("last_ls"),
+        F.max(F.when(both, F.col("line_speed"))).alias("vmax"),
+        F.count_if(F.col("has_line_speed")).alias("n_speed"), F.count_if(F.col("has_diameter")).alias("n_dia"),
+        F.collect_set(F.when(F.col("has_diameter"), F.col("diameter"))).alias("diameters"),
+        F.count_if(F.col("has_month_production")).alias("n_prod"),
+        F.max("month_production").alias("prod_max"), F.min("month_production").alias("prod_min")])
 
 
-# --------------------------------------------------------------------------
-# Actual weight (M11)
-# --------------------------------------------------------------------------
+def rollup_rows(device_data: DataFrame) -> DataFrame:
+    """Rows of a rollup from raw readings (see ``sources.rollup``)."""
+    return minutes_of(tm.typed(tm.parse(device_data)))
+
 
-def speed_gaps(base: DataFrame, p: Params, keys: list[str] | None = None,
-               require_diameter: bool = False) -> DataFrame:
-    """Readings with a line speed and their successor in the same sequence
-    (``keys``, default the device); rows without a successor are dropped."""
-    rows = base.where(F.col("has_line_speed"))
-    if require_diameter:
-        rows = rows.where(F.col("has_diameter"))
-    keys = keys or [DEV]
-    rows = rows.select(*keys, "ts", "seq_bucket", "line_speed", "diameter")
-    seq = with_neighbors(rows, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
-    return (seq.where(F.col("next_ts").isNotNull())
-            .withColumn("gap_min", to_minutes(micros_between(F.col("ts"), F.col("next_ts")))))
+def append_rollup(batch: DataFrame, readings: DataFrame, path: str, number: int) -> None:
+    """Add a batch of raw readings to the rollup at ``path``."""
+    rollup.append(batch, readings, path, number, rollup_rows)
 
 
-def actual_weight_from(gaps: DataFrame, keys: list[str]) -> DataFrame:
-    w = wire_weight(F.col("diameter"), F.col("gap_min") * F.col("line_speed"))
-    return gaps.groupBy(*keys).agg(F.coalesce(F.sum(w), F.lit(0.0)).alias("actual_weight"))
+def minutes(t: Tables, p: Params, *sequences) -> DataFrame:
+    """The minutes of the request with the given sequences, from the caller's rollup if
+    there is one."""
+    if getattr(t, "rollup", None) is None:
+        return minutes_of(telemetry(t, p), sequences)
+    m = rollup.minutes_in_range(t, p)
+    if p.company is not None or p.machine_uid is not None:
+        m = m.join(company_machines(t, p).select(F.col("machine_id").alias(DEV)), on=DEV, how="left_semi")
+    return m
 
 
-def actual_weight(t: Tables, p: Params) -> DataFrame:
-    a = actual_weight_from(speed_gaps(telemetry(t, p), p), [DEV])
-    return a.select(F.col(DEV).alias("machine_id"),
-                    round_half_up(F.col("actual_weight"), 6).alias("actual_weight"))
+def _set(name: str) -> Column:
+    """Union of the rows' arrays."""
+    return F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+
+
+def _share(of: str, among: str) -> Column:
+    return F.when(F.col(among) > 0, _f(of) / _f(among))
+
+
+def _span() -> Column:
+    return to_minutes(micros_between(F.col("first_ls"), F.col("last_ls")))
+
+
+def _days(m: DataFrame) -> DataFrame:
+    """Minutes to days per device: shares, ideal lengths at minute grain (scaled by the
+    day's top speed) and at day grain, weight, diameters."""
+    vmax, share = F.max("vmax"), F.sum("up_ls") / F.sum("n_ls")
+    span = to_minutes(micros_between(F.min("first_ls"), F.max("last_ls")))
+    return (m.groupBy(DEV, F.to_date("minute").alias("day"))
+            .agg(F.sum(_share("up", "n")).alias("su"), F.sum(_share("down", "n")).alias("sd"),
+                 (vmax * F.sum(_share("up_ls", "n_ls") * _span())).alias("minute_length"),
+                 F.when(F.sum("n_ls") > 0, share * vmax * span).alias("day_length"),
+                 F.sum("weight").alias("weight"),
+                 F.sum("n_speed").alias("n_speed"), F.sum("n_dia").alias("n_dia"), _set("diameters")))
+
+
+def _target(length: str) -> Column:
+    """``Σ over distinct diameters of W(d, length)``; a null diameter weighs nothing."""
+    return F.aggregate("diameters", F.lit(0.0), lambda acc, d: acc + wire_weight(d, F.col(length)))
+
+
+def _availability(su: str = "su", sd: str = "sd") -> Column:
+    """``Σ(up/n) / NULLIF(Σ(up/n) + Σ(down/n), 0) * 100``"""
+    return F.col(su) / _nullif0(F.col(su) + F.col(sd)) * 100.0
+
+
+def _devices(t: Tables, p: Params) -> DataFrame:
+    return (_days(close(minutes(t, p, SPEED), [DEV], [SPEED], "minute")).groupBy(DEV)
+            .agg(F.sum("su").alias("su"), F.sum("sd").alias("sd"), F.sum("minute_length").alias("minute_length"),
+                 F.sum("day_length").alias("day_length"), F.sum("weight").alias("weight"),
+                 F.sum("n_speed").alias("n_speed"), F.sum("n_dia").alias("n_dia"), _set("diameters")))
 
 
 # --------------------------------------------------------------------------
-# Target weight (M12, and its day / period variants)
+# Availability (M10), actual weight (M11), target weight (M12)
 # --------------------------------------------------------------------------
 
-def distinct_diameters(base: DataFrame, keys: list[str]) -> DataFrame:
-    return (base.where(F.col("has_diameter"))
-            .groupBy(*keys, "diameter").agg(F.count(F.lit(1)).alias("_n"))
-            .drop("_n"))
-
-
-def target_weight_from(lengths: DataFrame, diameters: DataFrame, keys: list[str]) -> DataFrame:
-    """``Σ over distinct diameters of W(d) * L``: one row per (keys, diameter)
-    joined to one length per key, no cross product."""
-    return (lengths.join(diameters, on=keys, how="inner")
-            .groupBy(*keys)
-            .agg(F.coalesce(F.sum(wire_weight(F.col("diameter"), F.col("total_length"))),
-                            F.lit(0.0)).alias("target_weight")))
-
-
-def minute_target_length(stats: DataFrame) -> DataFrame:
-    """Ideal length at minute grain, scaled by the device's max speed of the day."""
-    return minute_chain(stats).select(DEV, "total_length").where(F.col("total_length").isNotNull())
-
-
-def minute_chain(stats: DataFrame) -> DataFrame:
-    """Availability and minute-grain ideal length per device from one pass
-    over the per-minute table.  The day's top speed comes from a window over
-    (device, day) on that table -- at most 1440 rows per partition, so no
-    partition can grow with the data."""
-    day = F.to_date(F.col("minute"))
-    w = Window.partitionBy(DEV, day)
-    s = stats.withColumn("day_vmax", F.max("vmax").over(w))
-    span = to_minutes(micros_between(F.col("first_ls"), F.col("last_ls")))
-    up, down = _f("up") / _f("n"), _f("down") / _f("n")
-    length = F.when(F.col("n_ls") > 0, _f("up_ls") / _f("n_ls") * F.col("day_vmax") * span)
-    return (s.groupBy(DEV).agg(F.sum(up).alias("su"), F.sum(down).alias("sd"),
-                               F.sum(length).alias("total_length"))
-            .select(DEV, (F.col("su") / _nullif0(F.col("su") + F.col("sd")) * 100.0).alias("availability"),
-                    "total_length"))
-
-
-def day_target_length(base: DataFrame) -> DataFrame:
-    """Device-variant ideal length: one bucket per day spanning its first to
-    last reading (status and line speed both present)."""
-    d = (base.where(F.col("has_mc") & F.col("has_line_speed"))
-         .groupBy(DEV, F.to_date(F.col("ts")).alias("day"))
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.count_if(F.col("mc_status") == 1).alias("up"),
-              F.min("ts").alias("t0"), F.max("ts").alias("t1"),
-              F.max("line_speed").alias("vmax")))
-    return (d.groupBy(DEV)
-            .agg(F.sum(_f("up") / _f("n") * F.col("vmax")
-                       * to_minutes(micros_between(F.col("t0"), F.col("t1"))))
-                 .alias("total_length")))
+def availability(t: Tables, p: Params) -> DataFrame:
+    a = (minutes(t, p).where(F.col("n") > 0).groupBy(DEV)
+         .agg(F.sum(_share("up", "n")).alias("su"), F.sum(_share("down", "n")).alias("sd")))
+    return a.select(F.col(DEV).alias("machine_id"), round_half_up(_availability(), 6).alias("availability"))
+
+
+def actual_weight(t: Tables, p: Params) -> DataFrame:
+    """Devices with two readings that carry a line speed."""
+    return (_devices(t, p).where("n_speed > 1")
+            .select(F.col(DEV).alias("machine_id"),
+                    round_half_up(F.coalesce("weight", F.lit(0.0)), 6).alias("actual_weight")))
 
 
 def target_weight(t: Tables, p: Params) -> DataFrame:
-    base = telemetry(t, p)
-    tw = target_weight_from(minute_target_length(minute_stats(base)),
-                            distinct_diameters(base, [DEV]), [DEV])
-    return tw.select(F.col(DEV).alias("machine_id"),
-                     round_half_up(F.col("target_weight"), 6).alias("target_weight"))
+    """Devices with an ideal length and a diameter."""
+    return (_devices(t, p).where("minute_length is not null and n_dia > 0")
+            .select(F.col(DEV).alias("machine_id"),
+                    round_half_up(_target("minute_length"), 6).alias("target_weight")))
 
 
 # --------------------------------------------------------------------------
 # OEE per machine (M13 safe form, M14 device form, M15 rounded form)
 # --------------------------------------------------------------------------
 
-def _device_parts(t: Tables, p: Params, grain: str):
-    """Per device: availability and target weight (one frame), actual weight."""
-    base = telemetry(t, p)
-    chain = minute_chain(minute_stats(base))
-    if grain != "minute":
-        chain = chain.drop("total_length").join(day_target_length(base), on=DEV, how="left")
-    # Σ over the device's distinct diameters of W(d, L): the per-device row
-    # fans out to its (few) diameters and folds back in one aggregate.
-    dia = distinct_diameters(base, [DEV])
-    w = wire_weight(F.col("diameter"), F.col("total_length"))
-    at = (chain.join(dia, on=DEV, how="left").groupBy(DEV)
-          .agg(F.first("availability").alias("availability"),
-               F.sum(F.when(F.col("total_length").isNotNull(), w)).alias("target_weight")))
-    actual = actual_weight_from(speed_gaps(base, p), [DEV])
-    return at, actual
-
-
-def _join_machines(t: Tables, p: Params, at, actual) -> DataFrame:
+def _per_device(t: Tables, p: Params, grain: str) -> DataFrame:
+    """Per device: availability, target weight, actual weight."""
+    length = f"{grain}_length"
+    return _devices(t, p).select(
+        DEV, _availability().alias("availability"), F.col("weight").alias("actual_weight"),
+        F.when(F.col(length).isNotNull(), _target(length)).alias("target_weight"))
+
+
+def _join_machines(t: Tables, p: Params, per_device: DataFrame) -> DataFrame:
     m = company_machines(t, p).select("machine_uid", "machine_id")
-    return (m.join(at.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left")
-            .join(actual.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left"))
+    return m.join(per_device.withColumnRenamed(DEV, "machine_id"), on="machine_id", how="left")
 
 
 def oee_company(t: Tables, p: Params, grain: str = "minute") -> DataFrame:
     """Per machine of the tenant (all machines when ``p.company`` is None)."""
-    j = _join_machines(t, p, *_device_parts(t, p, grain))
+    j = _join_machines(t, p, _per_device(t, p, grain))
     a = F.coalesce(F.col("availability"), F.lit(0.0))
     act = F.coalesce(F.col("actual_weight"), F.lit(0.0))
     tgt = F.coalesce(F.col("target_weight"), F.lit(0.0))
@@ -243,7 +217,7 @@ def oee_device(t: Tables, p: Params) -> DataFrame:
 def oee_device_rounded(t: Tables, p: Params) -> DataFrame:
     """One-row summary per machine, two decimals; availability stays NULL
     when the machine sent no status in range."""
-    j = _join_machines(t, p, *_device_parts(t, p, "minute"))
+    j = _join_machines(t, p, _per_device(t, p, "minute"))
     a = F.col("availability")
     act = F.coalesce(F.col("actual_weight"), F.lit(0.0))
     tgt = F.coalesce(F.col("target_weight"), F.lit(0.0))
@@ -262,85 +236,48 @@ def oee_device_rounded(t: Tables, p: Params) -> DataFrame:
 # OEE per calendar period (M16) and per interval (M17)
 # --------------------------------------------------------------------------
 
+def _oee_ratios(keys: list[Column], a: Column, act: Column, tgt: Column, quality: Column, oee: Column) -> list[Column]:
+    r6 = lambda c: round_half_up(c, 6)
+    return [*keys, r6(a).alias("availability"), r6(act).alias("actual_weight"), r6(tgt).alias("target_weight"),
+            r6(F.when(tgt == 0, F.lit(0.0)).otherwise(act / _nullif0(tgt) * 100.0)).alias("performance"),
+            quality.alias("quality"), r6(oee).alias("oee")]
+
+
 def oee_by_period(t: Tables, p: Params, unit: str) -> DataFrame:
     """Per device and ``unit`` period; the gap after a reading is charged to
     that reading's period, the target span is the period's first to last
     reading.  With a zero target OEE is NULL unless availability is 0."""
-    base = telemetry(t, p).withColumn("period", period_label(unit, F.col("ts")))
-    keys = [DEV, "period"]
-    # One aggregate serves availability (status readings) and the ideal
-    # length (readings with status and line speed) of each period.
-    both = F.col("has_line_speed")
-    st = (base.where(F.col("has_mc")).groupBy(*keys)
-          .agg(F.count(F.lit(1)).alias("n"),
-               F.count_if(F.col("mc_status") == 1).alias("up"),
-               F.count_if(F.col("mc_status") == 0).alias("down"),
-               F.count_if(both).alias("n_ls"),
-               F.count_if(both & (F.col("mc_status") == 1)).alias("up_ls"),
-               F.min(F.when(both, F.col("ts"))).alias("t0"),
-               F.max(F.when(both, F.col("ts"))).alias("t1"),
-               F.max(F.when(both, F.col("line_speed"))).alias("vmax")))
-    upr, dnr = _f("up") / _f("n"), _f("down") / _f("n")
-    length = F.when(F.col("n_ls") > 0, _f("up_ls") / _f("n_ls") * F.col("vmax")
-                    * to_minutes(micros_between(F.col("t0"), F.col("t1"))))
-    st = st.select(*keys, (upr / _nullif0(upr + dnr) * 100.0).alias("availability"),
-                   length.alias("total_length"))
-    # Σ over the period's distinct diameters of W(d, L), folded onto the same
-    # frame so the aggregate above is computed once.
-    w = wire_weight(F.col("diameter"), F.col("total_length"))
-    at = (st.join(distinct_diameters(base, keys), on=keys, how="left").groupBy(*keys)
-          .agg(F.first("availability").alias("availability"),
-               F.sum(F.when(F.col("total_length").isNotNull(), w)).alias("target_weight")))
-
-    gaps = speed_gaps(base, p).withColumn("period", period_label(unit, F.col("ts")))
-    actual = actual_weight_from(gaps, keys)
-
-    j = at.join(actual, on=keys, how="left")
-    a = F.coalesce(F.col("availability"), F.lit(0.0))
-    act = F.coalesce(F.col("actual_weight"), F.lit(0.0))
-    tgt = F.coalesce(F.col("target_weight"), F.lit(0.0))
+    m = close(minutes(t, p, SPEED), [DEV], [SPEED], "minute").withColumn("period", period_label(unit, F.col("minute")))
+    g = (m.groupBy(DEV, "period", F.to_date("minute").alias("day"))
+         .agg(*[F.sum(c).alias(c) for c in ("n", "up", "down", "n_ls", "up_ls", "weight")],
+              F.min("first_ls").alias("first_ls"), F.max("last_ls").alias("last_ls"), F.max("vmax").alias("vmax"), _set("diameters"))
+         .groupBy(DEV, "period")
+         .agg(*[F.sum(c).alias(c) for c in ("n", "up", "down", "n_ls", "up_ls", "weight")],
+              F.min("first_ls").alias("first_ls"), F.max("last_ls").alias("last_ls"), F.max("vmax").alias("vmax"), _set("diameters"))
+         .where(F.col("n") > 0)
+         .select(DEV, "period", "diameters", "weight", _share("up", "n").alias("su"), _share("down", "n").alias("sd"),
+                 (_share("up_ls", "n_ls") * F.col("vmax") * _span()).alias("length")))
+    a = F.coalesce(_availability(), F.lit(0.0))
+    act = F.coalesce(F.col("weight"), F.lit(0.0))
+    tgt = F.coalesce(_target("length"), F.lit(0.0))
     ratio = act / _nullif0(tgt)
-    r6 = lambda c: round_half_up(c, 6)
-    return j.select(
-        F.col(DEV).alias("machine_id"), "period",
-        r6(a).alias("availability"), r6(act).alias("actual_weight"), r6(tgt).alias("target_weight"),
-        r6(F.when(tgt == 0, F.lit(0.0)).otherwise(ratio * 100.0)).alias("performance"),
-        r6(F.when(act == 0, F.lit(100.0)).otherwise(act / _nullif0(act) * 100.0)).alias("quality"),
-        r6(F.when((a == 0) | (ratio == 0), F.lit(0.0)).otherwise(a * ratio)).alias("oee"),
-    )
+    quality = round_half_up(F.when(act == 0, F.lit(100.0)).otherwise(act / _nullif0(act) * 100.0), 6)
+    oee = F.when((a == 0) | (ratio == 0), F.lit(0.0)).otherwise(a * ratio)
+    return g.select(*_oee_ratios([F.col(DEV).alias("machine_id"), F.col("period")], a, act, tgt, quality, oee))
 
 
 def oee_by_interval(t: Tables, p: Params, unit: str) -> DataFrame:
     """Per device and ``unit`` interval; successors only within the interval,
     target = same gaps at the interval's top line speed (performance <= 100)."""
-    base = telemetry(t, p).withColumn("interval", interval_label(unit, F.col("ts")))
-    keys = [DEV, "interval"]
-    st = (base.where(F.col("has_mc")).groupBy(*keys)
-          .agg(F.count(F.lit(1)).alias("n"),
-               F.count_if(F.col("mc_status") == 1).alias("up"),
-               F.count_if(F.col("mc_status") == 0).alias("down")))
-    upr, dnr = _f("up") / _nullif0(_f("n")), _f("down") / _nullif0(_f("n"))
-    avail = st.select(*keys, (upr / _nullif0(upr + dnr) * 100.0).alias("availability"))
-
-    gaps = speed_gaps(base, p, keys=keys, require_diameter=True)
-    agg = (gaps.groupBy(*keys)
-           .agg(F.sum(wire_weight(F.col("diameter"), F.col("gap_min") * F.col("line_speed")))
-                .alias("actual_weight"),
-                F.sum(wire_weight(F.col("diameter"), F.col("gap_min"))).alias("_w"),
-                F.max("line_speed").alias("_vmax"))
-           .select(*keys, F.coalesce(F.col("actual_weight"), F.lit(0.0)).alias("actual_weight"),
-                   F.coalesce(F.col("_w") * F.col("_vmax"), F.lit(0.0)).alias("target_weight")))
-
-    j = avail.join(agg, on=keys, how="left")
-    a = F.coalesce(F.col("availability"), F.lit(0.0))
-    act = F.coalesce(F.col("actual_weight"), F.lit(0.0))
-    tgt = F.coalesce(F.col("target_weight"), F.lit(0.0))
-    r6 = lambda c: round_half_up(c, 6)
-    return (j.select(
-        F.col(DEV).alias("machine_id"), "interval",
-        r6(a).alias("availability"), r6(act).alias("actual_weight"), r6(tgt).alias("target_weight"),
-        r6(F.when(tgt == 0, F.lit(0.0)).otherwise(act / _nullif0(tgt) * 100.0)).alias("performance"),
-        F.lit(100.0).alias("quality"),
-        r6(F.when((a == 0) | (tgt == 0) | (act == 0), F.lit(0.0))
-           .otherwise(a * (act / _nullif0(tgt)))).alias("oee"))
-        .orderBy("machine_id", "interval"))
+    m = minutes(t, p, DRAWN).withColumn("interval", interval_label(unit, F.col("minute")))
+    g = (close(m, [DEV, "interval"], [DRAWN], "minute").groupBy(DEV, "interval")
+         .agg(*[F.sum(c).alias(c) for c in ("n", "up", "down", "drawn_weight", "unit_weight")],
+              F.max("drawn_top").alias("drawn_top"))
+         .where(F.col("n") > 0)
+         .select(DEV, "interval", "drawn_weight", "unit_weight", "drawn_top", _share("up", "n").alias("su"), _share("down", "n").alias("sd")))
+    a = F.coalesce(_availability(), F.lit(0.0))
+    act = F.coalesce(F.col("drawn_weight"), F.lit(0.0))
+    tgt = F.coalesce(F.col("unit_weight") * F.col("drawn_top"), F.lit(0.0))
+    oee = F.when((a == 0) | (tgt == 0) | (act == 0), F.lit(0.0)).otherwise(a * (act / _nullif0(tgt)))
+    return (g.select(*_oee_ratios([F.col(DEV).alias("machine_id"), F.col("interval")], a, act, tgt, F.lit(100.0), oee))
+            .orderBy("machine_id", "interval"))

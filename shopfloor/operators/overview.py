@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from shopfloor.functions.numeric import round_half_up
 from shopfloor.operators import oee, production, status
 from shopfloor.operators.catalog import machine_catalog
+from shopfloor.operators.sequences import REELS_OF_ALL
 from shopfloor.params import Params
+from shopfloor.plans.segments import close, segment
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 from shopfloor.sources.sinks import json_rows
@@ -16,37 +18,34 @@ from shopfloor.sources.sinks import json_rows
 DEV = "deviceuid"
 
 
-def _current_year_length(t: Tables, p: Params, base: DataFrame) -> DataFrame:
-    """v1 produced length: months of the *current* year (year of ``as_of``)
-    whose month number lies between the months of start and end, rounded to
-    an integer.  Ranges across a year end give 0, as in the reference."""
-    months = (base.groupBy(DEV, F.year("ts").alias("y"), F.month("ts").alias("mo"))
-              .agg((F.max("month_production") - F.min("month_production")).alias("d")))
-    lo = F.month(F.to_timestamp_ntz(F.lit(p.start)))
-    hi = F.month(F.to_timestamp_ntz(F.lit(p.end)))
-    cur_year = F.year(status.as_of(t, p))
-    return (months.where((F.col("y") == cur_year) & F.col("mo").between(lo, hi))
-            .groupBy(DEV).agg(round_half_up(F.sum("d"), 0).alias("produced_length")))
-
-
-def _fanout_reels(t: Tables, p: Params, base: DataFrame) -> DataFrame:
-    """v1 reel count: every reading of the device (any time) paired with every
-    0->1 flip in range, i.e. ``rows(device) * flips(device)`` -- computed as a
-    product of two counts rather than materialising the pairs."""
-    flips = production.flips(base, p, "bobbin")
+def _year_and_reels(t: Tables, p: Params) -> DataFrame:
+    """v1 produced length and reel count per device, from one pass over the readings.
+
+    Length: months of the *current* year (year of ``as_of``) whose month number lies
+    between the months of start and end, rounded to an integer; ranges across a year
+    end give 0, as in the reference. Reels: every reading of the device (any time)
+    paired with every 0->1 flip in range, i.e. ``rows(device) * flips(device)`` -- a
+    product of two counts rather than the pairs; flips are between any two readings.
+    """
+    hours = segment(oee.telemetry(t, p), [DEV], ["seq_bucket"], [REELS_OF_ALL],
+                    [F.max("month_production").alias("hi"), F.min("month_production").alias("lo")])
+    start, end = tm.bounds(t, p)
+    shown = (F.year("month_start") == F.year(status.as_of(t, p))) & F.month("month_start").between(F.month(start), F.month(end))
+    months = (close(hours, [DEV], [REELS_OF_ALL], "seq_bucket")
+              .groupBy(DEV, F.trunc("seq_bucket", "month").alias("month_start"))
+              .agg((F.max("hi") - F.min("lo")).alias("d"), F.sum("flips").alias("flips")))
+    made = months.groupBy(DEV).agg(round_half_up(F.sum(F.when(shown, F.col("d"))), 0).alias("produced_length"),
+                                   F.sum("flips").alias("flips"))
     rows = tm.typed_all(t).groupBy(DEV).agg(F.count(F.lit(1)).alias("n"))
-    return flips.join(rows, on=DEV, how="inner").select(
-        DEV, (F.col("produced_reels") * F.col("n")).alias("produced_reels"))
+    return made.join(rows, on=DEV, how="left").select(
+        DEV, "produced_length", (F.col("flips") * F.col("n")).alias("produced_reels"))
 
 
 def company_overview(t: Tables, p: Params) -> DataFrame:
-    base = oee.telemetry(t, p)
     cat = machine_catalog(t, p)
     st = status.status_latest_by_device(t, p).withColumnRenamed("machine_id", DEV)
-    length = _current_year_length(t, p, base)
-    reels = _fanout_reels(t, p, base)
     j = (cat.withColumn(DEV, F.col("machine_id"))
-         .join(st, on=DEV, how="left").join(length, on=DEV, how="left").join(reels, on=DEV, how="left"))
+         .join(st, on=DEV, how="left").join(_year_and_reels(t, p), on=DEV, how="left"))
     return j.select(*cat.columns,
                     F.coalesce(F.col("status"), F.lit(status.OFFLINE)).alias("status"),
                     F.coalesce(F.col("produced_length"), F.lit(0.0)).alias("produced_length"),

@@ -7,16 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shopfloor.functions.numeric import hours_2dp, micros_between, round_half_up
 from shopfloor.functions.timefmt import iso_millis, to_kolkata, trunc_ntz
-from shopfloor.operators.oee import company_machines, telemetry
+from shopfloor.operators.oee import company_machines, minutes, telemetry
+from shopfloor.operators.sequences import ACTIVITY, STATES
 from shopfloor.params import Params
-from shopfloor.plans.neighbors import sequence_bucket, with_neighbors
 from shopfloor.plans.rangejoin import range_join
+from shopfloor.plans.segments import close, segment
 from shopfloor.sources import telemetry as tm
 from shopfloor.sources.fixtures import Tables
 
 DEV = "deviceuid"
-# Fixed value: a gap longer than this is idle time, and no gap counts more.
-MAX_GAP_US = 15 * 60 * 1_000_000
 
 
 def production_idle_time(t: Tables, p: Params) -> DataFrame:
@@ -27,22 +26,14 @@ def production_idle_time(t: Tables, p: Params) -> DataFrame:
     followed by a gap over 15 minutes -- a reading may count in both.  The
     last reading of a device has no gap and is skipped.
     """
-    rows = telemetry(t, p).select(DEV, "ts", "seq_bucket", "mc_status", "act_speed", "target_speed")
-    seq = with_neighbors(rows, [DEV], "ts", sequence_bucket(p.sequence_bucket),
-                         lead={"next_ts": "ts"}).where(F.col("next_ts").isNotNull())
-    gap = micros_between(F.col("ts"), F.col("next_ts"))
-    g = F.least(gap, F.lit(MAX_GAP_US))
-    mc, sp, tg = F.col("mc_status"), F.col("act_speed"), F.col("target_speed")
-    prod = ((mc == 1) & (sp > 0)) | ((mc == 1) & (sp < F.lit(0.5) * tg))
-    idle = (mc == 0) | ((mc == 1) & (sp == 0)) | (gap > F.lit(MAX_GAP_US))
-    agg = seq.groupBy(DEV).agg(F.sum(F.when(prod, g).otherwise(0)).alias("p_us"),
-                               F.sum(F.when(idle, g).otherwise(0)).alias("i_us"))
-    m = company_machines(t, p).select("machine_uid", F.col("machine_id").alias(DEV))
-    minutes = lambda c: (F.coalesce(c, F.lit(0)).cast("double") / 60_000_000.0)
-    return (m.join(agg, on=DEV, how="left")
+    m = close(minutes(t, p, ACTIVITY), [DEV], [ACTIVITY], "minute")
+    agg = m.groupBy(DEV).agg(F.sum("production_us").alias("p_us"), F.sum("idle_us").alias("i_us"))
+    machines = company_machines(t, p).select("machine_uid", F.col("machine_id").alias(DEV))
+    whole = lambda c: (F.coalesce(c, F.lit(0)).cast("double") / 60_000_000.0)
+    return (machines.join(agg, on=DEV, how="left")
             .select("machine_uid", F.col(DEV).alias("machine_id"),
-                    round_half_up(minutes(F.col("p_us")), 6).alias("total_production_time"),
-                    round_half_up(minutes(F.col("i_us")), 6).alias("total_idle_time")))
+                    round_half_up(whole(F.col("p_us")), 6).alias("total_production_time"),
+                    round_half_up(whole(F.col("i_us")), 6).alias("total_idle_time")))
 
 
 # ----------------------------------------------------------------- shifts
@@ -57,6 +48,12 @@ def _at(d: Column, clock: Column) -> Column:
     return F.to_timestamp_ntz(F.concat_ws(" ", d.cast("string"), clock), F.lit("yyyy-MM-dd h:mm a"))
 
 
+def calendar_days(t: Tables, p: Params) -> tuple[Column, Column]:
+    """First and last date of the request."""
+    start, end = tm.bounds(t, p)
+    return F.to_date(start), F.to_date(end)
+
+
 def shift_calendar(t: Tables, p: Params) -> DataFrame:
     """Valid shift instances: every date of the range whose weekday appears in
     the shift's day list, minus the tenant's holidays (text date equal to
@@ -65,7 +62,7 @@ def shift_calendar(t: Tables, p: Params) -> DataFrame:
     s = t.shifts
     if p.company is not None:
         s = s.where(F.col("company_id") == F.lit(p.company))
-    days = F.sequence(F.to_date(F.lit(p.start)), F.to_date(F.lit(p.end)), F.expr("INTERVAL 1 DAY"))
+    days = F.sequence(*calendar_days(t, p), F.expr("INTERVAL 1 DAY"))
     inst = (s.select("*", F.explode(days).alias("shift_date"))
             .where(F.upper(F.col("shift_days")).contains(_dy(F.col("shift_date")))))
     if p.holiday_match == "strict":
@@ -86,15 +83,12 @@ def shift_calendar(t: Tables, p: Params) -> DataFrame:
 STATE_COLUMNS = ("downtime", "production_time", "setup_time")
 
 
-def _state_sums(seq: DataFrame, keys: list[str]) -> DataFrame:
-    """Gap after each reading split by state: status '0' -> down, '1' with
-    speed > 0 -> production, '1' with speed 0 -> setup (microseconds)."""
-    gap = F.when(F.col("next_ts") > F.col("ts"), micros_between(F.col("ts"), F.col("next_ts")))
-    mc, sp = F.col("mc_text"), F.col("act_speed")
-    return seq.groupBy(*keys).agg(
-        F.sum(F.when(mc == "0", gap).otherwise(0)).alias("down_us"),
-        F.sum(F.when((mc == "1") & (sp > 0), gap).otherwise(0)).alias("prod_us"),
-        F.sum(F.when((mc == "1") & (sp == 0), gap).otherwise(0)).alias("setup_us"))
+def _state_sums(rows: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
+    """Gap after each reading split by state (``sequences.STATES``), successors taken
+    within ``keys``, summed per ``group`` (default ``keys``)."""
+    hours = segment(rows, [*keys, *[g for g in group or () if g not in keys]], ["seq_bucket"], [STATES])
+    return (close(hours, keys, [STATES], "seq_bucket").groupBy(*(group or keys))
+            .agg(*[F.sum(c).alias(c) for c in STATES.sums]))
 
 
 def _hours(keys: list[str]) -> list[Column]:
@@ -116,19 +110,14 @@ def _shift_states(t: Tables, p: Params) -> DataFrame:
     """
     cal = shift_calendar(t, p)
     owners = company_machines(t, p).select(F.col("machine_id").alias(DEV), "company_id")
-    first, last = F.to_date(F.lit(p.start)), F.to_date(F.lit(p.end))
-    # Whole days of the range (a shift on the last date runs past p.end).
-    days = p.with_(start=f"{p.start[:10]} 00:00:00", end=f"{p.end[:10]} 23:59:59.999999")
-    rows = (tm.typed_in_range(t, days).select(DEV, "ts", "seq_bucket", "mc_text", "act_speed")
-            .withColumn("shift_date", F.to_date(F.col("ts")))
-            .where(F.col("shift_date").between(first, last)))
+    # Whole days of the range (a shift on the last date runs past the end).
+    rows = tm.typed_in_days(t, p).select(DEV, "ts", "seq_bucket", "mc_text", "act_speed")
     windows = cal.select("company_id", "shift_date", "shift_id", "shift_start", "shift_end")
-    hit = (range_join(rows.drop("shift_date").join(owners, on=DEV, how="inner"), windows,
+    hit = (range_join(rows.join(owners, on=DEV, how="inner"), windows,
                       on=["company_id"], ts="ts", start="shift_start", end="shift_end")
            .drop("shift_start", "shift_end", "company_id"))
     keys = [DEV, "shift_id", "shift_date"]
-    seq = with_neighbors(hit, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
-    sums = _state_sums(seq, keys)
+    sums = _state_sums(hit, keys)
     inst = owners.join(cal, on="company_id", how="inner")
     return inst.join(sums, on=keys, how="left")
 
@@ -183,9 +172,7 @@ def interval_timeframe(t: Tables, p: Params, unit: str | None) -> DataFrame:
     # The sequence bucket (UTC hour) splits each local hour in two: the
     # window stays on the store's co-located buckets and neighbours are still
     # exact within the local hour.
-    keys = [DEV, "local_hour"]
-    seq = with_neighbors(rows, keys, "ts", sequence_bucket(p.sequence_bucket), lead={"next_ts": "ts"})
-    sums = _state_sums(seq, [DEV, "interval_key"])
+    sums = _state_sums(rows, [DEV, "local_hour"], [DEV, "interval_key"])
     return (sums.select(*_hours([F.col(DEV).alias("machine_id"), "interval_key"]))
             .orderBy("machine_id", "interval_key"))
 

@@ -14,12 +14,13 @@ class Params:
 
     ``company`` / ``device`` / ``machine_uid`` narrow a fleet-wide result to
     one tenant or machine (the reference's tenant guard); ``None`` keeps all.
-    ``as_of`` replaces ``NOW()``: ``None`` means the newest telemetry
-    timestamp, derived inside the plan.
+    ``start`` / ``end`` bound the readings (closed range); ``None`` means the
+    first / newest reading, ``as_of`` replaces ``NOW()`` and is the newest
+    reading if ``None``: all three are derived inside the plan.
     """
 
-    start: str = "2024-01-01 00:00:00"
-    end: str = "2024-01-31 00:00:00"
+    start: str | None = None
+    end: str | None = None
     company: str | None = None
     device: str | None = None
     machine_uid: str | None = None

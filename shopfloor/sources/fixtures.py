@@ -134,15 +134,37 @@ SPECS: dict[str, TableSpec] = {
     )),)),
     "alarms": TableSpec("alarms", (Literal(
         (("alarm_code", _S), ("alarm_description", _S)), _ALARM_ROWS),)),
-    "shifts": TableSpec("shifts", (Literal(
-        (("shift_id", _S), ("shift_name", _S), ("start_time", _S), ("end_time", _S),
-         ("shift_days", _S), ("created_by", _S), ("company_id", _S)), _SHIFT_ROWS),)),
-    # The configured holidays plus, for tenants 3-5, one per day with an order
-    # (ids are unique per day and tenant), from the whole order table.
+    # The configured shifts of tenant 1 plus a four-hour shift per region, dealt
+    # over the tenants that own machines.
+    "shifts": TableSpec("shifts", (
+        Literal((("shift_id", _S), ("shift_name", _S), ("start_time", _S), ("end_time", _S),
+                 ("shift_days", _S), ("created_by", _S), ("company_id", _S)), _SHIFT_ROWS),
+        Derived("region", (
+            ("shift_id", "concat('r', cast(r_regionkey as string))"),
+            ("shift_name", "concat('Line ', r_name)"),
+            ("start_time", "case r_regionkey when 0 then '06:00 AM' when 1 then '08:00 AM' when 2 then '10:00 AM' "
+                           "when 3 then '12:00 PM' else '02:00 PM' end"),
+            ("end_time", "case r_regionkey when 0 then '10:00 AM' when 1 then '12:00 PM' when 2 then '02:00 PM' "
+                         "when 3 then '04:00 PM' else '06:00 PM' end"),
+            ("shift_days", "case when r_regionkey % 2 = 0 then 'Mon,Wed,Fri,Sun' else 'Tue,Thu,Sat' end"),
+            ("created_by", "cast(r_regionkey as string)"),
+            ("company_id", "cast(r_regionkey % 3 as string)"),
+        )))),
+    # The configured holidays plus, for the tenants that own machines, one per
+    # nation (a day of January 2024), and for tenants 3-5 one per day with an
+    # order (ids are unique per day and tenant), from the whole order table.
     "holidays": TableSpec("holidays", (
         Literal((("holiday_id", _S), ("holiday_name", _S), ("holiday_date", _S),
                  ("holiday_image", _S), ("created_by", _S), ("company_id", _S)),
                 _HOLIDAY_ROWS),
+        Derived("nation", (
+            ("holiday_id", "concat('n', cast(n_nationkey as string))"),
+            ("holiday_name", "n_name"),
+            ("holiday_date", "cast(cast('2024-01-02' as date) + cast(n_nationkey as int) as string)"),
+            ("holiday_image", "cast(NULL as string)"),
+            ("created_by", "cast(n_regionkey as string)"),
+            ("company_id", "cast(n_nationkey % 3 as string)"),
+        )),
         Derived("orders", (
             ("holiday_id", "concat('o', cast(min(o_orderkey) as string))"),
             ("holiday_name", "min(o_orderpriority)"),
@@ -199,13 +221,16 @@ class Tables:
     """Lazily built model tables over one driver data directory.
 
     ``store`` names a telemetry store written by ``telemetry.ingest``; without
-    one, queries parse the readings they need in their own plan.
+    one, queries parse the readings they need in their own plan.  ``rollup`` is
+    the folder of a rollup of minutes (``sources.rollup``), from which the
+    metrics over minutes are answered without reading telemetry.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None, rollup: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.store = store
+        self.rollup = rollup
         self._cache: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:

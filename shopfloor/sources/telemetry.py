@@ -3,8 +3,10 @@
 ``device_data(deviceuid, timestamp, data)`` stores each reading as a JSON
 object whose keys may be missing.  The reference re-parses the text in every
 CTE (``data->>'KEY'``, ``data::jsonb ? 'KEY'``); here the payload is parsed
-once per row into a ``VARIANT`` (Spark's binary semi-structured encoding) and
-every value is read from it by path.  A missing key is SQL NULL while a JSON
+once per row and query into a ``VARIANT`` (Spark's binary semi-structured encoding) and
+every value is read from it by path.  A filter on a parsed value would be pushed
+below that projection and parse again, so queries count and choose by
+conditional aggregates instead.  A missing key is SQL NULL while a JSON
 ``null`` is a non-null variant, so key existence (``has_*``) stays exact and
 separate from the value.
 
@@ -37,20 +39,25 @@ MAP_TYPE = "map<string,string>"
 SEQ_UNIT = DEFAULT.sequence_bucket
 
 
-def in_range(device_data: DataFrame, params: Params) -> DataFrame:
-    """Closed time range (``BETWEEN``) plus the optional device filter.
-
-    The range is a predicate on the raw timestamp column, so it reaches the
-    Parquet scan (and date-partition pruning when the table is partitioned).
-    """
-    df = device_data.where(
-        F.col("timestamp").between(F.to_timestamp_ntz(F.lit(params.start)),
-                                   F.to_timestamp_ntz(F.lit(params.end))))
+def _within(df: DataFrame, params: Params, ts: str) -> DataFrame:
+    """Closed time range (``BETWEEN``; an open end does not filter) plus the
+    optional device filter."""
+    if params.start is not None:
+        df = df.where(F.col(ts) >= F.to_timestamp_ntz(F.lit(params.start)))
+    if params.end is not None:
+        df = df.where(F.col(ts) <= F.to_timestamp_ntz(F.lit(params.end)))
     if params.device is not None:
         df = df.where(F.col("deviceuid") == F.lit(params.device))
     return df
 
 
+def in_range(device_data: DataFrame, params: Params) -> DataFrame:
+    """The request's raw readings.  The range is a predicate on the raw
+    timestamp column, so it reaches the Parquet scan (and date-partition
+    pruning when the table is partitioned)."""
+    return _within(device_data, params, "timestamp")
+
+
 def _path(key: str) -> str:
     """Variant path of a top-level key (bracket form: keys may hold spaces)."""
     if '"' in key:
@@ -204,14 +211,33 @@ def typed_since(tables, since: Column) -> DataFrame:
     return _numbers(st).select(*TYPED_COLUMNS)
 
 
+def bounds(tables, params: Params) -> tuple[Column, Column]:
+    """Start and end of the request; where it gives none, the first and the
+    newest reading of the whole fleet as scalar subqueries."""
+    def of(text: str | None, newest: bool) -> Column:
+        if text is not None:
+            return F.to_timestamp_ntz(F.lit(text))
+        if newest:
+            return latest_ts(tables)
+        st = _store(tables)
+        return (tables.device_data.select(F.min("timestamp")) if st is None else st.select(F.min("ts"))).scalar()
+    return of(params.start, False), of(params.end, True)
+
+
 def typed_in_range(tables, params: Params) -> DataFrame:
     """Typed telemetry of the request range and device."""
     st = _store(tables)
     if st is None:
         return typed(parse(in_range(tables.device_data, params)))
-    lo, hi = F.to_timestamp_ntz(F.lit(params.start)), F.to_timestamp_ntz(F.lit(params.end))
-    st = st.where(F.col("event_month").between(F.trunc(lo, "month"), F.trunc(hi, "month"))
-                  & F.col("ts").between(lo, hi))
-    if params.device is not None:
-        st = st.where(F.col("deviceuid") == F.lit(params.device))
-    return _numbers(st).select(*TYPED_COLUMNS)
+    if params.start is not None:
+        st = st.where(F.col("event_month") >= F.trunc(F.to_timestamp_ntz(F.lit(params.start)), "month"))
+    if params.end is not None:
+        st = st.where(F.col("event_month") <= F.trunc(F.to_timestamp_ntz(F.lit(params.end)), "month"))
+    return _numbers(_within(st, params, "ts")).select(*TYPED_COLUMNS)
+
+
+def typed_in_days(tables, params: Params) -> DataFrame:
+    """Typed telemetry of all days that the request range touches."""
+    start = None if params.start is None else f"{params.start[:10]} 00:00:00"
+    end = None if params.end is None else f"{params.end[:10]} 23:59:59.999999"
+    return typed_in_range(tables, params.with_(start=start, end=end))
