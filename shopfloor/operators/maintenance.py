@@ -4,7 +4,8 @@ The reference edits one row per HTTP request inside a transaction.  Here a
 DataFrame of requested changes is applied to a table in one job and the new
 table is returned (plus rejects / counts where the reference reports them).
 Every step is a join, anti-join or union on the table keys; nothing is
-collected to the driver.
+collected to the driver. Requests that depend on each other (T5, a mixed log)
+are decided as if they came one after the other.
 
 Generated ids are deterministic (``md5`` of the natural key) instead of
 random UUIDs, so a batch applied twice yields the same table.
@@ -14,9 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from shopfloor.session import checkpoint_dir
+
 
 def _present(df: DataFrame, name: str) -> Column:
     """JavaScript truthiness of a required field: NULL, '' and 0 are missing."""
@@ -98,27 +101,136 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, unique: Sequence[str], o
     return table.unionByName(new.select(*table.columns)), rejected
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A written copy in the shared checkpoint folder: an executor lost in a later
+    round repeats nothing of the earlier ones."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _other_holder(holders: DataFrame, requests: DataFrame, value: str, key: str, nxt: str) -> DataFrame:
+    """Per request (``key``, ``value``): ``__other``, the latest ``nxt`` among the holders
+    of its value with another key (null: nobody else holds it)."""
+    latest = holders.groupBy(value, key).agg(F.max(nxt).alias(nxt))
+    top = latest.groupBy(value).agg(F.max(F.struct(nxt, key)).alias("__top"))
+    second = (latest.join(top, on=value).where(F.col(key) != F.col(f"__top.{key}"))
+              .groupBy(value).agg(F.max(nxt).alias("__second")))
+    both = top.join(second, on=value, how="left")
+    mine = F.col(f"__top.{key}") == F.col(key)
+    return (requests.join(both, on=value, how="left")
+            .withColumn("__other", F.when(mine, F.col("__second")).otherwise(F.col(f"__top.{nxt}")))
+            .drop("__top", "__second"))
+
+
+def decide_in_order(table: DataFrame, changes: DataFrame, key: str, unique: Sequence[str], order: str) -> DataFrame:
+    """The outcome of changing ``unique`` values one request after the other:
+    ``changes`` whose key is stored, with ``accepted``.
+
+    A request is accepted if, at its turn, no other row holds its value; the value its
+    row held before is free from then on. Rounds decide all requests whose outcome no
+    open request can change any more:
+
+    * rejected, if another row holds the value and that row has no open request before
+      this one (it still holds it at this one's turn);
+    * accepted, if no other row holds the value and no earlier open request asks for
+      it, and all earlier requests of the row are decided.
+
+    The first open request is always decided, a value that thousands ask for is
+    decided in one round per accepted change, and every step is an aggregate or a join
+    on keys or values. ``order`` must be unique; a request with a null in ``unique``
+    conflicts with nothing.
+    """
+    value = F.when(valid_value(unique), F.struct(*unique))
+    stored = _cut(table.select(key, value.alias("__v")))
+    todo = _cut(changes.join(table.select(key), on=key, how="left_semi")
+                .select(F.col(order).alias("__no"), key, value.alias("__v")))
+    done = None
+    while not todo.isEmpty():
+        first = todo.groupBy(key).agg(F.min("__no").alias("__next"))
+        # a row without an open request holds its value for good
+        held = (stored.where("__v is not null").join(first, on=key, how="left")
+                .withColumn("__next", F.struct(F.col("__next").isNull().alias("forever"), F.col("__next").alias("no"))))
+        asked = todo.groupBy("__v").agg(F.min("__no").alias("__first"))
+        r = _other_holder(held, todo, "__v", key, "__next").join(asked, on="__v", how="left").join(first, on=key)
+        free = F.col("__other").isNull()
+        stays = ~free & (F.col("__other.forever") | (F.col("__other.no") > F.col("__no")))
+        turn = (F.col("__no") == F.col("__next")) & (F.col("__v").isNull() | (F.col("__no") == F.col("__first")))
+        verdict = F.when(stays, F.lit(False)).when(free & turn, F.lit(True))
+        r = _cut(r.select("__no", key, "__v", verdict.alias("accepted")))
+        decided = r.where("accepted is not null").select("__no", "accepted")
+        done = _cut(decided if done is None else done.unionByName(decided))
+        # at most one request of a row is accepted in a round: its first open one
+        moved = r.where("accepted").select(key, F.col("__v").alias("__to"), F.lit(True).alias("__moved"))
+        stored = _cut(stored.join(moved, on=key, how="left")
+                      .select(key, F.when(F.col("__moved"), F.col("__to")).otherwise(F.col("__v")).alias("__v")))
+        todo = _cut(r.where("accepted is null").drop("accepted"))
+    if done is None:
+        return changes.where("false").withColumn("accepted", F.lit(True))
+    return changes.join(done.withColumnRenamed("__no", order), on=order).select(*changes.columns, "accepted")
+
+
+def valid_value(unique: Sequence[str]) -> Column:
+    """No part of the value is null (a null equals nothing)."""
+    ok = F.lit(True)
+    for u in unique:
+        ok = ok & F.col(u).isNotNull()
+    return ok
+
+
 def update_if_unique(table: DataFrame, changes: DataFrame, key: str, unique: Sequence[str], columns: Sequence[str],
-                     order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """T5: update rows to new ``unique`` values, in the order of requests.
-
-    A change is rejected if another stored row holds its new value or an
-    earlier accepted change of the batch takes it; a key's last request
-    counts.  A value that a change gives up becomes free with the next batch.
-    Returns (table, rejected changes, changes whose key is not stored).
-    Conflicts come from one aggregate per value (its smallest and largest
-    holder), not from pairs of rows."""
-    known = changes.join(table.select(key), on=key, how="left_semi")
-    unmatched = changes.join(table.select(key), on=key, how="left_anti")
-    last = last_per(known, [key], order)
-    held = table.groupBy(*unique).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    free = (last.join(held, on=list(unique), how="left")
-            .where(F.col("__lo").isNull() | ((F.col("__lo") == F.col(key)) & (F.col("__hi") == F.col(key))))
-            .select(*changes.columns))
-    accepted = first_per(free, unique, order)
-    rejected = last.join(accepted.select(key), on=key, how="left_anti")
-    updated, _ = update_by_key(table, accepted, key, columns)
-    return updated, rejected, unmatched
+                     order: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """T5: update rows to new ``unique`` values, one request after the other (see
+    ``decide_in_order``).  Returns (table, rejected, unmatched, accepted): every
+    change is in exactly one of the last three; of several accepted changes of a row
+    the last one is what the table holds."""
+    outcome = decide_in_order(table, changes, key, unique, order)
+    accepted = outcome.where("accepted").select(*changes.columns)
+    rejected = outcome.where("not accepted").select(*changes.columns)
+    unmatched = changes.join(table.select(key), on=key, how="left_anti").select(*changes.columns)
+    updated, _ = update_by_key(table, accepted, key, columns, order=order)
+    return updated, rejected, unmatched, accepted
+
+
+LOG_BLOCK = 4096
+
+
+def apply_log(table: DataFrame, log: DataFrame, key: str, order: str, op: str = "op") -> tuple[DataFrame, DataFrame]:
+    """T1-T3 as they arrive: a log of inserts, updates and deletes applied in ``order``
+    (whole numbers, unique).  Returns (table, rejected log rows).
+
+    An insert of a stored key and an update or delete of a missing one are rejected. A
+    row exists before a request if the last insert or delete before it was an insert
+    -- whether or not that was accepted -- or, without one, if it was stored. So the
+    log is a fold that is cut into blocks of LOG_BLOCK requests: the last insert or
+    delete inside the block by a window over (key, block), of earlier blocks by a
+    window over the blocks' last ones. A key with a third of the log is spread over
+    its blocks. A row's contents are those of its last accepted insert or update: the
+    log holds all columns of the table.
+    """
+    cols = [c for c in table.columns if c != key]
+    rows = log.withColumn("__block", F.expr(f"`{order}` div {LOG_BLOCK}"))
+    sets = F.when(F.col(op) != "update", F.col(op))
+    blocks = rows.groupBy(key, "__block").agg(F.max_by(sets, F.when(sets.isNotNull(), F.col(order))).alias("__sets"))
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    stored = table.select(key, F.lit(True).alias("__stored"))
+    blocks = (blocks.withColumn("__carry", F.last("__sets", ignorenulls=True).over(earlier))
+              .join(stored, on=key, how="left").drop("__sets"))
+    inside = (Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = (rows.withColumn("__inside", F.last(sets, ignorenulls=True).over(inside))
+            .join(blocks, on=[key, "__block"]))
+    last = F.coalesce("__inside", "__carry")
+    exists = F.when(last.isNotNull(), last == "insert").otherwise(F.coalesce("__stored", F.lit(False)))
+    rows = rows.withColumn("__ok", F.when(F.col(op) == "insert", ~exists).otherwise(exists))
+    rejected = rows.where(~F.col("__ok")).select(*log.columns)
+    kept = F.col("__ok") & (F.col(op) != "delete")
+    end = rows.groupBy(key).agg(
+        F.max_by(sets, F.when(sets.isNotNull(), F.col(order))).alias("__last"),
+        F.max_by(F.when(kept, F.struct(*cols)), F.when(kept, F.col(order))).alias("__row"))
+    j = table.withColumn("__stored", F.lit(True)).join(end, on=key, how="full_outer")
+    there = F.when(F.col("__last").isNotNull(), F.col("__last") == "insert").otherwise(F.coalesce("__stored", F.lit(False)))
+    pick = [F.when(F.col("__row").isNotNull(), F.col("__row").getField(c)).otherwise(F.col(c)).alias(c) for c in cols]
+    out = j.where(there).select(key, *pick).select(*table.columns)
+    return out, rejected
 
 
 def new_id(prefix: str, *parts: Column) -> Column:

@@ -26,11 +26,11 @@ def append_rejects(t: Tables, p: Params) -> DataFrame:
 
 
 def update_by_key(t: Tables, p: Params) -> DataFrame:
-    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS, order="first_name")[0]
+    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS, order="request_no")[0]
 
 
 def update_unmatched(t: Tables, p: Params) -> DataFrame:
-    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS, order="first_name")[1]
+    return mt.update_by_key(t.user_info, t.user_edits, "user_id", USER_EDIT_COLUMNS, order="request_no")[1]
 
 
 def delete_by_key(t: Tables, p: Params) -> DataFrame:
@@ -67,6 +67,22 @@ def update_if_unique_unmatched(t: Tables, p: Params) -> DataFrame:
     return _moved_holidays(t)[2]
 
 
+def update_if_unique_accepted(t: Tables, p: Params) -> DataFrame:
+    return _moved_holidays(t)[3]
+
+
+def _logged(t: Tables):
+    return mt.apply_log(t.operators, t.operator_log, "operator_id", "request_no")
+
+
+def apply_log(t: Tables, p: Params) -> DataFrame:
+    return _logged(t)[0]
+
+
+def apply_log_rejects(t: Tables, p: Params) -> DataFrame:
+    return _logged(t)[1]
+
+
 def get_or_create_dim(t: Tables, p: Params) -> DataFrame:
     return mt.get_or_create_dim(t.machine_type, t.type_requests, "machine_type_id", "machine_type_name")
 
@@ -83,6 +99,10 @@ def update_guarded_parts(t: Tables, p: Params) -> DataFrame:
     return _guarded(t)[1]
 
 
+def update_guarded_types(t: Tables, p: Params) -> DataFrame:
+    return _guarded(t)[2]
+
+
 def update_guarded_rejects(t: Tables, p: Params) -> DataFrame:
     return _guarded(t)[3]
 
@@ -100,6 +120,10 @@ def add_machine_parts(t: Tables, p: Params) -> DataFrame:
     return _added(t)[1]
 
 
+def add_machine_types(t: Tables, p: Params) -> DataFrame:
+    return _added(t)[2]
+
+
 def reconcile_set(t: Tables, p: Params) -> DataFrame:
     return mt.reconcile_set(t.operators, t.operator_roster, t.operator_machines)[0]
 

@@ -122,8 +122,9 @@ def queries() -> dict[str, Query]:
     out["machine_catalog_json"] = _q(catalog.machine_catalog_json)
     for name in ("append_validated", "append_rejects", "update_by_key", "update_unmatched",
                  "delete_by_key", "insert_if_absent", "insert_if_absent_rejects", "update_if_unique",
-                 "update_if_unique_rejects", "update_if_unique_unmatched", "get_or_create_dim",
-                 "update_guarded", "update_guarded_parts", "update_guarded_rejects",
-                 "add_machine", "add_machine_parts", "reconcile_set", "reconcile_set_counts"):
+                 "update_if_unique_rejects", "update_if_unique_unmatched", "update_if_unique_accepted",
+                 "apply_log", "apply_log_rejects", "get_or_create_dim",
+                 "update_guarded", "update_guarded_parts", "update_guarded_types", "update_guarded_rejects",
+                 "add_machine", "add_machine_parts", "add_machine_types", "reconcile_set", "reconcile_set_counts"):
         out[name] = _q(getattr(upkeep, name))
     return out

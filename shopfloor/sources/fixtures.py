@@ -294,12 +294,14 @@ CHANGES: dict[str, TableSpec] = {
     # that do not exist (reported as unmatched).
     "user_edits": TableSpec("user_edits", (
         Derived("customer", (
+            ("request_no", "c_custkey"),
             ("user_id", "cast(c_custkey as string)"),
             ("first_name", "upper(c_name)"),
             ("last_name", "lower(c_mktsegment)"),
             ("designation", "case when c_acctbal > 5000 then 'Manager' else cast(NULL as string) end"),
         ), "c_mktsegment = 'BUILDING'"),
         Derived("supplier", (
+            ("request_no", "-s_suppkey"),
             ("user_id", "concat('x', cast(s_suppkey as string))"),
             ("first_name", "s_name"),
             ("last_name", "'ghost'"),
@@ -310,6 +312,18 @@ CHANGES: dict[str, TableSpec] = {
     "operator_deletes": TableSpec("operator_deletes", (
         Derived("supplier", (("operator_id", "concat('O', cast(s_suppkey as string))"),),
                 "s_acctbal < 0"),)),
+    # A log of mixed requests on operators: a third of it on one operator.
+    "operator_log": TableSpec("operator_log", (
+        Derived("orders", (
+            ("request_no", "o_orderkey"),
+            ("op", "case when o_orderpriority = '1-URGENT' then 'insert' when o_orderpriority = '2-HIGH' then 'delete' "
+                   "else 'update' end"),
+            ("operator_id", "concat('O', cast(case when o_orderkey % 3 = 0 then 1 else o_custkey % 400 end as string))"),
+            ("operator_name", "concat('Order ', cast(o_orderkey as string))"),
+            ("machine_id", "concat('M', cast(o_custkey as string))"),
+            ("created_by", "o_orderstatus"),
+            ("company_id", "cast(o_custkey % 3 as string)"),
+        )),)),
     # Holiday requests for tenants 3-5; some collide with stored holidays.
     "holiday_requests": TableSpec("holiday_requests", (
         Derived("orders", (
@@ -321,8 +335,18 @@ CHANGES: dict[str, TableSpec] = {
             ("created_by", "cast(o_custkey as string)"),
             ("company_id", "cast(3 + o_custkey % 3 as string)"),
         ), "o_orderpriority = '2-HIGH'"),)),
-    # Every stored holiday of tenant 4 moves one day later.
+    # Every stored holiday of tenant 4 asks to move one day later (most of those
+    # days are taken), then to a far day, then again to the next day, by now free.
     "holiday_moves": TableSpec("holiday_moves", (
+        *(Derived("model:holidays", (
+            ("request_no", f"concat('{wave}', holiday_date)"),
+            ("holiday_id", "holiday_id"),
+            ("holiday_name", f"concat(holiday_name, ' ({wave})')"),
+            ("holiday_date", f"cast(cast(cast(holiday_date as date) + interval {days} day as date) as string)"),
+            ("holiday_image", "cast(NULL as string)"),
+            ("created_by", "created_by"),
+            ("company_id", "company_id"),
+        ), "company_id = '4'") for wave, days in (("y", 4000), ("z", 1))),
         Derived("model:holidays", (
             ("request_no", "holiday_date"),
             ("holiday_id", "holiday_id"),

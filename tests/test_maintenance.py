@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from shopfloor.operators import maintenance as mt
 
 
@@ -31,17 +35,107 @@ def test_insert_if_absent_first_request_wins(spark):
     assert sorted(r["holiday_id"] for r in rejected.collect()) == ["q2", "q3"]
 
 
-def test_update_if_unique_conflict(spark):
-    schema = "holiday_id string, holiday_date string, company_id string"
-    hol = spark.createDataFrame([("h1", "d1", "1"), ("h2", "d2", "1"), ("h4", "d4", "1"), ("h5", "d5", "1")], schema)
-    ch = spark.createDataFrame([(1, "h1", "d2", "1"), (2, "h2", "d3", "1"), (10, "h4", "d9", "1"), (9, "h5", "d9", "1"),
-                                (3, "h9", "d8", "1"), (4, "h2", "d2", "1"), (5, "h2", "d3", "1")], "no int, " + schema)
-    out, rejected, unmatched = mt.update_if_unique(hol, ch, "holiday_id", ["holiday_date", "company_id"], ["holiday_date"], "no")
-    # h1 wants h2's stored day; of h4 and h5 the earlier request (9) wins; h2's last request counts
-    assert {r["holiday_id"]: r["holiday_date"] for r in out.collect()} == {"h1": "d1", "h2": "d3", "h4": "d4", "h5": "d9"}
-    assert sorted(r["holiday_id"] for r in rejected.collect()) == ["h1", "h4"]
-    assert [r["holiday_id"] for r in unmatched.collect()] == ["h9"]
-    assert out.groupBy("holiday_date", "company_id").count().where("count > 1").count() == 0
+SCHEMA = "holiday_id string, holiday_date string, company_id string"
+
+
+def replay(stored, requests):
+    """One request after the other: (table, accepted, rejected, unmatched numbers)."""
+    table, ok, no, nobody = {k: (d, c) for k, d, c in stored}, [], [], []
+    for n, k, d, c in sorted(requests):
+        if k not in table:
+            nobody.append(n)
+        elif d is not None and c is not None and any(v == (d, c) for x, v in table.items() if x != k):
+            no.append(n)
+        else:
+            ok.append(n)
+            table[k] = (d, c)
+    return table, ok, no, nobody
+
+
+def in_order(spark, stored, requests):
+    hol = spark.createDataFrame(stored, SCHEMA)
+    ch = spark.createDataFrame(requests, "no int, " + SCHEMA)
+    out, no, nobody, ok = mt.update_if_unique(hol, ch, "holiday_id", ["holiday_date", "company_id"],
+                                              ["holiday_date", "company_id"], "no")
+    numbers = lambda df: sorted(r["no"] for r in df.collect())
+    return {r["holiday_id"]: (r["holiday_date"], r["company_id"]) for r in out.collect()}, numbers(ok), numbers(no), numbers(nobody)
+
+
+def test_requests_for_unique_values_come_one_after_the_other(spark):
+    stored = [("A", "d1", "1"), ("B", "d2", "1"), ("C", "d3", "1")]
+    requests = [(1, "A", "d5", "1"), (2, "A", "d2", "1"), (3, "C", "d9", "1"), (4, "B", "d3", "1"), (5, "X", "d3", "1")]
+    got = in_order(spark, stored, requests)
+    assert got == replay(stored, requests)
+    assert got[0] == {"A": ("d5", "1"), "B": ("d3", "1"), "C": ("d9", "1")} and got[1:] == ([1, 3, 4], [2], [5])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_requests_for_unique_values(spark, seed):
+    rnd = random.Random(seed)
+    days = [f"d{i}" for i in range(14)]
+    stored = [(f"h{i}", d, "1") for i, d in enumerate(rnd.sample(days, 9))] + [("n1", None, "1"), ("n2", None, "1")]
+    hot = rnd.choice(days)
+    requests = [(n, rnd.choice([f"h{rnd.randint(0, 9)}", "n1"]), hot if n % 3 == 0 else rnd.choice([*days, None]), "1")
+                for n in range(1, 45)]
+    assert in_order(spark, stored, requests) == replay(stored, requests)
+
+
+def test_values_that_several_rows_hold(spark):
+    stored = [("a", "d1", "1"), ("b", "d1", "1"), ("c", "d2", "1"), ("e", "d1", "2")]
+    requests = [(1, "c", "d1", "1"), (2, "a", "d3", "1"), (3, "c", "d1", "1"), (4, "b", "d1", "1"), (5, "b", "d4", "1"),
+                (6, "c", "d1", "1"), (7, "e", "d2", "1"), (8, "a", "d3", "1")]
+    assert in_order(spark, stored, requests) == replay(stored, requests)
+
+
+def test_a_hot_value_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = mt._cut
+    monkeypatch.setattr(mt, "_cut", lambda df: rounds.append(1) or cut(df))
+    stored = [(f"h{i}", f"d{i}", "1") for i in range(200)]
+    requests = [(i, f"h{i}", "hot", "1") for i in range(200)]
+    assert in_order(spark, stored, requests) == replay(stored, requests)
+    assert len(rounds) <= 2 + 4 * 2
+
+
+def test_no_requests(spark):
+    stored = [("a", "d1", "1")]
+    assert in_order(spark, stored, []) == replay(stored, [])
+    assert in_order(spark, [], [(1, "a", "d1", "1")]) == replay([], [(1, "a", "d1", "1")])
+
+
+LOG = "no long, op string, id string, a string, b int"
+
+
+def replay_log(stored, log):
+    table, rejected = {k: (a, b) for k, a, b in stored}, []
+    for n, op, k, a, b in sorted(log):
+        if (k in table) == (op == "insert"):
+            rejected.append(n)
+        elif op == "delete":
+            del table[k]
+        else:
+            table[k] = (a, b)
+    return table, rejected
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_mixed_log_is_applied_in_order(spark, seed, monkeypatch):
+    monkeypatch.setattr(mt, "LOG_BLOCK", 7)
+    rnd = random.Random(seed)
+    stored = [(f"k{i}", "old", i) for i in range(6)]
+    log = [(n, rnd.choice(["insert", "update", "update", "delete"]), "k0" if n % 3 == 0 else f"k{rnd.randint(0, 9)}",
+            rnd.choice([None, f"a{n}"]), n) for n in range(90)]
+    out, rejected = mt.apply_log(spark.createDataFrame(stored, "id string, a string, b int"),
+                                 spark.createDataFrame(log, LOG), "id", "no")
+    assert ({r["id"]: (r["a"], r["b"]) for r in out.collect()}, sorted(r["no"] for r in rejected.collect())) == replay_log(stored, log)
+
+
+def test_an_empty_log(spark):
+    table = spark.createDataFrame([("k", "a", 1)], "id string, a string, b int")
+    out, rejected = mt.apply_log(table, spark.createDataFrame([], LOG), "id", "no")
+    assert out.collect() == table.collect() and rejected.count() == 0
+    out, rejected = mt.apply_log(table.where("false"), spark.createDataFrame([(1, "insert", "q", "x", 2)], LOG), "id", "no")
+    assert [tuple(r) for r in out.collect()] == [("q", "x", 2)] and rejected.count() == 0
 
 
 def test_get_or_create_dim_is_deterministic(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from shopfloor.operators import timeframe
 from shopfloor.params import Params
 from shopfloor.registry import tables_for
@@ -24,8 +26,14 @@ def test_production_idle_caps_and_overlap(spark):
     assert r["total_idle_time"] == 20.0
 
 
-def test_shift_calendar_counts(spark):
+def configured(spark):
+    """The configured shifts and holidays of tenant 1 alone."""
     t = tables_for(spark, SMOKE)
+    return SimpleNamespace(shifts=t.shifts.where("shift_id LIKE 's%'"), holidays=t.holidays.where("holiday_id LIKE 'h%'"))
+
+
+def test_shift_calendar_counts(spark):
+    t = configured(spark)
     p = Params(start="2024-01-01 00:00:00", end="2024-01-30 00:00:00", company="1")
     counts = {r["shift_name"]: r["n"] for r in
               timeframe.shift_calendar(t, p).groupBy("shift_name").count().withColumnRenamed("count", "n").collect()}
@@ -60,8 +68,20 @@ def test_interval_timeframe_is_local_time(spark):
     assert by_day[2]["setup_time"] == 0.0
 
 
-def test_shift_calendar_date_match_applies_iso_holidays(spark):
+def test_given_holidays_remove_given_shifts(spark):
+    """Every tenant's calendar follows its rows in the holiday and shift tables."""
     t = tables_for(spark, SMOKE)
+    whole = timeframe.shift_calendar(t, Params())
+    gone = t.holidays.where("holiday_id = 'n1'").collect()[0]
+    one_less = SimpleNamespace(spark=spark, store=None, device_data=t.device_data, shifts=t.shifts,
+                               holidays=t.holidays.where("holiday_id <> 'n1'"))
+    back = timeframe.shift_calendar(one_less, Params()).exceptAll(whole).collect()
+    assert back and {(r["company_id"], str(r["shift_date"])) for r in back} == {(gone["company_id"], gone["holiday_date"])}
+    assert {r["company_id"] for r in whole.select("company_id").distinct().collect()} == {"0", "1", "2"}
+
+
+def test_shift_calendar_date_match_applies_iso_holidays(spark):
+    t = configured(spark)
     p = Params(start="2024-01-01 00:00:00", end="2024-01-30 00:00:00", company="1", holiday_match="date")
     counts = {r["shift_name"]: r["n"] for r in
               timeframe.shift_calendar(t, p).groupBy("shift_name").count().withColumnRenamed("count", "n").collect()}
