@@ -10,12 +10,12 @@ of every restaurant still sum to one.
 Sampling. Seatings are sampled by Gibbs: a sweep re-seats the customers of
 every dish given the tables of all restaurants after the sweep before, the
 tables of the children are the customers of the parent, and the parent is then
-re-seated. A dish of up to ``EXPLICIT`` customers keeps its seating and
-re-seats customer by customer; of a more frequent dish the number of tables is
-drawn at once, from the mean and variance of sequential seating (its customers
-need no memory). The first ``BURN_IN`` sweeps are dropped and the predictive
-probabilities of the others are averaged. Discounts are estimated from the
-counts, d = n1 / (n1 + 2 n2).
+re-seated given these. A step re-seats a whole dish: its number of tables is
+drawn from the exact conditional distribution, whatever its number of customers
+(see ``Seating``), so no step depends on how the dish was seated before and the
+root needs no memory either. The first ``BURN_IN`` sweeps are dropped and the
+predictive probabilities of the others are averaged. Discounts are estimated from
+the counts, d = n1 / (n1 + 2 n2).
 
 Execution. One shuffle deals all tokens (word, context, document) out by word;
 its files serve every sweep and the scoring. Seatings are never stored: a task
@@ -51,7 +51,8 @@ CONTEXT_BITS = 18
 STRENGTH = 1.0        # of a context restaurant
 ROOT_STRENGTH = 50.0
 SWEEPS, BURN_IN = 3, 1
-EXPLICIT = 64
+TABLED = 64           # customers of a dish up to which Stirling numbers are tabled
+SUMMED = 64           # tables up to which the distribution of a larger dish is summed
 MAX_HOT = 256
 SAMPLE = 1 / 16       # of the rows, to find frequent words
 FLUSH_TOKENS = 1 << 20
@@ -223,81 +224,116 @@ def frequent_words(docs: DataFrame, partitions: int) -> np.ndarray:
 
 # ---- seating -------------------------------------------------------------
 
-def tables_of_many(c: np.ndarray, a: np.ndarray, d: float, normal: np.ndarray) -> np.ndarray:
-    """Numbers of tables of ``c`` customers seated one after another: each opens a
-    table with probability a / (a + i - d t). The sum is drawn by its mean and
-    variance, integrated over geometric steps of i."""
-    t = np.ones(len(c))
-    var = np.zeros(len(c))
-    i = np.ones(len(c))
-    steps = 48
-    ratio = c.astype(float) ** (1 / steps)
-    for _ in range(steps):
-        j = i * ratio
-        p = a / (a + np.maximum((i + j) / 2 - d * t, 1e-9))
-        t += p * (j - i)
-        var += p * (1 - p) * (j - i)
-        i = j
-    return np.clip(np.rint(t + normal * np.sqrt(var)), 1, c).astype(np.int64)
+_MATRIX = 1 << 20  # cells of a block of distributions
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Elementwise, for positive numbers."""
+    up = np.zeros_like(x)
+    x = x.copy()
+    for _ in range(8):  # Stirling's series from 8 on
+        small = x < 8
+        up[small] -= np.log(x[small])
+        x[small] += 1
+    z = 1 / (x * x)
+    return up + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / x
+
+
+def _stirling(d: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S_d(c, t) for c, t up to TABLED."""
+    out = np.full((TABLED + 1, TABLED + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(TABLED + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, TABLED):
+            stay = np.where(t <= c, out[c] + np.log(np.maximum(c - d * t, 0)), -np.inf)
+            out[c + 1] = np.logaddexp(stay, np.concatenate([[-np.inf], out[c, :-1]]))
+    return out
+
+
+_TABLES: dict[float, np.ndarray] = {}
+
+
+def _drawn(log_w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """A column of each row, with probability proportional to exp(log_w)."""
+    w = np.exp(log_w - log_w.max(axis=1, keepdims=True))
+    upto = np.cumsum(w, axis=1)
+    return np.minimum((upto < (u * upto[:, -1])[:, None]).sum(axis=1), log_w.shape[1] - 1)
+
+
+def _tilted(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and variance of the number of tables by the tilted compound Poisson form of
+    the Gibbs partition: the tilt 1 - u solves a (1 - u) u^(d - 1) = c."""
+    lo, hi = np.full(len(c), -700.0), np.full(len(c), -1e-13)
+    want = np.log(c) - np.log(a)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        above = np.log(-np.expm1(mid)) + (d - 1) * mid > want
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    u = np.exp(lo)
+    mean = a / d * (1 - u ** d)
+    return mean, np.maximum(mean - c * u / (u + (1 - u) * (1 - d)), 0), u
+
+
+def _many(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of more than TABLED customers. P(t) is proportional to
+    (a / d)^t / t! times the coefficient of x^c in (1 - (1 - x)^d)^t, a finite sum of
+    t terms, summed where at most SUMMED tables are likely; beyond, the number is
+    drawn from the normal limit (its mean is right to a fifth of its deviation)."""
+    mean, var, u = _tilted(c.astype(float), a, d)
+    sd = np.sqrt(var)
+    # one customer group beyond the tilt takes the rest while u is small
+    t = np.clip(np.rint(mean + (1 - u) ** 2 + sd * rng.standard_normal(len(c))), 1, c).astype(np.int64)
+    draws = rng.random(len(c))
+    few = np.flatnonzero(mean + 2 + 8 * np.sqrt(var + 1) <= SUMMED)
+    k = np.arange(1, SUMMED + 1)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(k))])
+    choose = np.where(k[None, :] <= k[:, None], fact[k][:, None] - fact[k][None, :] - fact[np.maximum(k[:, None] - k[None, :], 0)], -np.inf)
+    signed = np.where(k % 2, 1.0, -1.0) * np.sin(np.pi * d * k)
+    for part in np.array_split(few, max(1, -(-len(few) * SUMMED // _MATRIX))):
+        if not len(part):
+            continue
+        kinds, at = np.unique(c[part], return_inverse=True)
+        x = kinds.astype(float)[:, None]
+        g = signed * np.exp(_log_gamma((d * k + 1.0))[None, :] + _log_gamma(x - d * k) - _log_gamma(x + 1) + np.log(x))
+        with np.errstate(divide="ignore"):
+            coefficient = np.log(np.maximum(g @ np.exp(choose).T, 0))[at]
+        t[part] = 1 + _drawn(k * np.log(a[part] / d)[:, None] - fact[k] + coefficient, draws[part])
+    return t
 
 
 class Seating:
     """Customers of many dishes at tables, a dish's tables apart from others'.
 
-    ``c``: customers per dish. ``t``: its tables. Dishes of 2 to EXPLICIT
-    customers keep a seat (``table`` of each customer, ``sizes`` of tables).
+    ``c``: customers per dish, ``t``: its tables. Given the weight a of a new table,
+    a seating of a dish with t tables has a probability proportional to a^t times the
+    product of its tables' (1 - d)(2 - d)...(size - 1 - d); summed over seatings that is
+    a^t S_d(c, t). A Gibbs step re-seats all customers of a dish at once: it draws t
+    from that distribution, whatever c is (which customer sits where matters to
+    nothing else).
     """
 
     def __init__(self, c: np.ndarray):
-        self.c = c
-        self.t = np.minimum(c, 1).astype(np.int64)
-        few = np.flatnonzero((c >= 2) & (c <= EXPLICIT))
-        self.few = few[np.argsort(-c[few], kind="stable")]
-        self.many = np.flatnonzero(c > EXPLICIT)
-        n = c[self.few].astype(np.int64)
-        self.n = n
-        self.at = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.zeros(0, np.int64)
-        self.table = np.zeros(int(n.sum()), dtype=np.int32)
-        self.sizes = np.zeros(int(n.sum()), dtype=np.int32)
-        self.sizes[self.at] = n
+        self.c = c = np.asarray(c, dtype=np.int64)
+        self.t = np.minimum(c, 1)
+        order = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[order], np.arange(2, TABLED + 2))
+        self.groups = [(k, order[a:z]) for k, a, z in zip(range(2, TABLED + 1), cuts, cuts[1:]) if z > a]
+        self.many = order[cuts[-1]:]
 
     def sweep(self, a: np.ndarray, d: float, rng: np.random.Generator) -> None:
-        """Re-seat every customer once; ``a``: weight of a new table per dish."""
+        """Re-seat every dish once; ``a``: weight of a new table per dish."""
+        if d not in _TABLES:
+            _TABLES.clear()
+            _TABLES[d] = _stirling(d)
+        log_s, log_a = _TABLES[d], np.log(a)  # draws go to dishes of two customers or more
+        for k, dishes in self.groups:
+            t = np.arange(1, k + 1)
+            for lo in range(0, len(dishes), max(1, _MATRIX // k)):
+                o = dishes[lo:lo + max(1, _MATRIX // k)]
+                self.t[o] = 1 + _drawn(log_s[k, 1:k + 1] + t * log_a[o][:, None], rng.random(len(o)))
         if len(self.many):
-            self.t[self.many] = tables_of_many(self.c[self.many], a[self.many], d,
-                                               rng.standard_normal(len(self.many)))
-        few, n, at, table, sizes = self.few, self.n, self.at, self.table, self.sizes
-        if not len(few):
-            return
-        t = self.t[few].copy()
-        new_weight = a[few]
-        for r in range(int(n[0])):
-            m = int(np.searchsorted(-n, -r, side="left"))  # dishes of more than r customers
-            o, nm = at[:m], n[:m]
-            k = table[o + r]
-            sizes[o + k] -= 1
-            t[:m] -= sizes[o + k] == 0
-            fresh = rng.random(m) * (new_weight[:m] + nm - 1 - d * t[:m]) < new_weight[:m]
-            fresh |= t[:m] == 0
-            # the table of a random other customer, accepted with (size - d) / size
-            todo = np.flatnonzero(~fresh)
-            while len(todo):
-                other = (r + 1 + (rng.random(len(todo)) * (nm[todo] - 1)).astype(np.int64)) % nm[todo]
-                k2 = table[o[todo] + other]
-                size = sizes[o[todo] + k2]
-                ok = rng.random(len(todo)) * size < size - d
-                k[todo[ok]] = k2[ok]
-                todo = todo[~ok]
-            todo = np.flatnonzero(fresh)
-            spot = k[todo].copy()  # the next free slot from the old one on
-            while len(todo):
-                taken = sizes[o[todo] + spot] > 0
-                k[todo[~taken]] = spot[~taken]
-                todo, spot = todo[taken], (spot[taken] + 1) % nm[todo[taken]]
-            table[o + r] = k
-            sizes[o + k] += 1
-            t[:m] += fresh
-        self.t[few] = t
+            self.t[self.many] = _many(self.c[self.many], a[self.many], d, rng)
 
 
 # ---- shared numbers ------------------------------------------------------

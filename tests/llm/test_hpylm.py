@@ -98,36 +98,110 @@ def test_results_do_not_depend_on_where_frequent_words_go(spark, monkeypatch):
     assert math.isclose(*total, rel_tol=0.01)  # other random seats, the same model
 
 
-def test_seating_sampler_matches_the_exact_distribution():
-    """Tables of one dish of 6 customers: P(t) is proportional to the generalised
-    Stirling number of (6, t) times the product of new-table weights."""
-    c, d, a = 6, 0.6, 0.9
-    stirling = [[1.0]]
+def tables_of(c, a, d, most=400):
+    """The exact distribution of the number of tables: P(t) is proportional to the
+    generalised Stirling number of (c, t) times a^t."""
+    most = min(c, most)
+    s = np.full(most + 1, -np.inf)
+    s[1] = 0.0
+    t = np.arange(most + 1)
     for n in range(1, c):
-        row = [0.0] * (n + 1)
-        for t in range(n):
-            row[t] += stirling[-1][t] * (n - d * (t + 1))
-            row[t + 1] += stirling[-1][t]
-        stirling.append(row)
-    w = np.array([stirling[-1][t] * a ** (t + 1) for t in range(c)])
-    rng = np.random.default_rng(4)
-    s = hpylm.Seating(np.full(20000, c))
-    for _ in range(30):
-        s.sweep(np.full(20000, a), d, rng)
-    got = np.bincount(s.t, minlength=c + 1)[1:] / 20000
-    assert np.abs(got - w / w.sum()).max() < 0.015
-    sizes = np.add.reduceat(s.sizes, s.at)
-    assert (sizes == c).all() and (np.add.reduceat((s.sizes > 0).astype(int), s.at) == s.t[s.few]).all()
-
-
-def test_bulk_seating_is_close_to_one_by_one():
-    rng = np.random.default_rng(8)
-    c, a, d = 300, 2.0, 0.5
-    t = np.ones(3000)
-    for i in range(1, c):
-        t += rng.random(3000) < a / (a + i - d * t)
-    bulk = hpylm.tables_of_many(np.full(3000, c), np.full(3000, a), d, rng.standard_normal(3000))
-    assert abs(bulk.mean() - t.mean()) < 0.05 * t.mean() and abs(bulk.std() - t.std()) < 0.2 * t.std()
+        with np.errstate(divide="ignore"):
+            stay = s + np.log(np.maximum(n - d * t, 0))
+        s = np.logaddexp(stay, np.concatenate([[-np.inf], s[:-1]]))
+    w = s + t * math.log(a)
+    w = np.exp(w - w[1:].max())
+    return w / w.sum()
+
+
+@pytest.mark.parametrize("c, a, d", [(2, 0.1, 0.5), (6, 0.9, 0.6), (20, 3.0, 0.8), (63, 5, 0.75), (64, 5, 0.75), (65, 5, 0.75),
+                                     (65, 0.01, 0.3), (65, 5, 0.3), (1000, 5, 0.75), (1000, 0.5, 0.9), (4000, 4, 0.5)])
+def test_seating_matches_the_exact_distribution(c, a, d):
+    want, n = tables_of(c, a, d), 20_000
+    s = hpylm.Seating(np.full(n, c))
+    s.sweep(np.full(n, float(a)), d, np.random.default_rng(4))
+    got = np.bincount(s.t, minlength=len(want))[:len(want)] / n
+    assert np.abs(got - want).max() < 0.015 and abs(got @ np.arange(len(got)) - want @ np.arange(len(want))) < 0.1
+
+
+@pytest.mark.parametrize("c, a, d", [(65, 50, 0.5), (200, 500, 0.3), (1000, 50, 0.5), (1000, 50, 0.75), (1000, 200, 0.9)])
+def test_seating_of_many_tables(c, a, d):
+    want, n = tables_of(c, a, d, 1000), 20_000
+    s = hpylm.Seating(np.full(n, c))
+    s.sweep(np.full(n, float(a)), d, np.random.default_rng(4))
+    t = np.arange(len(want))
+    mean = want @ t
+    sd = math.sqrt(want @ t**2 - mean**2)
+    assert abs(s.t.mean() - mean) < 0.2 * sd and abs(s.t.std() - sd) < 0.1 * sd and s.t.min() >= 1 and s.t.max() <= c
+
+
+def test_a_sweep_seats_every_dish():
+    c = np.array([0, 1, 2, 64, 65, 300, 10**7, 1, 5])
+    s = hpylm.Seating(c)
+    for a in (1e-9, 1.0, 1e6):
+        s.sweep(np.full(len(c), a), 0.7, np.random.default_rng(1))
+        assert (s.t <= c).all() and (s.t >= np.minimum(c, 1)).all()
+    assert s.t[2] == 2 and s.t[4] > 60  # a huge weight seats apart
+
+
+def test_scores_of_a_tiny_corpus_match_one_customer_at_a_time(spark, monkeypatch):
+    """Brute force: a plain Chinese restaurant franchise, seated customer by customer."""
+    docs = [(i, t) for i, t in enumerate(["a b a b c", "a b", "b a a", "c a b a"] * 6, 1)]
+    train = [words(t) for i, t in docs if not held(i)]
+    vocab = sorted({w for x in train for w in x}, key=str)
+    pairs = collections.Counter((x[k - 1] if k else "<s>", w) for x in train for k, w in enumerate(x))
+    monkeypatch.setattr(hpylm, "SWEEPS", 40)
+    model = hpylm.HpyLanguageModel(documents(spark, docs))
+    s = model.shared
+    rng = np.random.default_rng(3)
+    tables = {k: [n] for k, n in pairs.items()}  # sizes of the tables of each (context, word)
+    root = {w: [sum(1 for k in pairs if k[1] == w)] for w in vocab}
+
+    def parent(w):
+        total, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        own = root.get(w, [])
+        return ((sum(own) - s.d0 * len(own)) + (hpylm.ROOT_STRENGTH + s.d0 * t) / (s.v + 1)) / (hpylm.ROOT_STRENGTH + total)
+
+    def reseat(sizes, fresh, d):
+        """One customer leaves a random seat and sits down again; True, False: a table opened, closed."""
+        k = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[k] -= 1
+        closed = sizes[k] == 0
+        if closed:
+            del sizes[k]
+        w = np.array([x - d for x in sizes] + [fresh()])
+        k = rng.choice(len(w), p=w / w.sum())
+        if k == len(sizes):
+            sizes.append(1)
+            return (True, closed)
+        sizes[k] += 1
+        return (False, closed)
+
+    total, used = collections.Counter(), 0
+    for sweep in range(400):
+        for (ctx, w), sizes in tables.items():
+            for _ in range(sum(sizes)):
+                in_ctx = sum(len(v) for (c2, _), v in tables.items() if c2 == ctx)
+                reseat(sizes, lambda: (hpylm.STRENGTH + s.d * in_ctx) * parent(w), s.d)
+        for w in root:
+            n = sum(len(v) for (_, w2), v in tables.items() if w2 == w)
+            have = sum(root[w])
+            root[w] = root[w] if n == have else [n]
+            for _ in range(3 * n):
+                t = sum(map(len, root.values()))
+                reseat(root[w], lambda: (hpylm.ROOT_STRENGTH + s.d0 * t) / (s.v + 1), s.d0)
+        if sweep >= 40:
+            used += 1
+            for ctx, w in pairs:
+                n = sum(c for (c2, _), c in pairs.items() if c2 == ctx)
+                t = sum(len(v) for (c2, _), v in tables.items() if c2 == ctx)
+                own = tables[ctx, w]
+                total[ctx, w] += (sum(own) - s.d * len(own) + (hpylm.STRENGTH + s.d * t) * parent(w)) / (hpylm.STRENGTH + n)
+    want = {i: sum(math.log10(total[x[k - 1] if k else "<s>", w] / used) for k, w in enumerate(x))
+            for i, x in ((i, words(t)) for i, t in docs) if all((x[k - 1] if k else "<s>", w) in pairs for k, w in enumerate(x))}
+    got = {r.doc_id: r.score for r in model.score().collect()}
+    assert len(want) > 10
+    assert all(math.isclose(got[i], v, rel_tol=0.05, abs_tol=0.05) for i, v in want.items()), (got, want)
 
 
 def test_defined_cases(spark):
