@@ -23,8 +23,8 @@ other rows, and no group is gathered.
 Defined cases: null text counts as empty; texts without words have an empty
 set and link with nothing; fewer than five words make one shingle; equal sets
 are linked; rows that repeat a doc_id are rows of the same id; a null doc_id
-is ignored as a component's name unless all are null; an empty table gives no
-rows; columns other than doc_id and text are not read.
+is ignored as a component's name unless all are null, and then one text of the
+component is kept; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -436,12 +436,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Names per node, in a table of their own: the join of all rows is then one
     # of two exchanges, whose crowded partitions Spark can split.
     own = nodes.select("node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    top = own.groupBy("root").agg(F.min("rep").alias("name"))
-    names = common.written(own.join(top, "root").select("node", "name"), "names")
+    top = own.groupBy("root").agg(F.min("rep").alias("name"), F.min("node").alias("head"))
+    names = common.written(own.join(top, "root").select("node", "name", "head"), "names")
     out = rows.select("doc_id", "n_shingles", "node", "text_hash").join(names, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("name").isNotNull(), F.col("name")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    # of a component without any id one text stays
+    first_text = F.col("name").isNotNull() | F.col("head").isNull() | (F.col("node") == F.col("head"))
+    kept = F.col("doc_id").eqNullSafe(component) & ((F.col("n_shingles") == 0) | first_text)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

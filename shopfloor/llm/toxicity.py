@@ -16,7 +16,8 @@ Defined cases: a null text counts as empty; a text without words has the score
 of the bias alone; rows whose label is null are not learned from; a repeated
 doc_id in the labels counts each row; without both classes in the sample the
 score is the sample's share of label 1 (0.5 if there is no sample); repeated
-documents are scored alike; columns other than doc_id and text are not read.
+documents are scored alike; a null doc_id is held out and its label not learned
+from; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -168,7 +169,8 @@ def train(texts: Iterable[bytes], labels, seed: int = 7) -> Model:
 
 
 def fold(doc_id) -> "F.Column":
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+    """A null id reads as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

@@ -157,3 +157,15 @@ def test_near_copies_of_a_null_id(spark):
             (9, " ".join([f"r{k}" for k in range(10)] + w[10:-10] + [f"p{k}" for k in range(10)]))]
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
     assert got == {7: (7, True), None: (7, False), 9: (7, False)}
+
+
+def test_near_copies_whose_ids_are_all_null(spark):
+    """One text of the component stays; texts of null ids apart from it all stay."""
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-2], "y", "z"])
+    df = documents(spark, [(None, a), (None, b), (None, c), (None, "something else that is long enough"), (None, ""), (None, None)])
+    got = near_dup.near_duplicates(df).collect()
+    assert sorted(r.kept for r in got if r.n_shingles > 50) == [False, False, True]
+    assert all(r.kept for r in got if r.n_shingles < 50)
+    kept = [r.text for r in near_dup.distinct_documents(df).collect()]
+    assert len(kept) == 4 and sum(t in (a, b, c) for t in kept) == 1

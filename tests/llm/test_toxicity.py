@@ -76,3 +76,10 @@ def test_held_out_rows_are_not_learned_from(spark):
     schema = "doc_id long, quality int, toxic int"
     a, b = (toxicity.fit(docs, spark.createDataFrame(x, schema)) for x in (labels, flipped))
     assert np.array_equal(a.logit, b.logit) and a.bias == b.bias
+
+
+def test_a_null_id_is_held_out(spark):
+    """As everywhere, a null id reads as the empty text, whose crc32 is 0."""
+    from pyspark.sql import functions as F
+    rows = documents(spark, [(None, "a"), (1, "b")]).select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("h")).collect()
+    assert {r.doc_id: r.h for r in rows}[None] is True and all(r.h is not None for r in rows)
