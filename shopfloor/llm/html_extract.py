@@ -1,10 +1,13 @@
 """Main text of web pages by a site style tree.
 
 1. Every page is parsed into a tree. An element's style path is the chain of
-   tags, classes and roles from the root to it; elements of one path in one
-   page are one node.
+   tags, classes and roles from the root to it, and for containers (div, section,
+   table, list, ...) their place among siblings of one style, so that a menu and
+   an article in two plain divs are two nodes; elements of one path in one page
+   are one node.
 2. The trees of a host are merged by style path. A node's presentation is the
-   set of its child styles, its content the text below it; each has an entropy
+   sequence of its children's styles (repeats in a row count once), its content
+   the text below it; each has an entropy
    over the host's distinct pages, relative to log(pages): 0 if all pages
    agree, 1 if all differ. Importance = PRESENTATION * presentation entropy
    + (1 - PRESENTATION) * content entropy. Nodes on at least MIN_PAGES distinct
@@ -25,6 +28,9 @@ Merging is a grouping by (host, path, value) with partial counts, so a host of
 a third of all pages is as good as many; what comes back to a page is the list
 of its host's low-importance paths.
 
+Without an article the tree alone tells menus from texts: an element is as
+important as the most varied part below it, since its content is all its text.
+
 Defined cases: null html is an empty page with an empty text; a null url is
 the empty host; pages of one text on a host count once, whatever their scripts,
 titles and comments; pages that repeat a
@@ -48,7 +54,8 @@ MIN_PAGES = 5
 LOW = 0.3
 PRESENTATION = 0.1
 LINK_SHARE = 0.6
-BROADCAST_HOSTS = 100_000
+BROADCAST_BYTES = 32 << 20  # of the hosts' lists, names and paths; longer lists are joined by a shuffle
+PLACES = 8          # places among equal siblings that are told apart; later ones share the last
 
 NEVER = frozenset("script style noscript template iframe object embed svg math canvas audio video nav footer aside "
                   "form button select option textarea input label fieldset dialog menu head title map applet".split())
@@ -57,6 +64,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
                   "summary table tbody tfoot thead tr ul caption title".split())
+PLACED = frozenset("address article aside blockquote center details div dl fieldset figure footer form header main menu nav "
+                   "ol section table ul".split())
 CLOSES_P = BLOCK - {"body", "html", "title", "tbody", "tfoot", "thead", "tr", "caption", "legend"}
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd", ("dl",)), "dd": ("dd", ("dl",)),
             "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table")),
@@ -93,6 +102,8 @@ class Node:
     noise: bool = False          # by tag, name or style
     article: bool = False        # is one or holds one
     inside: bool = False         # is in an article
+    style: str = ""              # class and role
+    kinds: dict | None = None    # containers so far by (tag, style)
     parts: list = field(default_factory=list)  # texts and child nodes in order
 
 
@@ -187,7 +198,13 @@ def parse(page: str) -> Node:
                 noise = (noise or "hidden" in got or got.get("aria-hidden") == "true"
                          or bool(HIDDEN.search(got.get("style", "")))
                          or tag not in ("html", "body") and bool(NOISE.search(names)))
-        n = Node(tag, top, _known_path(top.path, tag, style), noise)
+        own = style
+        if tag in PLACED:
+            top.kinds = top.kinds or {}
+            k = top.kinds[tag, style] = top.kinds.get((tag, style), -1) + 1
+            own = f"{style} #{min(k, PLACES - 1)}"
+        n = Node(tag, top, _known_path(top.path, tag, own), noise)
+        n.style = style
         n.inside = top.inside or top.tag in ("article", "main")
         if tag == "header":
             n.noise = n.noise or not n.inside
@@ -215,7 +232,7 @@ def parse(page: str) -> Node:
 def style_nodes(page: str | Node) -> dict[int, tuple[int, int]]:
     """Per style path of the page (or its tree): (presentation, content) as hashes."""
     root = parse(page) if isinstance(page, str) else page
-    children: dict[int, set[str]] = {}
+    children: dict[int, list[str]] = {}
     content: dict[int, list[str]] = {}
     # postorder, each node's text passed up once
     order, stack = [], [root]
@@ -228,9 +245,10 @@ def style_nodes(page: str | Node) -> dict[int, tuple[int, int]]:
         own = [x if isinstance(x, str) else digest.get(id(x), 0) for x in n.parts]
         own = [" ".join(x.split()) if isinstance(x, str) else x for x in own]
         digest[id(n)] = _stable(repr([x for x in own if x])) if n.tag not in RAW else 0
-        children.setdefault(n.path, set()).update(x.tag for x in n.parts if isinstance(x, Node))
+        styles = [f"{x.tag} {x.style}" for x in n.parts if isinstance(x, Node)]
+        children.setdefault(n.path, []).extend(x for k, x in enumerate(styles) if not k or x != styles[k - 1])
         content.setdefault(n.path, []).append(str(digest[id(n)]))
-    return {p: (_stable(",".join(sorted(children[p]))), _stable(" ".join(content[p]))) for p in children if p}
+    return {p: (_stable(",".join(children[p])), _stable(" ".join(content[p]))) for p in children if p}
 
 
 def _stable(s: str) -> int:
@@ -374,7 +392,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of ``pages(page_id, url, html)``."""
     p = pages.select("page_id", "url", common.text_or_empty("html").alias("html"), host(F.col("url")).alias("host"))
     low = common.written(low_importance(p.select("host", "html")), "style-tree")
-    if low.count() <= BROADCAST_HOSTS:  # a host's list holds the few noisy branches of its template
+    held = low.agg(F.sum(F.octet_length("host") + 8 * F.size("low") + 64)).first()[0] or 0
+    if held <= BROADCAST_BYTES:  # a host's list holds the few noisy branches of its template
         low = F.broadcast(low)
 
     def run(batches):

@@ -101,3 +101,66 @@ def test_defined_cases(spark):
     assert got[1, None] == "" and got[2, "not a url"] == "x" and got[3, "http://e/"] == "" and got[None, "http://e/"] == "y"
     assert got[4, "http://f/"] == "deep" and len(got[5, "http://f/"]) == 499_999
     assert run(spark, []) == {}
+
+
+def plain_page(k, own, extra=""):
+    """No article, no class or id that tells anything: menus and texts in plain containers."""
+    return (f"<html><body><div><div>Home</div><div>News of the day</div></div>{extra}<div><p>{own}</p><p>More on {k}.</p></div>"
+            f"<table><tr><td>Our other sites</td><td>Terms of use</td></tr></table></body></html>")
+
+
+def test_plain_containers_are_told_apart_by_the_tree(spark):
+    own = [f"Page {k} says something of its own, at some length: {'word ' * (k % 5 + 3)}{k}." for k in range(12)]
+    rows = [(k, f"http://p.org/{k}", plain_page(k, own[k])) for k in range(12)]
+    got = run(spark, rows)
+    assert all(got[k, f"http://p.org/{k}"] == f"{own[k]}\n\nMore on {k}." for k in range(12))
+    # the same page alone on its host keeps everything
+    alone = run(spark, [(1, "http://q.org/1", plain_page(1, own[1]))])[1, "http://q.org/1"]
+    assert alone.startswith("Home") and alone.endswith("Terms of use")
+
+
+def brute_low(pages):
+    """Importance of every style path of a host, by the definition."""
+    import math
+    from collections import Counter, defaultdict
+    seen = {}
+    for page in pages:
+        tree = html_extract.parse(page)
+        copy = html_extract.page_text(tree)
+        for path, (a, c) in html_extract.style_nodes(page).items():
+            old = seen.get((path, copy))
+            seen[path, copy] = (a, c) if old is None else (min(a, old[0]), min(c, old[1]))
+    values = defaultdict(list)
+    for (path, _), v in seen.items():
+        values[path].append(v)
+
+    def entropy(xs):
+        return -sum(n / len(xs) * math.log(n / len(xs)) for n in Counter(xs).values()) / math.log(len(xs))
+
+    return {path for path, v in values.items() if len(v) >= html_extract.MIN_PAGES
+            and html_extract.PRESENTATION * entropy([a for a, _ in v])
+            + (1 - html_extract.PRESENTATION) * entropy([c for _, c in v]) < html_extract.LOW}
+
+
+def test_low_importance_matches_the_definition(spark):
+    hosts = {"a": [plain_page(k % 7, f"Text {k % 7}", "<section>ad</section>" * (k % 3)) for k in range(20)],
+             "b": [page(k, "<ul><li>one</li><li>two</li></ul>" if k % 2 else "<ul><li>one</li></ul>") for k in range(9)],
+             "c": [page(k) for k in range(4)]}
+    df = spark.createDataFrame([(h, p) for h, ps in hosts.items() for p in ps], "host string, html string")
+    got = {r.host: set(r.low) for r in html_extract.low_importance(df).collect()}
+    want = {h: brute_low(ps) for h, ps in hosts.items()}
+    assert got == {h: low for h, low in want.items() if low} and got["a"] and got["b"]
+
+
+def test_paths_tell_places_and_styles_apart():
+    def paths(page):
+        out, stack = [], [html_extract.parse(page)]
+        while stack:
+            n = stack.pop(0)
+            out.append(n.path)
+            stack = [x for x in n.parts if not isinstance(x, str)] + stack
+        return out[1:]
+
+    assert len(set(paths("<div>a</div><div>b</div><div class=x>c</div><div>d</div>"))) == 4
+    assert len(set(paths("<p>a</p><p>b</p><p class=x>c</p>"))) == 2
+    assert len(set(paths("<div>a</div>" * 20))) == html_extract.PLACES
