@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from shopfloor.session import checkpoint_dir
+from shopfloor.session import written
 
 
 def _present(df: DataFrame, name: str) -> Column:
@@ -102,10 +102,8 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, unique: Sequence[str], o
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A written copy in the shared checkpoint folder: an executor lost in a later
-    round repeats nothing of the earlier ones."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The state of a round is written, so later rounds repeat nothing of it."""
+    return written(df, "requests")
 
 
 def _other_holder(holders: DataFrame, requests: DataFrame, value: str, key: str, nxt: str) -> DataFrame:

@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shopfloor.operators import alarms, catalog, oee, overview, production, status, timeframe, upkeep
+from shopfloor.operators import (alarms, catalog, maintenance, oee, overview, production, snapshot, status, timeframe,
+                                 upkeep)
 from shopfloor.params import DEFAULT, Params
 from shopfloor.session import checkpoint_dir
+from shopfloor.sources import dimensions
 from shopfloor.sources.fixtures import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,13 +68,52 @@ def _from_rollup(fn, *args) -> Query:
         minutes of the second batch are already stored."""
         raw = tables_for(spark, sf_dir).device_data
         late = F.pmod(F.xxhash64("data"), F.lit(3)) == 0
-        path = f"{checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
+        path = _scratch(spark, "rollup")
         oee.append_rollup(raw.where(~late), raw.where(~late), path, 1)
         oee.append_rollup(raw.where(late), raw, path, 2)
         return fn(tables_for(spark, sf_dir, rollup=path), DEFAULT, *args)
     return run
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(table: str, change) -> Query:
+    """A maintenance job as a write: the table is stored, the batch applied twice, and
+    what is stored then is read."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables_for(spark, sf_dir)
+        path = _scratch(spark, table)
+        dimensions.publish(getattr(t, table), path, 0)
+        for _ in range(2):
+            dimensions.apply(spark, path, 1, lambda old: change(t, old))
+        return dimensions.read(spark, path)
+    return run
+
+
+def _append(t: Tables, old: DataFrame) -> DataFrame:
+    return maintenance.append_validated(old, t.support_requests, upkeep.REQUEST_REQUIRED)[0]
+
+
+def _update(t: Tables, old: DataFrame) -> DataFrame:
+    return maintenance.update_by_key(old, t.user_edits, "user_id", upkeep.USER_EDIT_COLUMNS, order="request_no")[0]
+
+
+def _delete(t: Tables, old: DataFrame) -> DataFrame:
+    return maintenance.delete_by_key(old, t.operator_deletes, "operator_id")
+
+
+def _from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status from a snapshot that got the readings in three batches, newest first."""
+    t = tables_for(spark, sf_dir)
+    path = _scratch(spark, "snapshot")
+    part = F.pmod(F.xxhash64("data"), F.lit(3))
+    for number in (1, 2, 3):
+        snapshot.add(spark, path, number, t.device_data.where(part == 3 - number))
+    return snapshot.machine_status_latest(t, DEFAULT, path)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "availability": _q(oee.availability),
@@ -118,6 +159,10 @@ def queries() -> dict[str, Query]:
     for name, fn in SCOPED.items():
         out[f"{name}_tenant"] = _q(fn, params=TENANT)
         out[f"{name}_machine"] = _q(fn, params=MACHINE)
+    out["stored_append"] = _stored("customer_support", _append)
+    out["stored_update"] = _stored("user_info", _update)
+    out["stored_delete"] = _stored("operators", _delete)
+    out["snapshot_status_latest"] = _from_snapshot
     out["machine_complete_nested"] = _q(overview.machine_complete_nested)
     out["machine_catalog_json"] = _q(catalog.machine_catalog_json)
     for name in ("append_validated", "append_rejects", "update_by_key", "update_unmatched",

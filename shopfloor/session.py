@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query relies on: wall-clock timestamps are NTZ and compared
 # in UTC, ANSI casts fail loudly on bad payload text (as the reference's
@@ -75,6 +76,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet copy in the shared checkpoint folder: its lineage ends
+    there, so an executor lost later repeats nothing of what made it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 MB = 1024 * 1024
 
 
