@@ -20,6 +20,10 @@ BASE_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     # A payload that repeats a key keeps the last value, as jsonb does.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Stored payloads: a Parquet column per key, of which a query reads its own.
+    "spark.sql.variant.writeShredding.enabled": "true",
+    "spark.sql.variant.inferShreddingSchema": "true",
+    "spark.sql.variant.pushVariantIntoScan": "true",
 }
 
 # Static settings (only honoured when the session is created).

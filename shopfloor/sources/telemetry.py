@@ -102,9 +102,10 @@ def payload_map(device_data: DataFrame) -> DataFrame:
 
 def _flags_and_texts(parsed: DataFrame) -> DataFrame:
     """What a reading says, uncast: key-existence flags, text values, the map."""
+    stored = "seq_bucket" in parsed.columns
     return parsed.select(
         "deviceuid", "ts",
-        trunc_ntz(SEQ_UNIT, F.col("ts")).alias("seq_bucket"),
+        F.col("seq_bucket") if stored else trunc_ntz(SEQ_UNIT, F.col("ts")).alias("seq_bucket"),
         *[has(key).alias(name) for name, key in FLAGS.items()],
         *[value(key).alias(name) for name, key in TEXTS.items()],
         F.col("payload").cast(MAP_TYPE).alias("payload_map"),
@@ -119,7 +120,7 @@ TEXTS = {"mc_text": MC_STATUS, "act_speed_text": ACT_SPEED, "target_speed_text":
 NUMBERS = {"mc_status": "mc_text", "act_speed": "act_speed_text", "target_speed": "target_speed_text",
            "line_speed": "line_speed_text", "diameter": "diameter_text",
            "month_production": "month_production_text"}
-STORED_COLUMNS = ("deviceuid", "ts", "seq_bucket", *FLAGS, *TEXTS, "payload_map")
+STORED_COLUMNS = ("deviceuid", "ts", "seq_bucket", "payload")
 TYPED_COLUMNS = ("deviceuid", "ts", "seq_bucket", *FLAGS, "mc_text", "bobbin", *NUMBERS, "payload_map")
 
 
@@ -149,6 +150,10 @@ def ingest(device_data: DataFrame, path: str, name: str, buckets: int, mode: str
       superset of the bucket columns, so queries read the big side already
       co-located and never shuffle it; bucketing on the pair, not on the
       device alone, spreads a hot device over all buckets;
+    * the payload is a VARIANT that Spark shreds into a Parquet column per key it
+      finds in a file (keys that are rare or of mixed types stay in the residue), and
+      a query's paths are pushed into the scan: ``availability`` reads the status
+      alone, and keys that no query knew at ingest time still answer;
     * a time range prunes whole months by partition and row groups inside
       a month by the ``ts`` statistics (files are sorted by ``ts``).  Months,
       not days: with thousands of buckets, daily partitions would explode
@@ -158,7 +163,7 @@ def ingest(device_data: DataFrame, path: str, name: str, buckets: int, mode: str
     ``buckets`` (see ``bucket_count``).
     """
     good = device_data.where(F.col("data").isNull() | F.try_parse_json(F.col("data")).isNotNull())
-    (_flags_and_texts(parse(good)).select(*STORED_COLUMNS)
+    (parse(good).withColumn("seq_bucket", trunc_ntz(SEQ_UNIT, F.col("ts"))).select(*STORED_COLUMNS)
      .withColumn("event_month", F.trunc(F.col("ts"), "month"))
      .repartition(buckets, "deviceuid", "seq_bucket")
      .write.mode(mode).partitionBy("event_month")
@@ -185,7 +190,7 @@ def _store(tables) -> DataFrame | None:
 def typed_all(tables) -> DataFrame:
     """Typed telemetry over all time: the caller's store, or parsed in the plan."""
     st = _store(tables)
-    return typed(parse(tables.device_data)) if st is None else _numbers(st).select(*TYPED_COLUMNS)
+    return typed(parse(tables.device_data) if st is None else st)
 
 
 def latest_ts(tables) -> Column:
@@ -207,8 +212,7 @@ def typed_since(tables, since: Column) -> DataFrame:
     st = _store(tables)
     if st is None:
         return typed(parse(tables.device_data.where(F.col("timestamp") >= since)))
-    st = st.where((F.col("event_month") >= F.trunc(since, "month")) & (F.col("ts") >= since))
-    return _numbers(st).select(*TYPED_COLUMNS)
+    return typed(st.where((F.col("event_month") >= F.trunc(since, "month")) & (F.col("ts") >= since)))
 
 
 def bounds(tables, params: Params) -> tuple[Column, Column]:
@@ -233,7 +237,7 @@ def typed_in_range(tables, params: Params) -> DataFrame:
         st = st.where(F.col("event_month") >= F.trunc(F.to_timestamp_ntz(F.lit(params.start)), "month"))
     if params.end is not None:
         st = st.where(F.col("event_month") <= F.trunc(F.to_timestamp_ntz(F.lit(params.end)), "month"))
-    return _numbers(_within(st, params, "ts")).select(*TYPED_COLUMNS)
+    return typed(_within(st, params, "ts"))
 
 
 def typed_in_days(tables, params: Params) -> DataFrame:

@@ -42,6 +42,31 @@ def test_store_is_bucketed_and_skips_shuffles(spark, store):
     assert "Bucketed: true" in plan or "bucketed" in plan.lower()
 
 
+def test_a_query_reads_its_own_keys_alone(spark, store):
+    """The payload's keys are Parquet columns; the scan's schema holds the paths of the query."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    t = tables_for(spark, SMOKE, store)
+    scan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+    assert scan(oee.availability(t, DEFAULT)).count("payload:struct<0:variant,1:string>") == 1
+    assert "payload:struct<" in scan(oee.actual_weight(t, DEFAULT)) and "variant,metadata" not in scan(oee.actual_weight(t, DEFAULT))
+    rare = spark.table(store).select(tm.value("M_DT_7").alias("v"), tm.value("Never Sent").alias("w"), tm.has("Never Sent").alias("h"))
+    assert {(r.v, r.w, r.h) for r in rare.distinct().collect()} == {("0", None, False), ("1", None, False)}
+
+
+def test_null_and_missing_keys_stay_apart_in_the_store(spark, tmp_path):
+    name = f"nulls_{uuid.uuid4().hex}"
+    rows = [("1", "2024-01-02 00:00:00", '{"MC_STATUS":null,"LINE_SPEED":1.50}'), ("2", "2024-01-02 00:00:00", '{"LINE_SPEED":"x"}'),
+            ("3", "2024-01-02 00:00:00", '{"MC_STATUS":"1","LINE_SPEED":7}'), ("4", "2024-01-02 00:00:00", "{}")]
+    raw = device_rows(spark, rows)
+    tm.ingest(raw, str(tmp_path / "nulls"), name, 2)
+    cols = ["deviceuid", "has_mc", "mc_text", "has_line_speed", tm.value("LINE_SPEED").alias("speed")]
+    want = tm.parse(raw).select("deviceuid", tm.has("MC_STATUS").alias("has_mc"), tm.value("MC_STATUS").alias("mc_text"),
+                                tm.has("LINE_SPEED").alias("has_line_speed"), cols[-1])
+    got = spark.table(name).select("deviceuid", tm.has("MC_STATUS").alias("has_mc"), tm.value("MC_STATUS").alias("mc_text"),
+                                   tm.has("LINE_SPEED").alias("has_line_speed"), cols[-1])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_building_a_query_runs_nothing(spark):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     oee.oee_company(tables_for(spark, SMOKE), DEFAULT)
@@ -65,9 +90,9 @@ def test_store_append_per_batch_equals_one_shot(spark, store, tmp_path):
     inc = f"inc_{uuid.uuid4().hex}"
     tm.ingest(dd.where(F.col("timestamp") < cut), str(tmp_path / "inc"), inc, 4)
     tm.ingest(dd.where(F.col("timestamp") >= cut), str(tmp_path / "inc"), inc, 4)
-    cols = ["deviceuid", "ts", "mc_text", "line_speed_text", "bobbin", "event_month"]
-    a = sorted(map(repr, spark.table(store).select(*cols).collect()))
-    b = sorted(map(repr, spark.table(inc).select(*cols).collect()))
+    cols = ["deviceuid", "ts", "mc_text", "line_speed", "bobbin", "has_mc"]
+    a = sorted(map(repr, tm.typed_all(tables_for(spark, SMOKE, store)).select(*cols).collect()))
+    b = sorted(map(repr, tm.typed_all(tables_for(spark, SMOKE, inc)).select(*cols).collect()))
     assert a == b and len(a) == dd.count()
 
 
