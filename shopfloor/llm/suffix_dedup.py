@@ -153,6 +153,13 @@ def _home(ids, tags, homes: int):
     return (ids ^ tags) % homes
 
 
+def prime_from(n: int) -> int:
+    """The first prime from ``n`` on: ids in steps (every 20th, say) still spread."""
+    while any(n % k == 0 for k in range(2, int(n ** 0.5) + 1)) or n < 2:
+        n += 1
+    return n
+
+
 def by_home(spans: list, homes: int):
     """Intervals (lists of id, tag, start, stop arrays) as rows (home, blob)."""
     ids, tags, a, z = merged_spans(*(np.concatenate([x[k] for x in spans]) for k in range(4)))
@@ -398,7 +405,7 @@ def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, sampled: int
     (removed runs, [start, stop) each), kept (the other bytes), kept_sha256."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
-    homes = HOMES * common.parts(spark)
+    homes = prime_from(HOMES * common.parts(spark))
     d = keyed(docs)
     null = F.lit(None)
     blobs = removed(d, homes, bucket_bytes, sampled).select(

@@ -168,3 +168,11 @@ def test_equal_hashes_of_unequal_segments():
             gone.setdefault(d, set()).update(range(a, z))
     want = brute([(i, t.decode()) for i, t in enumerate(texts)])
     assert sorted((i, len(gone.get(i, ()))) for i in range(len(texts))) == sorted((w[0], w[2]) for w in want)
+
+
+def test_homes_of_ids_in_steps():
+    homes = suffix_dedup.prime_from(200)
+    assert homes == 211 and suffix_dedup.prime_from(2) == 2 and suffix_dedup.prime_from(1) == 2
+    ids = np.arange(0, 400_000, 20)
+    got = np.bincount(suffix_dedup._home(ids, np.zeros_like(ids), homes), minlength=homes)
+    assert got.min() > 0 and got.max() < 2 * len(ids) / homes
