@@ -18,7 +18,10 @@ Defined cases: null html is an empty payload; a null url leaves out the target
 URI; a null page_id is smallest (if all equal payloads lack one, all are
 responses); rows that repeat the largest page_id are all responses; control
 characters in a url are percent-encoded; a payload beyond the archive bound is
-an archive of its own; an empty table writes no archive and reads as no rows.
+an archive of its own; an empty table writes no archive and reads as no rows;
+columns other than page_id, url and html are not read. A package is fetched as one
+value by Spark's binary reader, which refuses files of 2 GB and more, and is then
+read by ranges; packages written here are bounded far below that.
 """
 
 from __future__ import annotations
