@@ -159,8 +159,9 @@ def alarm_reliability(t: Tables, p: Params) -> DataFrame:
     uptime = F.when(pairs_total - uptime_nulls > 0, F.col("run_gap") * n_alarms - F.col("present_run_gap"))
     per_dev = d.select(DEV, "flips", active.alias("active_us"), uptime.alias("uptime_us"))
 
-    days = total_days(t, p)
-    m = company_machines(t, p).select("machine_uid", F.col("machine_id").alias(DEV))
+    # below the join, so that the subqueries of the range are planned once
+    days = F.col("days")
+    m = company_machines(t, p).select("machine_uid", F.col("machine_id").alias(DEV), total_days(t, p).alias("days"))
     out = m.join(per_dev, on=DEV, how="left")
     flips = F.coalesce(F.col("flips"), F.lit(0))
     return out.select(

@@ -218,14 +218,14 @@ def typed_since(tables, since: Column) -> DataFrame:
 def bounds(tables, params: Params) -> tuple[Column, Column]:
     """Start and end of the request; where it gives none, the first and the
     newest reading of the whole fleet as scalar subqueries."""
-    def of(text: str | None, newest: bool) -> Column:
+    def of(text: str | None, member: str) -> Column:
         if text is not None:
             return F.to_timestamp_ntz(F.lit(text))
-        if newest:
-            return latest_ts(tables)
         st = _store(tables)
-        return (tables.device_data.select(F.min("timestamp")) if st is None else st.select(F.min("ts"))).scalar()
-    return of(params.start, False), of(params.end, True)
+        rows, ts = (tables.device_data, "timestamp") if st is None else (st, "ts")
+        both = rows.select(F.struct(F.min(ts).alias("first"), F.max(ts).alias("newest")).alias("both")).scalar()
+        return both.getField(member)
+    return of(params.start, "first"), of(params.end, "newest")
 
 
 def typed_in_range(tables, params: Params) -> DataFrame:
