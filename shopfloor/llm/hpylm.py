@@ -224,7 +224,7 @@ def frequent_words(docs: DataFrame, partitions: int) -> np.ndarray:
 
 # ---- seating -------------------------------------------------------------
 
-_MATRIX = 1 << 20  # cells of a block of distributions
+_MATRIX = 1 << 18  # cells of a block of distributions
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
