@@ -159,7 +159,7 @@ def _frequencies(docs: DataFrame, block: Block) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["k", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(common.lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     out = np.zeros(len(block.vocabulary), dtype=np.int64)
     for k, n in rows.toLocalIterator():  # at most the block's shingles
         out[k] = n
@@ -169,8 +169,9 @@ def _frequencies(docs: DataFrame, block: Block) -> np.ndarray:
 _STATE = "doc_id long, text string, hits binary, items array<string>, text_hash long"
 
 
-def _probe(docs: DataFrame, block: Block) -> DataFrame:
-    """Add the block's hits: a bitmap of hit words and the items found."""
+def _probe(docs: DataFrame, block: Block):
+    """A function of batches that adds the block's hits: a bitmap of hit words and the
+    items found."""
     block.choose_prefixes(_frequencies(docs, block))
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -197,7 +198,7 @@ def _probe(docs: DataFrame, block: Block) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())),
                  b.column(4)], ["doc_id", "text", "hits", "items", "text_hash"])
 
-    return docs.mapInArrow(run, _STATE)
+    return run
 
 
 def _digest(batches):
@@ -222,14 +223,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     F.lit(None).cast("binary").alias("hits"),
                     F.array().cast("array<string>").alias("items"),
                     common.text_hash(F.col("text")).alias("text_hash"))
-    for k, items in enumerate(_blocks(benchmark)):
-        if k:  # one block's worker at a time; the texts travel with their hits
-            d = common.written(d, "decontaminate")
+    probe = None  # of the last block so far
+    for items in _blocks(benchmark):
         block = Block(items)
-        if len(block):
-            d = _probe(d, block)
-    return d.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string, "
-                                 "text_hash long")
+        if not len(block):
+            continue
+        if probe:  # one block's worker at a time; the texts travel with their hits
+            d = common.written(d.mapInArrow(common.lean(probe), _STATE), "decontaminate")
+        probe = _probe(d, block)
+
+    def run(batches):  # one worker a task for the last block and the digest
+        return _digest(probe(batches) if probe else batches)
+
+    return d.mapInArrow(common.lean(run), "doc_id long, n_words long, n_hit long, items array<string>, "
+                                          "items_sha256 string, text_hash long")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -63,9 +63,9 @@ def repeated_fingerprints(fps: DataFrame, n_parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(m.fingerprints()[often].view(np.int64)), pa.array(m.count[often])], ["fp", "n"])
 
-    return (fps.mapInArrow(build, "range int, filter binary")
+    return (fps.mapInArrow(common.lean(build), "range int, filter binary")
             .repartition(n_parts, "range")
-            .mapInArrow(merge, "fp long, n long"))
+            .mapInArrow(common.lean(merge), "fp long, n long"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -361,7 +361,8 @@ def _crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
     tasks = common.written(tasks, "crowd-pairs")  # the numbers of the pairs are fixed by the file
     dealt = m.join(tasks, ["region", "big", "label", "block"]).select("pair", "side", "node", "root")
     return (dealt.join(sets.select("node", "shingles"), "node").select("pair", "side", "root", "shingles")
-            .repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_confirm_blocks, "a long, b long"))
+            .repartition(parts, "pair").sortWithinPartitions("pair")
+            .mapInArrow(common.lean(_confirm_blocks), "a long, b long"))
 
 
 def _confirm_pairs(batches):
@@ -383,14 +384,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"),
                     common.text_hash(F.col("text")).alias("text_hash"))
     rows = common.written(d.mapInArrow(
-        _signature_rows, "doc_id long, n_shingles long, node long, sig binary, text_hash long"), "signatures")
+        common.lean(_signature_rows), "doc_id long, n_shingles long, node long, sig binary, text_hash long"), "signatures")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own"), F.first("sig").alias("sig"))
     nodes = nodes.select("node", F.col("own.doc_id").alias("rep"), F.col("own.text_hash").alias("text_hash"), "sig")
     n_nodes = rows.where("n_shingles > 0").select("node").distinct().count()
-    trees = _ordered(nodes.select("node", "sig").mapInArrow(_tree_rows, "key binary, node long, low binary"),
+    trees = _ordered(nodes.select("node", "sig").mapInArrow(common.lean(_tree_rows), "key binary, node long, low binary"),
                      "key", n_nodes * TREES, RANGE_ROWS)
-    found = common.written(trees.mapInArrow(_candidates, "a long, b long, region binary").distinct(), "candidates")
+    found = common.written(trees.mapInArrow(common.lean(_candidates), "a long, b long, region binary").distinct(),
+                           "candidates")
     pairs = found.where("region is null").select("a", "b")
     # An order's end alone in its region is no crowd.
     crowds = found.where("region is not null").select("region", F.col("a").alias("node"))
@@ -405,14 +407,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if n_wanted <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     columns = "node long, " + ", ".join(f"key{t} binary" for t in VERIFY_TREES) + ", low binary, shingles binary"
-    sets = (d.join(ids, d["doc_id"].eqNullSafe(ids["_id"]) & (d["text_hash"] == ids["_hash"]), "left_semi").select("text").mapInArrow(_set_rows, columns)
+    sets = (d.join(ids, d["doc_id"].eqNullSafe(ids["_id"]) & (d["text_hash"] == ids["_hash"]), "left_semi").select("text")
+            .mapInArrow(common.lean(_set_rows), columns)
             .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sets = common.written(sets, "sets")
     links = None
     for t in VERIFY_TREES:
         found = (_ordered(sets.select("node", F.col(f"key{t}").alias("key"), "low", "shingles"), "key", n_wanted,
                          SET_ROWS)
-                 .select("key", "node", "low", "shingles").mapInArrow(_confirm_neighbours, "a long, b long"))
+                 .select("key", "node", "low", "shingles").mapInArrow(common.lean(_confirm_neighbours), "a long, b long"))
         links = found if links is None else links.unionByName(found)
     links = common.written(links, "links")
     first = common.written(components(links, "near"), "near-roots")
@@ -424,7 +427,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = rooted(rooted(pairs, "a"), "b").where("ra <> rb")
     side = sets.select("node", "shingles")
     checked = (apart.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
-               .select("ra", "rb", "sa", "sb").mapInArrow(_confirm_pairs, "a long, b long"))
+               .select("ra", "rb", "sa", "sb").mapInArrow(common.lean(_confirm_pairs), "a long, b long"))
     sizes = sets.select("node", (F.length("shingles") / 8).cast("long").alias("n"))
     members = common.written(crowds.join(sizes, "node").join(first, "node", "left")
                              .select("region", "node", F.coalesce("root", "node").alias("root"), "n"), "members")

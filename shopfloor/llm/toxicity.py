@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(shared.value.scores(common.as_bytes(b.column(1))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(run), "doc_id long, score double")
 
 
 def civil_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -213,7 +213,7 @@ def civil_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(common.as_bytes(b.column(at))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

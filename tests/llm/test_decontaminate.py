@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from shopfloor.llm import decontaminate
+from shopfloor.llm import common, decontaminate
 from tests.llm.helpers import documents, sf_documents
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,3 +70,18 @@ def test_given_documents(spark):
     docs = sf_documents()[:40]
     items = [(k, " ".join(words(t)[5:40])) for k, t in docs[::7]]
     assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_one_worker_a_task(spark, monkeypatch):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for size in (8 << 20, 60):  # one block, several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        out = decontaminate.decontaminate(documents(spark, DOCS), bench)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_workers_end_their_tasks_small(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release_memory", lambda: calls.append("released"))
+    assert list(common.lean(lambda batches: (b for b in batches))([1, 2])) == [1, 2]
+    assert calls == ["released"]
