@@ -68,7 +68,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context word, text) of every token; each text ends in END."""
     w = scan(texts, BLANK_SEPARATED)
     n = np.diff(w.ptr) + 1
-    doc = np.repeat(np.arange(len(texts)), n)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     last = np.cumsum(n) - 1
     word = np.empty(len(doc), dtype=np.uint64)
     inner = np.ones(len(doc), dtype=bool)
@@ -99,8 +99,10 @@ class Placement:
         """Index among the frequent words, -1 for others."""
         if not len(self.hot):
             return np.full(len(word), -1, dtype=np.int16)
-        at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
-        return np.where(self.hot[at] == word, at, -1).astype(np.int16)
+        at = np.searchsorted(self.hot, word)
+        np.minimum(at, len(self.hot) - 1, out=at)
+        at[self.hot[at] != word] = -1
+        return at.astype(np.int16)
 
     def frequent_class(self, cls: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << CONTEXT_BITS, dtype=bool)
@@ -137,7 +139,26 @@ def _pack(word, hot, cls, doc, ids, held) -> bytes:
         doc[order].astype("<u2" if small else "<u4").tobytes()])
 
 
-def _unpack(data: bytes, hot_words: np.ndarray):
+@dataclass
+class Block:
+    """A packed block's tokens: words as runs, then frequent ones by index; all but
+    the documents are views of the packed bytes."""
+
+    n: int
+    first: np.ndarray   # the word of each run, ascending
+    runs: np.ndarray
+    hot: np.ndarray
+    three: np.ndarray   # bytes of the context classes
+    doc: np.ndarray
+    ids: np.ndarray
+    held: np.ndarray
+
+    def classes(self) -> np.ndarray:
+        t = self.three
+        return t[:, 0].astype(np.int64) | t[:, 1].astype(np.int64) << 8 | t[:, 2].astype(np.int64) << 16
+
+
+def _unpack(data: bytes) -> Block:
     n, n_rare, n_first, n_docs, n_table, small = (int(x) for x in np.frombuffer(data, "<i8", 6))
     at = 48
     table = zlib.decompress(data[at:at + n_table])
@@ -152,12 +173,8 @@ def _unpack(data: bytes, hot_words: np.ndarray):
         return out
 
     first, runs = take("<u8", n_first), take("<u4", n_first)
-    hot = take("<u2", n - n_rare).astype(np.int16)
-    word = np.concatenate([np.repeat(first, runs), hot_words[hot] if len(hot) else np.zeros(0, np.uint64)])
-    three = take(np.uint8, 3 * n).reshape(-1, 3)
-    cls = three[:, 0].astype(np.uint32) | three[:, 1].astype(np.uint32) << 8 | three[:, 2].astype(np.uint32) << 16
-    doc = take("<u2" if small else "<u4", n).astype(np.int64)
-    return word, np.concatenate([np.full(n_rare, -1, np.int16), hot]), cls, doc, ids, held
+    return Block(n, first, runs, take("<u2", n - n_rare), take(np.uint8, 3 * n).reshape(-1, 3),
+                 take("<u2" if small else "<u4", n), ids, held)
 
 
 def _blocks(place: Placement):
@@ -165,18 +182,22 @@ def _blocks(place: Placement):
 
     def flush(held_rows):
         word, cls, doc, ids, held = (np.concatenate(x) for x in zip(*held_rows))
+        held_rows.clear()
         hot = place.hot_index(word)
-        spot = place.place(word, cls, hot, ids[doc])
-        order = np.argsort(spot, kind="stable")
-        bucket = ((spot[order] >> np.uint64(32)) * np.uint64(place.buckets) >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows = []
-        for a, z in zip(cuts, np.append(cuts[1:], len(order))):
-            o = order[a:z]
-            rows.append((int(bucket[a]), _pack(word[o], hot[o], cls[o], doc[o], ids, held)))
-        for k in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[k:k + 256]], pa.int32()),
-                                              pa.array([x for _, x in rows[k:k + 256]], pa.binary())],
+        bucket = place.place(word, cls, hot, ids[doc])
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        bucket >>= np.uint64(32)
+        bucket *= np.uint64(place.buckets)
+        bucket >>= np.uint64(32)
+        cuts = np.append(0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1)
+        of = bucket[cuts].astype(np.int32)
+        del bucket
+        ends = np.append(cuts[1:], len(order))
+        for k in range(0, len(cuts), 256):
+            blocks = [_pack(word[o], hot[o], cls[o], doc[o], ids, held)
+                      for o in (order[a:z] for a, z in zip(cuts[k:k + 256], ends[k:k + 256]))]
+            yield pa.RecordBatch.from_arrays([pa.array(of[k:k + 256]), pa.array(blocks, pa.binary())],
                                              ["bucket", "block"])
 
     def run(batches):
@@ -187,7 +208,7 @@ def _blocks(place: Placement):
             texts = common.as_bytes(b.column(2))
             for lo, hi in common.chunks(texts):
                 word, before, doc = tokens(texts[lo:hi])
-                held_rows.append((word, context_class(before), doc + n_docs, ids[lo:hi], held[lo:hi]))
+                held_rows.append((word, context_class(before), doc + np.int32(n_docs), ids[lo:hi], held[lo:hi]))
                 size += len(word)
                 n_docs += hi - lo
                 if size >= FLUSH_TOKENS:
@@ -214,7 +235,7 @@ def frequent_words(docs: DataFrame, partitions: int) -> np.ndarray:
                      pa.array(np.append(c[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), int), len(word)))],
                     ["w", "c", "total"])
 
-    rows = (docs.sample(SAMPLE, seed=SEED).select("text").mapInArrow(count, "w long, c long, total long")
+    rows = (docs.sample(SAMPLE, seed=SEED).select("text").mapInArrow(common.lean(count), "w long, c long, total long")
             .groupBy("w").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
     total = rows.agg(F.sum("total")).first()[0] or 0
     top = (rows.where(F.col("c") * (4 * partitions) >= total).where("c > 0")
@@ -379,23 +400,46 @@ class Shared:
         return np.where(self.pair_keys[at] == key, at, -1)
 
 
+def _distinct(key: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the index of each key among them (np.unique, whose
+    inverse takes twice the memory)."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    distinct = ranked[new]
+    del ranked
+    at = np.empty(len(key), kind)
+    at[order] = np.cumsum(new, dtype=kind) - kind(1)
+    return distinct, at
+
+
 class Bucket:
     """The tokens of one bucket, as distinct (word, class) pairs."""
 
     def __init__(self, blocks: list[bytes], place: Placement):
-        got = [_unpack(x, place.hot) for x in blocks]
-        names = [ids for *_, ids, _ in got]
-        self.doc_ids, where = np.unique(np.concatenate(names), return_inverse=True)
-        offset = np.concatenate([[0], np.cumsum([len(x) for x in names])])
-        word = np.concatenate([g[0] for g in got])
-        hot = np.concatenate([g[1] for g in got])
-        cls = np.concatenate([g[2] for g in got])
-        self.doc = where[np.concatenate([g[3] + o for g, o in zip(got, offset)])]
-        train = ~np.concatenate([g[5][g[3]] for g in got])
-        # pairs in the order of (word, class): the key sorts by word first
-        self.words, wi = np.unique(word, return_inverse=True)
-        key = wi.astype(np.int64) << CONTEXT_BITS | cls
-        pairs, self.pair = np.unique(key, return_inverse=True)
+        got = [_unpack(x) for x in blocks]
+        n = sum(g.n for g in got)
+        small = np.int32 if n < 1 << 31 else np.int64
+        self.doc_ids, where = np.unique(np.concatenate([g.ids for g in got]), return_inverse=True)
+        present = np.flatnonzero(sum(np.bincount(g.hot, minlength=len(place.hot)) for g in got))
+        self.words = np.unique(np.concatenate([place.hot[present], *(g.first for g in got)]))
+        hot_at = np.searchsorted(self.words, place.hot)
+        # Arrays of all tokens are what a worker's memory goes to: few at a time, and small.
+        key, self.doc, train = np.empty(n, np.int64), np.empty(n, small), np.empty(n, bool)
+        at = docs = 0
+        for g in got:
+            own = slice(at, at + g.n)
+            key[own] = np.concatenate([np.repeat(np.searchsorted(self.words, g.first), g.runs), hot_at[g.hot]])
+            key[own] <<= CONTEXT_BITS  # pairs in the order of (word, class): the key sorts by word first
+            key[own] |= g.classes()
+            self.doc[own] = where[docs:docs + len(g.ids)][g.doc]
+            train[own] = ~g.held[g.doc]
+            at, docs = at + g.n, docs + len(g.ids)
+        del got, where
+        pairs, self.pair = _distinct(key, small)
+        del key
         self.word = pairs >> CONTEXT_BITS
         self.cls = pairs & ((1 << CONTEXT_BITS) - 1)
         self.count = np.bincount(self.pair[train], minlength=len(pairs))
@@ -493,10 +537,9 @@ class Bucket:
         known[hot] = shared.hot_count[self.hot[hot]]
         base = np.log10((known + 0.1) / (shared.n + 0.1 * (shared.v + 1)))
         n = len(self.doc_ids)
-        word = self.word[self.pair]
-        return (self.doc_ids, np.bincount(self.doc, minlength=n), np.bincount(self.doc, weights=known[word] > 0, minlength=n),
-                np.bincount(self.doc, weights=base[word], minlength=n),
-                np.bincount(self.doc, weights=log_p[self.pair], minlength=n))
+        per_pair = ((known > 0)[self.word], base[self.word], log_p)
+        return (self.doc_ids, np.bincount(self.doc, minlength=n),
+                *(np.bincount(self.doc, weights=x[self.pair], minlength=n) for x in per_pair))
 
 
 def _by_bucket(rows):
@@ -522,7 +565,7 @@ def _sum(tokens_rdd, one):
         if total is not None:
             yield total
 
-    summed = tokens_rdd.mapPartitions(per_task)
+    summed = tokens_rdd.mapPartitions(common.lean(per_task))
     return summed.treeReduce(_add, depth=4)  # a few vectors reach the driver, whatever the partitions
 
 
@@ -537,7 +580,7 @@ class HpyLanguageModel:
                         held.alias("held"), common.text_or_empty().alias("text"))
         self.place = Placement(frequent_words(d, parts), SPLIT * parts)
         # The RDD keeps the files of this one shuffle for every sweep.
-        self.tokens = (d.mapInArrow(_blocks(self.place), "bucket int, block binary")
+        self.tokens = (d.mapInArrow(common.lean(_blocks(self.place)), "bucket int, block binary")
                        .repartition(parts, "bucket").rdd)
         self.shared = self._fit()
 
@@ -602,7 +645,12 @@ class HpyLanguageModel:
                 for h, x in zip(held, Bucket(blocks, spread.value.place).scores(spread.value, b)):
                     h.append(x)
             if held[0]:
-                ids, *sums = _by_document(*map(np.concatenate, held))
+                whole = []
+                for h in held:
+                    whole.append(np.concatenate(h))
+                    h.clear()
+                ids, *sums = _by_document(*whole)
+                del whole
                 to = (mix64(ids.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[order].astype(np.int64), prepend=-1))
@@ -622,8 +670,8 @@ class HpyLanguageModel:
                     [pa.array(ids), *(pa.array(np.rint(x).astype(np.int64)) for x in (tokens_, known)),
                      pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-        packed = self.spark.createDataFrame(self.tokens.mapPartitions(per_task), "range int, data binary")
-        return packed.repartition(parts, "range").mapInArrow(unpack, out)
+        packed = self.spark.createDataFrame(self.tokens.mapPartitions(common.lean(per_task)), "range int, data binary")
+        return packed.repartition(parts, "range").mapInArrow(common.lean(unpack), out)
 
 
 _SUMS = ("<i8", "<f8", "<f8", "<f8", "<f8")

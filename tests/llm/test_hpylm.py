@@ -1,12 +1,14 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from shopfloor.llm import hpylm
+from shopfloor.llm import common, hpylm
 from tests.llm.helpers import documents, sf_documents
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -212,3 +214,53 @@ def test_defined_cases(spark):
     model = hpylm.HpyLanguageModel(documents(spark, only_held))
     got = model.score().collect()
     assert model.shared.n == 0 and all(r.n_known == 0 and r.score == 0 for r in got) and len(got) == len(only_held)
+
+
+def traced(f):
+    """The result and the peak of bytes that ``f`` takes, numpy's arrays included."""
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def many_tokens(n_docs=4_000, length=250):
+    """About a million tokens, skewed like words, as rows (doc_id, held, text)."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, (1 / rng.random(length)).astype(int))) for _ in range(n_docs)]
+    rows = [(i, held(i), t) for i, t in enumerate(texts)]
+    return rows, pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "held", "text"])
+
+
+def test_memory_of_blocks_and_buckets_is_a_few_arrays_of_their_tokens(monkeypatch):
+    """What a worker takes above its base: 58 and 34 bytes a token when this was written."""
+    rows, batch = many_tokens()
+    place = hpylm.Placement(np.sort(np.append(hpylm.tokens([b"1 2"])[0][:2], hpylm.END)), 8)
+    n = sum(len(words(t)) for *_, t in rows)
+    monkeypatch.setattr(hpylm, "FLUSH_TOKENS", 1 << 30)  # all tokens in one flush
+    out, peak = traced(lambda: list(hpylm._blocks(place)(iter(batch.slice(k, 100) for k in range(0, len(rows), 100)))))
+    blocks = [x.as_py() for b in out for x in b.column(1)]
+    assert n > 1_000_000 and peak < 70 * n, peak / n
+    bucket, peak = traced(lambda: hpylm.Bucket(blocks, place))
+    assert len(bucket.doc) == n and peak < 55 * n, peak / n
+    # and holds what the texts hold
+    want = collections.Counter()
+    for _, h, t in rows:
+        w, before, _ = hpylm.tokens([t.encode()])
+        want.update(zip(w.tolist(), hpylm.context_class(before).tolist(), [not h] * len(w)))
+    trained = {(w, c): k for (w, c, train), k in want.items() if train}
+    pairs = list(zip(bucket.words[bucket.word].tolist(), bucket.cls.tolist()))
+    assert pairs == sorted({(w, c) for w, c, _ in want}) and bucket.count.tolist() == [trained.get(x, 0) for x in pairs]
+    sizes = {i: len(words(t)) for i, _, t in rows}
+    assert np.bincount(bucket.doc).tolist() == [sizes[i] for i in bucket.doc_ids]
+
+
+def test_workers_of_every_stage_end_their_tasks_small(spark, monkeypatch):
+    """The blocks' workers wait beside those that count, sweep and score."""
+    wrapped, lean = [], common.lean
+    monkeypatch.setattr(common, "lean", lambda f: wrapped.append(f.__qualname__.split(".")[0] + "." + f.__name__) or lean(f))
+    docs = sf_documents()[:20]
+    check_base(hpylm.HpyLanguageModel(documents(spark, docs)), docs)
+    assert {"frequent_words.count", "_blocks.run", "_sum.per_task", "HpyLanguageModel.per_task", "HpyLanguageModel.unpack"} <= set(wrapped)
